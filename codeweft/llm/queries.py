@@ -7,7 +7,9 @@ table and derives the columns asked for from the operator's output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
 
 
@@ -15,15 +17,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["last"] - s["first"] + 1)
+    return hits.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": r"""
+        WITH dw AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), iw AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + 9], ' ') AS k
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM iw WHERE len(w) > 0)
+        ), places AS (
+            SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw
+        ), grams AS (
+            SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS k
+            FROM places, (SELECT DISTINCT n FROM windows) WHERE p + n - 1 <= len(w)
+        ), hits AS (
+            SELECT doc_id, p, n, item_id FROM grams JOIN windows USING (n, k)
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT q) AS n_hit
+            FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
+        ), found AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id,
