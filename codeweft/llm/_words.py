@@ -106,8 +106,8 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; nulls count as empty."""
-    text = (text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text).cast(pa.large_string()).fill_null("")
+    """Bytes and offsets of a string or binary array; nulls count as empty."""
+    text = (text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text).cast(pa.large_binary()).fill_null(b"")
     if not len(text):
         return np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     _, offs, data = text.buffers()

@@ -6,11 +6,19 @@ table and derives the columns asked for from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.llm.bpe import decode, encode
 from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
+from codeweft.llm.token_counts import count_tokens
+
+#: Place of the tokenizer file; a path that holds on every executor.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Tokens beyond which op7 marks a text.
+TOKEN_LIMIT = 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +38,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_bpe": op2_bpe,
+    "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
