@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codeweft.llm.bpe import decode, encode
 from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
+from codeweft.llm.quality import THRESHOLD, fit, fold, score
 from codeweft.llm.token_counts import count_tokens
 
 #: Place of the tokenizer file; a path that holds on every executor.
@@ -43,6 +44,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -55,6 +62,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
