@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codeweft.llm.bpe import decode, encode
 from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
+from codeweft.llm.jaccard_join import jaccard_components
 from codeweft.llm.quality import THRESHOLD, fit, fold, score
 from codeweft.llm.token_counts import count_tokens
 
@@ -50,6 +51,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, similar=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -96,6 +102,31 @@ ORACLE_SQL = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
     """,
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i
+            FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY u, v
+        ), links AS (
+            SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
+            WHERE 100 * i >= 90 * (a.n + b.n - i)
+        ), reach AS (
+            SELECT u AS doc_id, u AS r FROM (SELECT DISTINCT u FROM links)
+            UNION
+            SELECT doc_id, v AS r FROM reach JOIN links ON r = u
+        )
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+        FROM w LEFT JOIN n USING (doc_id)
+        LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id,
