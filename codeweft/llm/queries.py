@@ -15,6 +15,7 @@ from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
 from codeweft.llm.jaccard_join import jaccard_components
 from codeweft.llm.quality import THRESHOLD, fit, fold, score
+from codeweft.llm.substring_dedup import substring_dedup
 from codeweft.llm.token_counts import count_tokens
 
 #: Place of the tokenizer file; a path that holds on every executor.
@@ -55,6 +56,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, similar=(90, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -127,6 +133,25 @@ ORACLE_SQL = {
         FROM w LEFT JOIN n USING (doc_id)
         LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
     """,
+    "op6_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w WHERE len(w) >= 13)
+        ), firsts AS (
+            SELECT g, min(doc_id) AS f FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM windows JOIN firsts USING (g) WHERE doc_id > f
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id,
