@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -40,3 +41,11 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFr
     """
     gone = materialise(dropped.select(dropped[key].alias("__gone_id")).distinct(), "dropped")
     return docs.join(gone, docs[key] == gone["__gone_id"], "left_anti")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are worked out once for each row: the
+    optimizer copies no expression across a generator, so what uses them
+    later doesn't repeat them."""
+    held = df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__once"))
+    return held.select(*df.columns, *[F.col(f"__once.{k}").alias(k) for k in columns])

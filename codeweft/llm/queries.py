@@ -14,7 +14,9 @@ from codeweft.llm.bpe import decode, encode
 from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
 from codeweft.llm.jaccard_join import jaccard_components
+from codeweft.llm.license_scan import SIMILAR, TEMPLATES, license_scan, template_bigrams
 from codeweft.llm.quality import THRESHOLD, fit, fold, score
+from codeweft.llm.secret_scan import render, secret_scan
 from codeweft.llm.substring_dedup import substring_dedup
 from codeweft.llm.token_counts import count_tokens
 
@@ -52,6 +54,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(_table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id",
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(render(F.col("base")), 256).alias("base_sha256"),
+        render(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, similar=(90, 100)).select("doc_id", "n_shingles", "component_id")
 
@@ -69,17 +84,45 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hits = license_scan(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("names"), F.max("dice").alias("best"))
+    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_hits"), F.coalesce("names", F.lit("")).alias("licenses"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best_dice"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
+_TEMPLATE_ROWS = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{b}'" for b in template_bigrams(text))) for name, text in TEMPLATES.items())
+
 ORACLE_SQL = {
+    "op10_license_scan": rf"""
+        WITH t(license, b) AS (VALUES {_TEMPLATE_ROWS}),
+        p AS (
+            SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), list_filter(string_split_regex(text, '\n[ \t\r]*\n'), lambda x: contains(x, chr(10))))) AS passage FROM documents
+        ), w AS (
+            SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(passage, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM p
+        ), g AS (
+            SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) >= 2
+        ), d AS (
+            SELECT doc_id, k, license, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t
+        ), best AS (
+            SELECT doc_id, k, max(dice) AS dice, arg_min(license, (-dice, license)) AS license FROM d WHERE dice >= {SIMILAR} GROUP BY doc_id, k
+        ), h AS (
+            SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names, max(dice) AS best FROM best GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_hits, coalesce(names, '') AS licenses, round(coalesce(best, 0), 6) AS best_dice
+        FROM documents LEFT JOIN h USING (doc_id)
+    """,
     "op1_decontaminate": r"""
         WITH dw AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
