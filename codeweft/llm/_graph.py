@@ -5,11 +5,17 @@ its rows can be split by adaptive skew joins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm._store import materialise
 
+#: Rounds in which one member of each bucket is compared with the others,
+#: before all pairs that remain.
+STARS = 3
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,3 +43,47 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _cross(left: DataFrame, right: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs of one bucket whose members are in different components and have
+    sizes that fit."""
+    num, den = similar
+    a = left.select("sig", F.col("cls").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
+    b = right.select("sig", F.col("cls").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"))
+    fits = (den * F.least("np", "nq") >= num * F.greatest("np", "nq")) & (F.col("lp") != F.col("lq"))
+    low = F.col("p") < F.col("q")
+    return a.join(b, "sig").where(fits).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), F.when(low, F.col("np")).otherwise(F.col("nq")).alias("nu"), F.when(low, F.col("nq")).otherwise(F.col("np")).alias("nv")).distinct()
+
+
+def linked(shared: DataFrame, similar: tuple[int, int], verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """``vertex, component`` of the members that verified links join, or None
+    without any candidate pair. ``shared`` lists ``sig, cls, n``: bucket, member
+    and size; ``verify`` keeps the linked ones of ``u, v, nu, nv`` as ``u, v``.
+
+    A bucket of m members that are all alike costs m pairs: in each of the
+    first rounds one member is compared with the others, and pairs inside a
+    component are never looked at again. All pairs of a bucket whose members
+    are in different components after that are verified, so no link that
+    joins components is left out."""
+    tried = found = labels = None
+    for step in range(STARS + 1):
+        rows = shared.withColumn("label", F.col("cls")) if labels is None else shared.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("component", "cls").alias("label"))
+        if labels is not None:
+            span = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
+            rows = materialise(rows.join(span, "sig", "left_semi"), "open")
+        if step < STARS:
+            centre = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(step))).alias("c")).select("sig", "c.*")
+        pairs = _cross(rows, centre if step < STARS else rows, similar)
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            if rows.isEmpty():
+                break
+            continue
+        good = materialise(verify(pairs), "links")
+        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
+        found = good if found is None else found.unionByName(good)
+        labels = components(found)
+    return labels

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm import _bitmap
-from codeweft.llm._graph import components
+from codeweft.llm._graph import linked
 from codeweft.llm._store import materialise
 from codeweft.llm._words import SPACED_LOWER, buffers, grams, mix, slices, split
 from codeweft.runtime import ship
@@ -41,9 +41,6 @@ WIDTH = 5
 SIMILAR = (80, 100)
 #: Parts of a group that may differ; a group has MISSES + 2 parts.
 MISSES = 1
-#: Rounds in which one class of each signature is compared with the others,
-#: before all pairs that remain.
-STARS = 3
 
 
 class Bands:
@@ -180,39 +177,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("chosen"), F.col("text").cast("string").alias("text")).join(chosen, "chosen").select("cls", "text")
     held = materialise(texts.mapInArrow(members, "cls bigint, members array<bigint>").dropDuplicates(["cls"]), "members")
-    tried = found = labels = None
-    for step in range(STARS + 1):
-        open_rows = shared.withColumn("label", F.col("cls")) if labels is None else shared.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
-        span = open_rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-        rows = materialise(open_rows.join(span, "sig", "left_semi").select("sig", "cls", "n", "label"), "open")
-        if step < STARS:
-            # the centre of a signature: another class each round
-            centre = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(step))).alias("c")).select("sig", "c.*")
-            pairs = _cross(rows, centre, similar)
-        else:
-            pairs = _cross(rows, rows, similar)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if step >= STARS or rows.isEmpty():
-                break
-            continue
-        good = materialise(_verified(pairs, held, similar), "links")
-        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
-        found = good if found is None else found.unionByName(good)
-        labels = components(found)
-    return labels
-
-
-def _cross(left: DataFrame, right: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs with one signature whose classes are in different components."""
-    num, den = similar
-    a = left.select("sig", F.col("cls").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
-    b = right.select("sig", F.col("cls").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"))
-    fits = (den * F.least("np", "nq") >= num * F.greatest("np", "nq")) & (F.col("lp") != F.col("lq"))
-    low = F.col("p") < F.col("q")
-    return a.join(b, "sig").where(fits).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), F.when(low, F.col("np")).otherwise(F.col("nq")).alias("nu"), F.when(low, F.col("nq")).otherwise(F.col("np")).alias("nv")).distinct()
+    return linked(shared, similar, lambda pairs: _verified(pairs, held, similar))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -15,6 +15,7 @@ from codeweft.llm.decontaminate import decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
 from codeweft.llm.jaccard_join import jaccard_components
 from codeweft.llm.license_scan import SIMILAR, TEMPLATES, license_scan, template_bigrams
+from codeweft.llm.line_dedup import line_dedup
 from codeweft.llm.quality import THRESHOLD, fit, fold, score
 from codeweft.llm.secret_scan import render, secret_scan
 from codeweft.llm.substring_dedup import substring_dedup
@@ -80,6 +81,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    sizes = docs.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.size(F.filter(lines, lambda x: x.rlike(r"\S"))).cast("bigint").alias("filled"))
+    kept = line_dedup(docs).select("doc_id", F.size("kept").cast("bigint").alias("n_kept"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("numbers"))
+    return sizes.join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("filled") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"), F.sha2(F.coalesce("numbers", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +107,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
 }
