@@ -3,9 +3,10 @@
 Sizes are cut into bands such that two sets that are similar enough fall into
 one instance (a band and the sizes that a partner of its sets can have). In an
 instance two similar sets differ in at most k shingles. The domain of shingles
-is cut into n1 * n2 parts by hash; with ``n1 * (MISSES + 1) > k`` one group of
-n2 parts differs in at most ``MISSES`` parts, so the two sets agree on n2 -
-MISSES of them, and share the signature of that subset.
+is cut into groups of parts by hash; with enough groups one of them differs in
+at most ``misses`` parts, so the two sets agree on the others, and share the
+signature of that subset. A set with more unshared signatures than such a
+difference allows has no partner and goes before any pair is made.
 
 Sets are compared once per distinct set (its class), so copies cost nothing. A
 signature shared by several classes first gives the pairs of its smallest
@@ -24,10 +25,12 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import _bitmap
@@ -39,14 +42,34 @@ from codeweft.runtime import ship
 WIDTH = 5
 #: Similarity from which two documents link, as a fraction.
 SIMILAR = (80, 100)
-#: Parts of a group that may differ; a group has MISSES + 2 parts.
-MISSES = 1
+
+@dataclass(frozen=True)
+class Scheme:
+    """How an instance is cut. A group has ``misses + subset`` parts, and a
+    signature for each choice of ``subset`` of them. ``slack`` times as many
+    groups as the pigeonhole needs are made; the more, the more of them two
+    similar sets agree on, which tells sets without any partner early."""
+
+    misses: int = 1
+    subset: int = 2
+    slack: float = 1.0
+
+
+#: For similarities of 0.9 and more a signature of one sub-part covers enough
+#: shingles; below, extra parts are needed to leave frequent signatures out.
+FEW, MANY = Scheme(1, 2, 1.0), Scheme(1, 1, 1.5)
+
+
+def scheme_for(similar: tuple[int, int]) -> Scheme:
+    return FEW if 10 * similar[0] >= 9 * similar[1] else MANY
 
 
 class Bands:
-    """Band starts, and for each instance its largest size and k."""
+    """Band starts and, for each instance, its largest size, its number of
+    groups and of how many units (parts if a subset is one part, else groups)
+    two similar sets may disagree."""
 
-    def __init__(self, similar: tuple[int, int], largest: int):
+    def __init__(self, similar: tuple[int, int], largest: int, scheme: Scheme):
         num, den = similar
         starts = [1]
         while starts[-1] <= largest:
@@ -54,7 +77,8 @@ class Bands:
         self.starts = np.array(starts)
         self.high = (np.append(self.starts[1:], starts[-1] * 4) - 1) * den // num
         self.k = 2 * self.high * (den - num) // (den + num)
-        self.groups = self.k // (MISSES + 1) + 1
+        self.groups = np.ceil(scheme.slack * (self.k // (scheme.misses + 1) + 1)).astype(np.int64)
+        self.differ = self.k if scheme.subset == 1 else self.k // (scheme.misses + 1)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +102,25 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.nda
     return flat[first], np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(parts)))]).astype(np.int64)
 
 
-def signatures(flat: np.ndarray, ends: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set, and the borders."""
+@dataclass
+class Signatures:
+    """Signatures of some sets: for each its set, instance and unit, and how
+    many units of that instance may differ."""
+
+    value: np.ndarray
+    owner: np.ndarray
+    band: np.ndarray
+    unit: np.ndarray
+    differ: np.ndarray
+
+
+def signatures(flat: np.ndarray, ends: np.ndarray, similar: tuple[int, int], scheme: Scheme) -> Signatures:
     size = np.diff(ends)
-    bands = Bands(similar, int(size.max(initial=1)))
+    bands = Bands(similar, int(size.max(initial=1)), scheme)
     own = np.searchsorted(bands.starts, size, side="right") - 1
     mixed = mix(flat)
-    n2 = MISSES + 2
-    found, owner = [], []
+    parts = scheme.misses + scheme.subset
+    out: list[tuple[np.ndarray, ...]] = []
     for back in range(3):
         band = own - back
         some = np.flatnonzero((size > 0) & (band >= 0) & (size <= bands.high[np.maximum(band, 0)]) & (bands.k[np.maximum(band, 0)] > 0))
@@ -94,63 +129,112 @@ def signatures(flat: np.ndarray, ends: np.ndarray, similar: tuple[int, int]) ->
         groups = bands.groups[band[some]]
         base = np.cumsum(groups) - groups
         members = np.repeat(ends[some], size[some]) + np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-        cell = (flat[members] % np.repeat(groups * n2, size[some]).astype(np.uint64)).astype(np.int64) + np.repeat(base * n2, size[some])
-        held = np.zeros(groups.sum() * n2, dtype=np.uint64)
+        cell = (flat[members] % np.repeat(groups * parts, size[some]).astype(np.uint64)).astype(np.int64) + np.repeat(base * parts, size[some])
+        held = np.zeros(groups.sum() * parts, dtype=np.uint64)
         np.add.at(held, cell, mixed[members])
-        held = held.reshape(-1, n2)
-        tag = mix((np.repeat(band[some], groups).astype(np.uint64) << np.uint64(40)) + (np.arange(len(held)) - np.repeat(base, groups)).astype(np.uint64))
-        for left_out in range(n2):  # subsets of n2 - MISSES = n2 - 1 parts
-            value = tag + np.uint64(left_out + 1)
-            for part in range(n2):
-                if part != left_out:
-                    value = mix(value ^ held[:, part])
-            found.append(value)
-            owner.append(np.repeat(some, groups))
-    if not found:
-        return flat[:0], np.zeros(len(size) + 1, dtype=np.int64)
-    found, owner = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return found[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+        held = held.reshape(-1, parts)
+        group = np.arange(len(held)) - np.repeat(base, groups)
+        tag = mix((np.repeat(band[some], groups).astype(np.uint64) << np.uint64(40)) + group.astype(np.uint64))
+        for k, chosen in enumerate(combinations(range(parts), scheme.subset)):
+            value = tag + np.uint64(k + 1)
+            for part in chosen:
+                value = mix(value ^ held[:, part])
+            unit = group * parts + k if scheme.subset == 1 else group
+            out.append((value, np.repeat(some, groups), np.repeat(band[some], groups), unit, np.repeat(bands.differ[band[some]], groups)))
+    if not out:
+        none = np.empty(0, dtype=np.int64)
+        return Signatures(none.astype(np.uint64), none, none, none, none)
+    value, owner, band, unit, differ = (np.concatenate(x) for x in zip(*out))
+    return Signatures(value, owner, band, unit, differ)
+
+
+def alive(found: Signatures, maybe: np.ndarray, scheme: Scheme, similar: tuple[int, int], size: np.ndarray) -> np.ndarray:
+    """Which of the signatures marked ``maybe`` belong to a set that can have
+    a partner in the instance: one with no more unshared units than may differ."""
+    place = (found.owner << 8) | found.band
+    unit = (place << 32) | found.unit
+    names, at = np.unique(unit, return_inverse=True)
+    shared = np.zeros(len(names), dtype=bool)
+    shared[at[maybe]] = True
+    sets, where = np.unique(names >> 32, return_inverse=True)
+    dead = np.bincount(where, weights=~shared, minlength=len(sets))
+    limit = np.zeros(len(sets), dtype=np.int64)
+    limit[where[at]] = found.differ
+    fine = dead <= limit
+    return maybe & fine[where[at]]
 
 
 def _arrays(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def described(docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
-    """``doc_id, n, cls, check, sigs``: size, class and signatures of each set.
-    ``cls`` and ``check`` are two independent 64-bit sums over the set."""
+def _input(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            flat, ends = shingle_sets(*buffers(batch.column("text")), width)
-            n = np.diff(ends)
-            total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            cls, check = (mix((t[ends[1:]] - t[ends[:-1]]) ^ n.astype(np.uint64)) for t in total)
-            sigs, borders = signatures(flat, ends, similar)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls.view(np.int64)), pa.array(check.view(np.int64)), _arrays(sigs, borders)], names=["doc_id", "n", "cls", "check", "sigs"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, check bigint, sigs array<bigint>")
 
+def _classes(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums over each set."""
+    n = np.diff(ends).astype(np.uint64)
+    total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    cls, check = (mix((t[ends[1:]] - t[ends[:-1]]) ^ n).view(np.int64) for t in total)
+    return cls, check
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """``sig, cls, n`` of the signatures that several classes share."""
-    each = sets.select(F.explode("sigs").alias("sig"), "cls")
-    several = materialise(each.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("sig"), "several")
-    bitmap = _bitmap.build(several, "sig")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = batch.column("sigs")
-            n = np.diff(np.asarray(sigs.offsets))
-            flat = np.asarray(sigs.flatten())
-            ok = _bitmap.test(bitmap, flat.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(pa.array(np.repeat(np.asarray(batch.column(c)), n)[ok]) for c in ("cls", "n"))], names=["sig", "cls", "n"])
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, cls, check``: size and class of each document's set."""
 
-    maybe = sets.select("sigs", "cls", "n").mapInArrow(keep, "sig bigint, cls bigint, n bigint").distinct()
-    return materialise(maybe.join(several, "sig", "left_semi"), "shared")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            flat, ends = shingle_sets(*buffers(batch.column("text")), width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), *map(pa.array, _classes(flat, ends))], names=["doc_id", "n", "cls", "check"])
+
+    return _input(docs).mapInArrow(run, "doc_id bigint, n bigint, cls bigint, check bigint")
+
+
+def _shared(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Scheme) -> DataFrame:
+    """``sig, cls, n``: signatures that several classes share, of sets that
+    can have a partner; of an instance's signatures only the rarest that are
+    needed for similar sets to have one in common."""
+
+    def run(bitmap: np.ndarray | None):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                flat, ends = shingle_sets(*buffers(batch.column("text")), width)
+                cls, _ = _classes(flat, ends)
+                # copies in a slice are taken once
+                first = np.zeros(len(cls), dtype=bool)
+                first[np.unique(cls, return_index=True)[1]] = True
+                found = signatures(flat, ends, similar, scheme)
+                keep = first[found.owner]
+                if bitmap is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.value[keep].view(np.int64)), pa.array(cls[found.owner[keep]])], names=["sig", "cls"])
+                    continue
+                keep &= alive(found, _bitmap.test(bitmap, found.value), scheme, similar, np.diff(ends))
+                owner = found.owner[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(found.value[keep].view(np.int64)), pa.array(cls[owner]), pa.array(np.diff(ends)[owner]), pa.array(found.band[keep]), pa.array(found.unit[keep]), pa.array(found.differ[keep])], names=["sig", "cls", "n", "band", "unit", "differ"])
+
+        return rows
+
+    every = _input(docs).mapInArrow(run(None), "sig bigint, cls bigint")
+    several = materialise(every.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("sig"), "several")
+    rows = _input(docs).mapInArrow(run(_bitmap.build(several, "sig")), "sig bigint, cls bigint, n bigint, band bigint, unit bigint, differ bigint")
+    rows = materialise(rows.join(several, "sig", "left_semi").distinct(), "shared")
+    if scheme.subset > 1:
+        return rows.select("sig", "cls", "n")
+    rows = materialise(_ranked(rows, scheme).drop("place"), "counted")
+    return materialise(_ranked(rows, scheme).where("place <= differ + 1").select("sig", "cls", "n"), "rare")
+
+
+def _ranked(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """The rows of sets that still share enough units, with the place of each
+    unit among all of its set, rarest first. Of p units similar sets agree on
+    p - differ, so the differ + 1 rarest of one meet those of the other."""
+    parts = F.ceil(F.lit(scheme.slack) * (F.floor(F.col("differ") / (scheme.misses + 1)) + 1)) * (scheme.misses + scheme.subset)
+    often = rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("cls", "band")
+    counted = rows.join(often, "sig").withColumn("units", F.count("*").over(own)).where(F.col("units") >= parts - F.col("differ"))
+    return counted.withColumn("place", F.row_number().over(own.orderBy("often", "sig")) + parts - F.col("units")).drop("often", "units")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -164,7 +248,7 @@ def _verified(pairs: DataFrame, members: DataFrame, similar: tuple[int, int]) ->
 def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame | None:
     """``vertex, component`` over classes that link with another class, or
     None if no two classes share a signature."""
-    shared = _shared(sets)
+    shared = _shared(docs, width, similar, scheme_for(similar))
     if shared.isEmpty():
         return None
     # one document of each class concerned, and its set
@@ -184,7 +268,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similar: tuple[int,
     """``doc_id, n_shingles, class_id, component_id`` for each document:
     ``class_id`` is the smallest doc_id with the same set, ``component_id``
     the smallest that links lead to."""
-    sets = materialise(described(docs, width, similar), "sets")
+    sets = materialise(described(docs, width), "sets")
     labels = links(docs, sets, width, similar)
     plain = sets.select("doc_id", "n", "cls", "check")
     classes = plain.where("n > 0").groupBy("cls", "check").agg(F.min("doc_id").alias("class_id"))
