@@ -58,8 +58,8 @@ def _cross(left: DataFrame, right: DataFrame, similar: tuple[int, int]) -> DataF
 
 def linked(shared: DataFrame, similar: tuple[int, int], verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """``vertex, component`` of the members that verified links join, or None
-    without any candidate pair. ``shared`` lists ``sig, cls, n``: bucket, member
-    and size; ``verify`` keeps the linked ones of ``u, v, nu, nv`` as ``u, v``.
+    without any candidate pair. ``shared`` lists ``sig, cls, n, lead``: bucket,
+    member, size, and who is compared with the others first (the smallest); ``verify`` keeps the linked ones of ``u, v, nu, nv`` as ``u, v``.
 
     A bucket of m members that are all alike costs m pairs: in each of the
     first rounds one member is compared with the others, and pairs inside a
@@ -68,12 +68,13 @@ def linked(shared: DataFrame, similar: tuple[int, int], verify: Callable[[DataFr
     joins components is left out."""
     tried = found = labels = None
     for step in range(STARS + 1):
-        rows = shared.withColumn("label", F.col("cls")) if labels is None else shared.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("component", "cls").alias("label"))
+        rows = shared.withColumn("label", F.col("cls")) if labels is None else shared.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").select("sig", "cls", "n", "lead", F.coalesce("component", "cls").alias("label"))
         if labels is not None:
             span = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
             rows = materialise(rows.join(span, "sig", "left_semi"), "open")
         if step < STARS:
-            centre = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(step))).alias("c")).select("sig", "c.*")
+            order = F.struct(F.lit(0) if step else F.col("lead"), F.xxhash64("cls", F.lit(step)))
+            centre = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "label"), order).alias("c")).select("sig", "c.*")
         pairs = _cross(rows, centre if step < STARS else rows, similar)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")

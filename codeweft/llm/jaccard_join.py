@@ -55,9 +55,11 @@ class Scheme:
     slack: float = 1.0
 
 
-#: For similarities of 0.9 and more a signature of one sub-part covers enough
-#: shingles; below, extra parts are needed to leave frequent signatures out.
+#: For similarities of 0.9 and more a signature of two sub-parts covers enough
+#: shingles; below, extra parts are needed to tell sets without a partner.
 FEW, MANY = Scheme(1, 2, 1.0), Scheme(1, 1, 1.5)
+#: Sets that may have a partner are cut once more, into many parts of one unit.
+FINE = Scheme(0, 1, 6.0)
 
 
 def scheme_for(similar: tuple[int, int]) -> Scheme:
@@ -192,10 +194,9 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     return _input(docs).mapInArrow(run, "doc_id bigint, n bigint, cls bigint, check bigint")
 
 
-def _shared(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Scheme) -> DataFrame:
-    """``sig, cls, n``: signatures that several classes share, of sets that
-    can have a partner; of an instance's signatures only the rarest that are
-    needed for similar sets to have one in common."""
+def _survivors(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Scheme) -> DataFrame:
+    """``cls`` of the sets that share enough signatures with other sets to
+    have a partner."""
 
     def run(bitmap: np.ndarray | None):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,19 +212,45 @@ def _shared(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Schem
                     yield pa.RecordBatch.from_arrays([pa.array(found.value[keep].view(np.int64)), pa.array(cls[found.owner[keep]])], names=["sig", "cls"])
                     continue
                 keep &= alive(found, _bitmap.test(bitmap, found.value), scheme, similar, np.diff(ends))
-                owner = found.owner[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(found.value[keep].view(np.int64)), pa.array(cls[owner]), pa.array(np.diff(ends)[owner]), pa.array(found.band[keep]), pa.array(found.unit[keep]), pa.array(found.differ[keep])], names=["sig", "cls", "n", "band", "unit", "differ"])
+                yield _rows(found, keep, cls, np.diff(ends))
 
         return rows
 
     every = _input(docs).mapInArrow(run(None), "sig bigint, cls bigint")
     several = materialise(every.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("sig"), "several")
-    rows = _input(docs).mapInArrow(run(_bitmap.build(several, "sig")), "sig bigint, cls bigint, n bigint, band bigint, unit bigint, differ bigint")
-    rows = materialise(rows.join(several, "sig", "left_semi").distinct(), "shared")
+    rows = _input(docs).mapInArrow(run(_bitmap.build(several, "sig")), ROWS).join(several, "sig", "left_semi")
     if scheme.subset > 1:
-        return rows.select("sig", "cls", "n")
-    rows = materialise(_ranked(rows, scheme).drop("place"), "counted")
-    return materialise(_ranked(rows, scheme).where("place <= differ + 1").select("sig", "cls", "n"), "rare")
+        return rows.select("cls").distinct()
+    return _ranked(materialise(rows.distinct(), "shared"), scheme).select("cls").distinct()
+
+
+ROWS = "sig bigint, cls bigint, n bigint, band bigint, unit bigint, differ bigint"
+
+
+def _rows(found: Signatures, keep: np.ndarray, cls: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    owner = found.owner[keep]
+    return pa.RecordBatch.from_arrays([pa.array(found.value[keep].view(np.int64)), pa.array(cls[owner]), pa.array(size[owner]), pa.array(found.band[keep]), pa.array(found.unit[keep]), pa.array(found.differ[keep])], names=["sig", "cls", "n", "band", "unit", "differ"])
+
+
+def _buckets(held: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """``sig, cls, n, lead``: of the fine signatures of each set only the
+    rarest that are needed for similar sets to have one in common. ``lead`` is
+    smallest for the set that shares most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = part.column("members")
+                flat = np.asarray(sets.flatten()).view(np.uint64)
+                ends = np.asarray(sets.offsets).astype(np.int64)
+                ends = ends - ends[0]
+                found = signatures(flat, ends, similar, FINE)
+                yield _rows(found, np.ones(len(found.value), dtype=bool), np.asarray(part.column("cls")), np.diff(ends))
+
+    rows = held.select("cls", "members").mapInArrow(run, ROWS)
+    rows = materialise(_ranked(rows, FINE).drop("place", "lead"), "fine")
+    return materialise(_ranked(rows, FINE).where("place <= differ + 1").select("sig", "cls", "n", "lead"), "rare")
 
 
 def _ranked(rows: DataFrame, scheme: Scheme) -> DataFrame:
@@ -234,7 +261,8 @@ def _ranked(rows: DataFrame, scheme: Scheme) -> DataFrame:
     often = rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
     own = Window.partitionBy("cls", "band")
     counted = rows.join(often, "sig").withColumn("units", F.count("*").over(own)).where(F.col("units") >= parts - F.col("differ"))
-    return counted.withColumn("place", F.row_number().over(own.orderBy("often", "sig")) + parts - F.col("units")).drop("often", "units")
+    counted = counted.withColumn("lead", parts - F.col("units"))
+    return counted.withColumn("place", F.row_number().over(own.orderBy("often", "sig")) + F.col("lead")).drop("often", "units")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -247,12 +275,9 @@ def _verified(pairs: DataFrame, members: DataFrame, similar: tuple[int, int]) ->
 
 def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame | None:
     """``vertex, component`` over classes that link with another class, or
-    None if no two classes share a signature."""
-    shared = _shared(docs, width, similar, scheme_for(similar))
-    if shared.isEmpty():
-        return None
-    # one document of each class concerned, and its set
-    concerned = shared.select("cls").distinct()
+    None if no two classes have enough in common."""
+    # one document of each class that may have a partner, and its set
+    concerned = materialise(_survivors(docs, width, similar, scheme_for(similar)), "survivors")
     chosen = materialise(sets.join(concerned, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("chosen")), "chosen")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +286,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("chosen"), F.col("text").cast("string").alias("text")).join(chosen, "chosen").select("cls", "text")
     held = materialise(texts.mapInArrow(members, "cls bigint, members array<bigint>").dropDuplicates(["cls"]), "members")
-    return linked(shared, similar, lambda pairs: _verified(pairs, held, similar))
+    return linked(_buckets(held, similar), similar, lambda pairs: _verified(pairs, held, similar))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
