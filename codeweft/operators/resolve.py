@@ -53,6 +53,8 @@ def upsert_nodes(stored: DataFrame, emitted: DataFrame, scope: str = "repo") ->
     ``repo`` (key repo_id, label, id) or ``global`` (label, id)."""
     key = ["repo_id", "label", "id"] if scope == "repo" else ["label", "id"]
     columns = [c for c in stored.columns if c not in key]
-    both = stored.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(emitted.select(*stored.columns, F.col("seq").cast("bigint").alias("seq")))
-    latest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in columns]
+    kind = emitted.schema["seq"].dataType
+    old = stored.withColumn("seq", F.lit(None).cast(kind)).withColumn("fresh", F.lit(False))
+    both = old.unionByName(emitted.select(*stored.columns, "seq").withColumn("fresh", F.lit(True)))
+    latest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("fresh", "seq"))).alias(c) for c in columns]
     return both.groupBy(*key).agg(*latest).select(*stored.columns)
