@@ -10,11 +10,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows that go to a Python worker at once, where the session doesn't say:
+#: texts are long, and the JVM holds a batch outside its heap.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per application, so
-    that Python stages can import it wherever they run."""
+    that Python stages can import it wherever they run; hold batches small."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_codeweft_shipped", False):
         return
     root = Path(__file__).resolve().parent
