@@ -8,6 +8,7 @@ into a broadcast only below ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished steps: Spark deletes them once the
+    driver's JVM has collected the plans that made them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``dropped[key]``.
 

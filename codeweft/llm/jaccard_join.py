@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm import _bitmap
 from codeweft.llm._graph import linked
-from codeweft.llm._store import materialise
+from codeweft.llm._store import materialise, release
 from codeweft.llm._words import SPACED_LOWER, buffers, grams, mix, slices, split
 from codeweft.runtime import ship
 
@@ -278,6 +278,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]
     None if no two classes have enough in common."""
     # one document of each class that may have a partner, and its set
     concerned = materialise(_survivors(docs, width, similar, scheme_for(similar)), "survivors")
+    release(docs.sparkSession)
     chosen = materialise(sets.join(concerned, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("chosen")), "chosen")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
