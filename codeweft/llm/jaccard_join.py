@@ -58,14 +58,19 @@ class Scheme:
 #: For similarities of 0.9 and more a signature of two sub-parts covers enough
 #: shingles; below, extra parts are needed to tell sets without a partner.
 FEW, MANY = Scheme(1, 2, 1.0), Scheme(1, 1, 1.5)
-#: Sets that may have a partner are cut once more, into many parts of one unit.
-FINE = Scheme(0, 1, 6.0)
+#: Sets that may have a partner are cut once more, into many parts of one unit:
+#: about as many as there are shingles, for either range of similarities.
+FINE_FEW, FINE_MANY = Scheme(0, 1, 6.0), Scheme(0, 1, 2.5)
 
 
 def scheme_for(similar: tuple[int, int]) -> Scheme:
     return FEW if 10 * similar[0] >= 9 * similar[1] else MANY
 
 
+def fine_for(similar: tuple[int, int]) -> Scheme:
+    return FINE_FEW if 10 * similar[0] >= 9 * similar[1] else FINE_MANY
+
+
 class Bands:
     """Band starts and, for each instance, its largest size, its number of
     groups and of how many units (parts if a subset is one part, else groups)
@@ -218,6 +223,7 @@ def _survivors(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Sc
 
     every = _input(docs).mapInArrow(run(None), "sig bigint, cls bigint")
     several = materialise(every.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("sig"), "several")
+    release(docs.sparkSession)
     rows = _input(docs).mapInArrow(run(_bitmap.build(several, "sig")), ROWS).join(several, "sig", "left_semi")
     if scheme.subset > 1:
         return rows.select("cls").distinct()
@@ -236,6 +242,7 @@ def _buckets(held: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """``sig, cls, n, lead``: of the fine signatures of each set only the
     rarest that are needed for similar sets to have one in common. ``lead`` is
     smallest for the set that shares most."""
+    scheme = fine_for(similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,12 +252,13 @@ def _buckets(held: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 flat = np.asarray(sets.flatten()).view(np.uint64)
                 ends = np.asarray(sets.offsets).astype(np.int64)
                 ends = ends - ends[0]
-                found = signatures(flat, ends, similar, FINE)
+                found = signatures(flat, ends, similar, scheme)
                 yield _rows(found, np.ones(len(found.value), dtype=bool), np.asarray(part.column("cls")), np.diff(ends))
 
     rows = held.select("cls", "members").mapInArrow(run, ROWS)
-    rows = materialise(_ranked(rows, FINE).drop("place", "lead"), "fine")
-    return materialise(_ranked(rows, FINE).where("place <= differ + 1").select("sig", "cls", "n", "lead"), "rare")
+    rows = materialise(_ranked(rows, scheme).drop("place", "lead"), "fine")
+    release(held.sparkSession)
+    return materialise(_ranked(rows, scheme).where("place <= differ + 1").select("sig", "cls", "n", "lead"), "rare")
 
 
 def _ranked(rows: DataFrame, scheme: Scheme) -> DataFrame:
