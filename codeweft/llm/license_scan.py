@@ -15,6 +15,9 @@ rows that repeat a ``doc_id`` share their hits. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Words of any text; passages aren't looked for by these if others do.
+COMMON = frozenset("a all and any are as be by can for general has have in is it of on or that the this to under with work".split())
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,6 +54,30 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def keywords(listed: list[tuple[str, list[str]]], similar: float) -> list[str]:
+    """Words one of which any matching passage has: a match shares at least
+    similar / (2 - similar) of a template's bigrams, and fewer than that are
+    free of these words."""
+    chosen: list[str] = []
+    for _, bigrams in listed:
+        need = math.ceil(similar / (2 - similar) * len(bigrams))
+        for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(not any(w in chosen for w in b.split()) for b in bigrams) < need:
+                break
+            if word not in chosen:
+                chosen.append(word)
+    return chosen
+
+
+def _any(text: Column, listed: list[str]) -> Column:
+    folded = F.translate(text, _UPPER, _LOWER)
+    tests = [folded.contains(w) for w in listed if len(w) > 3]
+    if short := [w for w in listed if len(w) <= 3]:
+        edge = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+        tests.append(folded.rlike(f"(?:^|{edge})(?:{'|'.join(short)})(?:{edge}|$)"))
+    return functools.reduce(lambda a, b: a | b, tests)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
@@ -64,7 +93,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similar
     listed = sorted((name, template_bigrams(text)) for name, text in templates.items())
     sizes = [len(b) for _, b in listed]
     low, high = min(sizes) * similar / (2 - similar), max(sizes) * (2 - similar) / similar
-    cut = docs.select("doc_id", F.explode(passages(F.col("text").cast("string"))).alias("passage"))
+    pivots = keywords(listed, similar)
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(_any(F.col("text"), pivots))
+    cut = some.select("doc_id", F.explode(passages(F.col("text"))).alias("passage")).where(_any(F.col("passage"), pivots))
     # words repeat, so a passage has up to as many bigrams as words less one
     cut = once(cut, w=words(F.col("passage"))).where(F.size("w") > low)
     pairs = F.expr("array_distinct(filter(transform(w, (x, i) -> concat(x, ' ', get(w, i + 1))), b -> b IS NOT NULL))")
