@@ -69,13 +69,15 @@ def keywords(listed: list[tuple[str, list[str]]], similar: float) -> list[str]:
     return chosen
 
 
-def _any(text: Column, listed: list[str]) -> Column:
-    folded = F.translate(text, _UPPER, _LOWER)
+def _having(rows: DataFrame, column: str, listed: list[str]) -> DataFrame:
+    """Rows whose text has one of the words; it is folded once for all tests."""
+    held = once(rows, __folded=F.lower(column))
+    folded = F.col("__folded")
     tests = [folded.contains(w) for w in listed if len(w) > 3]
     if short := [w for w in listed if len(w) <= 3]:
         edge = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
         tests.append(folded.rlike(f"(?:^|{edge})(?:{'|'.join(short)})(?:{edge}|$)"))
-    return functools.reduce(lambda a, b: a | b, tests)
+    return held.where(functools.reduce(lambda a, b: a | b, tests)).drop("__folded")
 
 
 def words(text: Column) -> Column:
@@ -94,8 +96,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similar
     sizes = [len(b) for _, b in listed]
     low, high = min(sizes) * similar / (2 - similar), max(sizes) * (2 - similar) / similar
     pivots = keywords(listed, similar)
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(_any(F.col("text"), pivots))
-    cut = some.select("doc_id", F.explode(passages(F.col("text"))).alias("passage")).where(_any(F.col("passage"), pivots))
+    some = _having(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", pivots)
+    cut = _having(some.select("doc_id", F.explode(passages(F.col("text"))).alias("passage")), "passage", pivots)
     # words repeat, so a passage has up to as many bigrams as words less one
     cut = once(cut, w=words(F.col("passage"))).where(F.size("w") > low)
     pairs = F.expr("array_distinct(filter(transform(w, (x, i) -> concat(x, ' ', get(w, i + 1))), b -> b IS NOT NULL))")
