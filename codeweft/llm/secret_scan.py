@@ -27,8 +27,8 @@ from codeweft.llm._store import materialise, once
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"([0-9a-f]{24,})"
-#: What the battery looks at: runs with a digit.
-CANDIDATE = r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,})"
+#: What the battery looks at.
+CANDIDATE = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,})"
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.01
@@ -77,7 +77,7 @@ def battery(strings: DataFrame) -> DataFrame:
     ratio of random characters against ordinary text."""
     s = F.rtrim(F.col("string"), F.lit("="))
     digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    sets = [("^[0-9]+$", digits), ("^[0-9a-f]+$", digits + "abcdef"), ("^[0-9A-F]+$", digits + "ABCDEF"), ("^[A-Z2-7]+$", upper + "234567"), ("^[0-9a-z]+$", digits + lower), ("^[0-9A-Z]+$", digits + upper), ("^[0-9A-Za-z]+$", digits + upper + lower)]
+    sets = [("^[0-9]+$", digits), ("^[a-z]+$", lower), ("^[A-Z]+$", upper), ("^[A-Za-z]+$", upper + lower), ("^[0-9a-f]+$", digits + "abcdef"), ("^[0-9A-F]+$", digits + "ABCDEF"), ("^[A-Z2-7]+$", upper + "234567"), ("^[0-9a-z]+$", digits + lower), ("^[0-9A-Z]+$", digits + upper), ("^[0-9A-Za-z]+$", digits + upper + lower)]
     alphabet = F.lit(digits + upper + lower + "+/_-=")
     size = F.lit(64)
     for rule, chars in reversed(sets):
