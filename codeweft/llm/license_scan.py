@@ -6,10 +6,17 @@ sets of word bigrams. A template is only compared where its number of bigrams
 leaves that coefficient in reach, and a passage only where it has one of the
 templates' bigrams at all.
 
-Templates are a stated, bounded list that is part of the plan.
+What matches no template as a whole is searched for notices inside it: each
+span of words of a template's size that begins with one of its bigrams is
+compared in the same way, wherever lines and paragraphs end, with ``TEMPLATES``
+and with ``NOTICES`` (usual wordings, standard headers, whole short licences).
+Of spans that overlap the best one counts, of equal ones the longest.
+
+Templates are stated, bounded lists that are part of the plan.
 
 Defined results: null and empty texts, and passages of one word, match
 nothing; a passage takes its best template (of equal ones the first by name);
+a span inside other text is given as its words;
 rows that repeat a ``doc_id`` share their hits. Extra columns are ignored.
 """
 
@@ -21,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm._store import once
+from codeweft.llm._store import materialise, once
 
 SIMILAR = 0.8
 #: Notices by which licences are granted.
@@ -42,6 +49,44 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+
+
+def _header(name: str, version: str) -> str:
+    return f"you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+#: Further wordings by licence; looked for inside other text.
+NOTICES = {
+    "AGPL-3.0": [_header("GNU Affero General Public License", "3"), "licensed under the GNU Affero General Public License v3.0", "licensed under the AGPL-3.0 license"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "licensed under the Apache License 2.0",
+        "licensed under the Apache 2.0 license",
+        "released under the Apache License, Version 2.0",
+    ],
+    "BSD-2-Clause": [_BSD, "licensed under the BSD 2-Clause License"],
+    "BSD-3-Clause": [_BSD + _BSD_3, "licensed under the BSD 3-Clause License"],
+    "CC-BY-4.0": ["licensed under CC BY 4.0", "licensed under the Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "GPL-2.0": [_header("GNU General Public License", "2"), "licensed under the GNU General Public License v2.0", "licensed under the GPL-2.0 license"],
+    "GPL-3.0": [_header("GNU General Public License", "3"), "licensed under the GNU General Public License v3.0", "licensed under the GPL-3.0 license"],
+    "ISC": ["licensed under the ISC License"],
+    "LGPL-2.1": [_header("GNU Lesser General Public License", "2.1")],
+    "LGPL-3.0": [_header("GNU Lesser General Public License", "3")],
+    "MIT": [_MIT, "licensed under the MIT License", "distributed under the MIT License", "available under the MIT License", "released under the MIT License"],
+    "MPL-2.0": ["licensed under the Mozilla Public License 2.0", "licensed under the Mozilla Public License, Version 2.0"],
+}
 #: Words of any text; passages aren't looked for by these if others do.
 COMMON = frozenset("a all and any are as be by can for general has have in is it of on or that the this to under with work".split())
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,22 +135,63 @@ def passages(text: Column) -> Column:
     return F.concat(F.split(text, "\n"), paragraphs)
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, passage, license, dice`` for each passage that matches."""
-    listed = sorted((name, template_bigrams(text)) for name, text in templates.items())
+def _bigrams(w: str) -> Column:
+    """Bigrams of an array of words, in order."""
+    return F.expr(f"filter(transform({w}, (x, i) -> concat(x, ' ', get({w}, i + 1))), b -> b IS NOT NULL)")
+
+
+def _whole(some: DataFrame, listed: list[tuple[str, list[str]]], similar: float) -> DataFrame:
+    """``row, doc_id, passage, license, dice`` of whole lines and paragraphs."""
     sizes = [len(b) for _, b in listed]
     low, high = min(sizes) * similar / (2 - similar), max(sizes) * (2 - similar) / similar
-    pivots = keywords(listed, similar)
-    some = _having(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", pivots)
-    cut = _having(some.select("doc_id", F.explode(passages(F.col("text"))).alias("passage")), "passage", pivots)
+    cut = _having(some.select("row", "doc_id", F.explode(passages(F.col("text"))).alias("passage")), "passage", keywords(listed, similar))
     # words repeat, so a passage has up to as many bigrams as words less one
     cut = once(cut, w=words(F.col("passage"))).where(F.size("w") > low)
-    pairs = F.expr("array_distinct(filter(transform(w, (x, i) -> concat(x, ' ', get(w, i + 1))), b -> b IS NOT NULL))")
     every = sorted({b for _, bigrams in listed for b in bigrams})
-    own = once(cut, bigrams=pairs).where(F.arrays_overlap("bigrams", F.array(*map(F.lit, every))) & F.size("bigrams").between(low, high))
+    own = once(cut, bigrams=F.array_distinct(_bigrams("w"))).where(F.arrays_overlap("bigrams", F.array(*map(F.lit, every))) & F.size("bigrams").between(low, high))
     choices = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, bigrams)).alias("b")) for name, bigrams in listed])
     n = F.size("bigrams")
     reach = F.filter(choices, lambda t: 2.0 * F.least(n, F.size(t["b"])) >= similar * (n + F.size(t["b"])))
     scored = F.transform(reach, lambda t: F.struct((-2.0 * F.size(F.array_intersect("bigrams", t["b"])) / (n + F.size(t["b"]))).alias("minus"), t["license"].alias("license")))
     found = once(own, best=F.array_min(scored)).where(F.col("best.minus") <= -similar)
-    return found.select("doc_id", "passage", "best.license", (-F.col("best.minus")).alias("dice"))
+    return found.select("row", "doc_id", "passage", "best.license", (-F.col("best.minus")).alias("dice"))
+
+
+def _inside(some: DataFrame, whole: DataFrame, listed: list[tuple[str, list[str], int]], similar: float) -> DataFrame:
+    """``doc_id, passage, license, dice`` of spans in the text that is left
+    once the lines and paragraphs that match as a whole are taken out. A
+    template is given with its number of words."""
+    gone = whole.groupBy("row").agg(F.collect_set("passage").alias("gone"))
+    mark = "\uffff"  # a word of no template in place of what is taken out
+    stays = lambda parts: F.transform(parts, lambda p: F.when(F.coalesce(F.array_contains("gone", p), F.lit(False)), mark).otherwise(p))
+    left = some.join(gone, "row", "left")
+    left = left.withColumn("text", F.array_join(stays(F.split("text", r"\n[ \t\r]*\n")), "\n\n"))
+    left = left.withColumn("text", F.array_join(stays(F.split("text", "\n")), "\n"))
+    left = materialise(left.select("row", "doc_id", words(F.col("text")).alias("w")), "left")
+    rows = [(k, name, b, len(bigrams), n - 1, math.ceil(similar / (2 - similar) * len(bigrams))) for k, (name, bigrams, n) in enumerate(listed) for b in bigrams]
+    known = some.sparkSession.createDataFrame(rows, "k int, license string, b string, own int, span int, need int")
+    each = left.select("row", F.posexplode(_bigrams("w")).alias("at", "b")).join(F.broadcast(known), "b")  # a bounded list
+    hits = each.groupBy("row", "k", "license", "own", "span", "need").agg(F.sort_array(F.collect_list("at")).alias("at")).where("size(at) >= need")
+    # a span has at least the bigrams that a match needs
+    starts = hits.withColumn("at", F.expr("filter(at, (p, i) -> get(at, i + need - 1) < p + span)")).where("size(at) > 0")
+    templates = known.groupBy("k").agg(F.collect_list("b").alias("t"))
+    begun = starts.join(F.broadcast(templates), "k").select("row", "license", "own", "span", "t", F.explode("at").alias("at")).join(left, "row")
+    spans = once(begun, words=F.expr("slice(w, at + 1, span + 1)"))
+    spans = once(spans.drop("w"), g=F.array_distinct(_bigrams("words")))
+    spans = once(spans, dice=2.0 * F.size(F.array_intersect("g", "t")) / (F.size("g") + F.col("own"))).where(F.col("dice") >= similar)
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("minus"), (-F.col("span")).alias("short"), "license", "at", (F.col("at") + F.col("span")).alias("last"), F.array_join("words", " ").alias("passage"))))
+    best = spans.groupBy("row", "doc_id").agg(ranked.alias("ranked"))
+    chosen = F.expr("aggregate(ranked, slice(ranked, 1, 0), (acc, x) -> CASE WHEN exists(acc, y -> y.at <= x.last AND x.at <= y.last) THEN acc ELSE concat(acc, array(x)) END)")
+    return best.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.passage", "c.license", (-F.col("c.minus")).alias("dice"))
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similar: float = SIMILAR, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+    """``doc_id, passage, license, dice`` for each passage that matches."""
+    listed = sorted((name, template_bigrams(text)) for name, text in templates.items())
+    inner = [(name, text) for name, text in templates.items()] + [(name, text) for name, texts in notices.items() for text in texts]
+    counted = [(name, template_bigrams(text), len("".join(c if c.isalnum() else " " for c in text).split())) for name, text in inner]
+    pivots = keywords([(name, bigrams) for name, bigrams, _ in counted], similar)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    some = materialise(_having(rows, "text", pivots).withColumn("row", F.monotonically_increasing_id()), "licensed")
+    whole = materialise(_whole(some, listed, similar), "whole")
+    return whole.drop("row").unionByName(_inside(some, whole, counted, similar))
