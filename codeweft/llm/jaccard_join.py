@@ -291,7 +291,10 @@ def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), _arrays(*shingle_sets(*buffers(batch.column("text")), width))], names=["cls", "members"])
+            flat, ends = shingle_sets(*buffers(batch.column("text")), width)
+            # rows of one doc_id may have other texts, whose sets are of other classes
+            own = pa.array(_classes(flat, ends)[0] == np.asarray(batch.column("cls")))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), _arrays(flat, ends)], names=["cls", "members"]).filter(own)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("chosen"), F.col("text").cast("string").alias("text")).join(chosen, "chosen").select("cls", "text")
     held = materialise(texts.mapInArrow(members, "cls bigint, members array<bigint>").dropDuplicates(["cls"]), "members")
