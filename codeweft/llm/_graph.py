@@ -1,90 +1,164 @@
-"""Connected components of an edge table, by alternating large-star and
-small-star steps (Kiveris et al., 2014). Every step is a minimum per vertex
-and a join, so a vertex with very many edges is summed before the shuffle and
-its rows can be split by adaptive skew joins."""
+"""Links inside buckets of candidates, and connected components.
+
+Components come from alternating large-star and small-star steps (Kiveris et
+al., 2014). Every step is a minimum per vertex, which is summed before the
+shuffle and written, and a join of two stored tables, whose hot keys adaptive
+skew joins can split.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm._store import materialise
+from codeweft.llm._store import discard, materialise
 
-#: Rounds in which one member of each bucket is compared with the others,
-#: before all pairs that remain.
-STARS = 3
+#: Rounds in which one member of each bucket is compared with the others, at
+#: most; they go on while buckets hold more than ``LARGE`` members on average
+#: (weighted by their size).
+STARS = 8
+LARGE = 12
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step's edges, and the table of minima that they are read from."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return both.join(low, both["u"] == low["x"]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "minima")
+    return both.join(low, both["u"] == low["x"]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
     to_low = down.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), low
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``vertex, component`` for every vertex of ``edges(u, v)``; the component
-    is named after its smallest vertex. Both columns have an ordered type."""
+    """``vertex, component`` for every vertex of ``edges(u, v)``, written; the
+    component is named after its smallest vertex. Both columns have an ordered
+    type."""
     edges = materialise(edges.where("u <> v").distinct(), "edges")
     before = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
+        for step in (_large_star, _small_star):
+            stepped, low = step(edges)
+            stepped = materialise(stepped, "stars")
+            discard(edges, low)
+            edges = stepped
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
     roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _cross(left: DataFrame, right: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of one bucket whose members are in different components and have
-    sizes that fit."""
-    num, den = similar
-    a = left.select("sig", F.col("cls").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
-    b = right.select("sig", F.col("cls").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"))
-    fits = (den * F.least("np", "nq") >= num * F.greatest("np", "nq")) & (F.col("lp") != F.col("lq"))
-    low = F.col("p") < F.col("q")
-    return a.join(b, "sig").where(fits).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), F.when(low, F.col("np")).otherwise(F.col("nq")).alias("nu"), F.when(low, F.col("nq")).otherwise(F.col("np")).alias("nv")).distinct()
+    labels = materialise(edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots), "labels")
+    discard(edges)
+    return labels
 
 
-def linked(shared: DataFrame, similar: tuple[int, int], verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: components are joined, not found anew."""
+    if labels is None:
+        return components(links)
+    for end in ("u", "v"):
+        links = links.join(labels.select(F.col("vertex").alias(end), F.col("component").alias(f"l{end}")), end, "left")
+    moved = components(links.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
+    names = moved.select(F.col("vertex").alias("component"), F.col("component").alias("name"))
+    known = labels.join(names, "component", "left").select("vertex", F.coalesce("name", "component").alias("component"))
+    fresh = moved.join(labels.select("vertex"), "vertex", "left_anti")
+    out = materialise(known.unionByName(fresh), "labels")
+    discard(labels, moved)
+    return out
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("cls"))
+    held = rows.drop("label").join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")
+    return held.withColumn("label", F.coalesce("component", "cls")).drop("component")
+
+
+def _ordered() -> list[Column]:
+    """``u, v, nu, nv`` of members ``cls`` and ``o_cls``, the smaller first."""
+    low = F.col("cls") < F.col("o_cls")
+    return [F.least("cls", "o_cls").alias("u"), F.greatest("cls", "o_cls").alias("v"), F.when(low, F.col("n")).otherwise(F.col("o_n")).alias("nu"), F.when(low, F.col("o_n")).otherwise(F.col("n")).alias("nv")]
+
+
+def linked(
+    shared: DataFrame,
+    similar: tuple[int, int],
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column] | None = None,
+    sketch: Callable[[DataFrame], DataFrame] | None = None,
+    close: Callable[[str, str], Column] | None = None,
+) -> DataFrame | None:
     """``vertex, component`` of the members that verified links join, or None
-    without any candidate pair. ``shared`` lists ``sig, cls, n, lead``: bucket,
-    member, size, and who is compared with the others first (the smallest); ``verify`` keeps the linked ones of ``u, v, nu, nv`` as ``u, v``.
+    without any link. ``shared`` lists ``sig, cls, n, lead``: bucket, member,
+    size, and who is compared with the others first (the smallest). ``near``
+    is a test of two members by further columns of ``shared``, given their
+    prefixes; ``sketch`` adds columns that ``close`` tests in the last round.
+    Both may only refuse pairs without a link. ``verify`` keeps the linked
+    ones of ``u, v, nu, nv`` as ``u, v``.
 
     A bucket of m members that are all alike costs m pairs: in each of the
-    first rounds one member is compared with the others, and pairs inside a
-    component are never looked at again. All pairs of a bucket whose members
-    are in different components after that are verified, so no link that
-    joins components is left out."""
-    tried = found = labels = None
-    for step in range(STARS + 1):
-        rows = shared.withColumn("label", F.col("cls")) if labels is None else shared.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").select("sig", "cls", "n", "lead", F.coalesce("component", "cls").alias("label"))
-        if labels is not None:
-            span = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-            rows = materialise(rows.join(span, "sig", "left_semi"), "open")
-        if step < STARS:
-            order = F.struct(F.lit(0) if step else F.col("lead"), F.xxhash64("cls", F.lit(step)))
-            centre = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "label"), order).alias("c")).select("sig", "c.*")
-        pairs = _cross(rows, centre if step < STARS else rows, similar)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+    first rounds one member is compared with the others and then leaves the
+    bucket, and pairs inside a component are never looked at again. In the
+    last round the members outside a bucket's largest component are compared
+    with all of the bucket, so no link that joins components is left out. The
+    tests run inside the joins: a pair that fails them is never written.
+    """
+    num, den = similar
+    carried = [c for c in shared.columns if c not in ("sig", "cls", "n", "lead")]
+    kept = ["sig", "cls", "n", "lead", *carried]
+    fits = (den * F.least("n", "o_n") >= num * F.greatest("n", "o_n")) & (F.col("label") != F.col("o_label"))
+    if near is not None:
+        fits = fits & near("", "o_")
+    tried: list[DataFrame] = []
+    rows, held, labels = shared, None, None
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal labels
+        if tried:
+            before = tried[0]
+            for more in tried[1:]:
+                before = before.unionByName(more)
+            pairs = pairs.join(before, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if rows.isEmpty():
-                break
-            continue
         good = materialise(verify(pairs), "links")
-        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
-        found = good if found is None else found.unionByName(good)
-        labels = components(found)
+        if not good.isEmpty():
+            labels = _relabelled(labels, good)
+        discard(good)
+        tried.append(pairs)
+
+    for step in range(STARS + 1):
+        rows = _labelled(rows, labels)
+        if step:
+            rows = materialise(rows, "labelled")
+            discard(held)
+        order = F.struct(F.lit(0) if step else F.col("lead"), F.xxhash64("cls", F.lit(step)))
+        centre = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min_by(F.struct("cls", "n", "label", *carried), order).alias("c")).where("low <> high")
+        centre = materialise(centre.select("sig", "m", *[F.col(f"c.{c}").alias(f"o_{c}") for c in ("cls", "n", "label", *carried)]), "centres")
+        size = centre.agg(F.sum("m").alias("rows"), F.sum(F.col("m").cast("double") * F.col("m")).alias("squares")).first()
+        if not size.rows or step == STARS or (step and size.squares <= LARGE * size.rows):
+            discard(centre)
+            break
+        held = materialise(rows.join(centre, "sig").where("cls <> o_cls").withColumn("fits", fits).select(*kept, "fits", *[F.when(F.col("fits"), F.col(c)).alias(c) for c in ("o_cls", "o_n")]), "open")
+        discard(centre, rows if step else None)
+        settle(held.where("fits").select(*_ordered()).distinct())
+        rows = held.select(*kept)
+    if size.rows:
+        often = rows.groupBy("sig", "label").agg(F.count("*").alias("m"))
+        major = materialise(often.groupBy("sig").agg(F.count("*").alias("labels"), F.max_by("label", "m").alias("major")).where("labels > 1").select("sig", "major"), "majors")
+        rest = rows.join(major, "sig").withColumn("minor", F.col("label") != F.col("major")).drop("major", "lead")
+        rest = materialise(sketch(rest) if sketch else rest, "rest")
+        discard(major, rows if step else None)
+        other = rest.select(*[F.col(c).alias(f"o_{c}") for c in rest.columns])
+        test = fits & (close("", "o_") if close else F.lit(True)) & (~F.col("o_minor") | (F.col("cls") < F.col("o_cls")))
+        settle(rest.where("minor").join(other, (F.col("sig") == F.col("o_sig")) & test).select(*_ordered()).distinct())
+        discard(rest)
+    elif step:
+        discard(rows)
+    discard(*tried)
     return labels

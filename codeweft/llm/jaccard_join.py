@@ -24,22 +24,24 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import _bitmap
 from codeweft.llm._graph import linked
-from codeweft.llm._store import materialise, release
+from codeweft.llm._store import discard, materialise
 from codeweft.llm._words import SPACED_LOWER, buffers, grams, mix, slices, split
 from codeweft.runtime import ship
 
 WIDTH = 5
+#: Bits of a set's odd sketch.
+SKETCH = 1024
 #: Similarity from which two documents link, as a fraction.
 SIMILAR = (80, 100)
 
@@ -223,11 +225,16 @@ def _survivors(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Sc
 
     every = _input(docs).mapInArrow(run(None), "sig bigint, cls bigint")
     several = materialise(every.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("sig"), "several")
-    release(docs.sparkSession)
     rows = _input(docs).mapInArrow(run(_bitmap.build(several, "sig")), ROWS).join(several, "sig", "left_semi")
     if scheme.subset > 1:
-        return rows.select("cls").distinct()
-    return _ranked(materialise(rows.distinct(), "shared"), scheme).select("cls").distinct()
+        found = materialise(rows.select("cls").distinct(), "survivors")
+    else:
+        shared = materialise(rows.distinct(), "shared")
+        ranked, often = _ranked(shared, scheme)
+        found = materialise(ranked.select("cls").distinct(), "survivors")
+        discard(shared, often)
+    discard(several)
+    return found
 
 
 ROWS = "sig bigint, cls bigint, n bigint, band bigint, unit bigint, differ bigint"
@@ -256,21 +263,26 @@ def _buckets(held: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 yield _rows(found, np.ones(len(found.value), dtype=bool), np.asarray(part.column("cls")), np.diff(ends))
 
     rows = held.select("cls", "members").mapInArrow(run, ROWS)
-    rows = materialise(_ranked(rows, scheme).drop("place", "lead"), "fine")
-    release(held.sparkSession)
-    return materialise(_ranked(rows, scheme).where("place <= differ + 1").select("sig", "cls", "n", "lead"), "rare")
+    ranked, often = _ranked(rows, scheme)
+    fine = materialise(ranked.drop("place", "lead"), "fine")
+    discard(often)
+    ranked, often = _ranked(fine, scheme)
+    rare = materialise(ranked.where("place <= differ + 1").select("sig", "cls", "n", "lead"), "rare")
+    discard(fine, often)
+    return rare
 
 
-def _ranked(rows: DataFrame, scheme: Scheme) -> DataFrame:
+def _ranked(rows: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """The rows of sets that still share enough units, with the place of each
-    unit among all of its set, rarest first. Of p units similar sets agree on
-    p - differ, so the differ + 1 rarest of one meet those of the other."""
+    unit among all of its set, rarest first, and the table of counts that they
+    are read with. Of p units similar sets agree on p - differ, so the
+    differ + 1 rarest of one meet those of the other."""
     parts = F.ceil(F.lit(scheme.slack) * (F.floor(F.col("differ") / (scheme.misses + 1)) + 1)) * (scheme.misses + scheme.subset)
-    often = rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
+    often = materialise(rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "often")
     own = Window.partitionBy("cls", "band")
     counted = rows.join(often, "sig").withColumn("units", F.count("*").over(own)).where(F.col("units") >= parts - F.col("differ"))
     counted = counted.withColumn("lead", parts - F.col("units"))
-    return counted.withColumn("place", F.row_number().over(own.orderBy("often", "sig")) + F.col("lead")).drop("often", "units")
+    return counted.withColumn("place", F.row_number().over(own.orderBy("often", "sig")) + F.col("lead")).drop("often", "units"), often
 
 
 def _verified(pairs: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -281,24 +293,50 @@ def _verified(pairs: DataFrame, members: DataFrame, similar: tuple[int, int]) ->
     return found.where(den * F.col("both") >= num * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
 
 
+def odd_sketches(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """For each set ``SKETCH`` bits, each the parity of the shingles that fall
+    on it: two sets differ in no fewer shingles than their sketches in bits."""
+    n = len(ends) - 1
+    at = mix(flat ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)
+    cell = at.astype(np.int64) + np.repeat(np.arange(n), np.diff(ends)) * SKETCH
+    bits = (np.bincount(cell, minlength=n * SKETCH) & 1).astype(np.uint8)
+    words = np.packbits(bits).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(words))
+
+
+def _within(similar: tuple[int, int]) -> Callable[[str, str], Column]:
+    """Whether the sketches of two sets allow them to be similar."""
+    num, den = similar
+
+    def test(a: str, b: str) -> Column:
+        differ = sum((F.bit_count(F.get(f"{a}odd", F.lit(k)).bitwiseXOR(F.get(f"{b}odd", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+        return (den + num) * differ <= (den - num) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+    return test
+
+
 def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame | None:
     """``vertex, component`` over classes that link with another class, or
     None if no two classes have enough in common."""
     # one document of each class that may have a partner, and its set
-    concerned = materialise(_survivors(docs, width, similar, scheme_for(similar)), "survivors")
-    release(docs.sparkSession)
+    concerned = _survivors(docs, width, similar, scheme_for(similar))
     chosen = materialise(sets.join(concerned, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("chosen")), "chosen")
+    discard(concerned)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             flat, ends = shingle_sets(*buffers(batch.column("text")), width)
             # rows of one doc_id may have other texts, whose sets are of other classes
             own = pa.array(_classes(flat, ends)[0] == np.asarray(batch.column("cls")))
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), _arrays(flat, ends)], names=["cls", "members"]).filter(own)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), _arrays(flat, ends), odd_sketches(flat, ends)], names=["cls", "members", "odd"]).filter(own)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("chosen"), F.col("text").cast("string").alias("text")).join(chosen, "chosen").select("cls", "text")
-    held = materialise(texts.mapInArrow(members, "cls bigint, members array<bigint>").dropDuplicates(["cls"]), "members")
-    return linked(_buckets(held, similar), similar, lambda pairs: _verified(pairs, held, similar))
+    held = materialise(texts.mapInArrow(members, "cls bigint, members array<bigint>, odd array<bigint>").dropDuplicates(["cls"]), "members")
+    discard(chosen)
+    rare = _buckets(held, similar)
+    labels = linked(rare, similar, lambda pairs: _verified(pairs, held, similar), sketch=lambda rows: rows.join(held.select("cls", "odd"), "cls"), close=_within(similar))
+    discard(rare, held)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -307,15 +345,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similar: tuple[int,
     the smallest that links lead to."""
     sets = materialise(described(docs, width), "sets")
     labels = links(docs, sets, width, similar)
-    plain = sets.select("doc_id", "n", "cls", "check")
-    classes = plain.where("n > 0").groupBy("cls", "check").agg(F.min("doc_id").alias("class_id"))
+    classes = sets.where("n > 0").groupBy("cls", "check").agg(F.min("doc_id").alias("class_id"))
     if labels is not None:
-        roots = classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
-        lowest = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        classes = roots.join(lowest, "root").select("cls", "check", "class_id", "component_id")
+        roots = materialise(classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")), "roots")
+        lowest = materialise(roots.groupBy("root").agg(F.min("class_id").alias("component_id")), "lowest")
+        classes = materialise(roots.join(lowest, "root").select("cls", "check", "class_id", "component_id"), "classes")
+        discard(labels, roots, lowest)
     else:
-        classes = classes.withColumn("component_id", F.col("class_id"))
-    classes = materialise(classes, "classes")
-    out = plain.join(classes, ["cls", "check"], "left")
+        classes = materialise(classes.withColumn("component_id", F.col("class_id")), "classes")
+    out = sets.join(classes, ["cls", "check"], "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
