@@ -22,15 +22,18 @@ def _ends(raw: DataFrame, keys: DataFrame, column: Column, label: str, ident: st
     named = raw.withColumn("key", column)
     hits = named.join(keys.select("repo_id", "key", F.col("label").alias(label), F.col("id").alias(ident)), ["repo_id", "key"])
     if lenient:
-        loose = keys.where("repo_id IS NULL").select("key", F.col("label").alias(label), F.col("id").alias(ident))
-        hits = hits.unionByName(named.join(loose, "key").select(*hits.columns))
+        every = keys.select("key", F.col("repo_id").alias("of"), F.col("label").alias(label), F.col("id").alias(ident))
+        free = F.coalesce("repo_id", F.lit("")) == ""
+        hits = hits.unionByName(named.where(~free).join(every.where("of IS NULL"), "key").select(*hits.columns))
+        hits = hits.where(~free).unionByName(named.where(free).join(every, "key").select(*hits.columns))
     return hits.drop("key")
 
 
 def resolve_edges(nodes: DataFrame, raw: DataFrame, lenient: bool = False) -> DataFrame:
     """Distinct ``repo_id, src_label, src_id, rel_type, dst_label, dst_id``: each
     raw edge between all nodes that its ends name. With ``lenient``, nodes
-    without a repository belong to every one."""
+    whose repository is null belong to every one, and raw edges without a
+    repository (null or empty) join nodes of all."""
     keys = node_keys(nodes)
     both = _ends(raw, keys, F.col("source"), "src_label", "src_id", lenient)
     both = _ends(both, keys, cleaned(F.col("target")), "dst_label", "dst_id", lenient)

@@ -30,6 +30,16 @@ def without_files(rows: DataFrame, files: DataFrame, repo_id: str | None = None)
     return rows.join(gone.withColumn("repo_id", F.lit(repo_id)), ["repo_id", "file"], "left_anti").select(*rows.columns)
 
 
+def delete_file(nodes: DataFrame, raw: DataFrame, file: str, repo_id: str = "") -> tuple[DataFrame, DataFrame, int]:
+    """(nodes, raw edges, how many nodes went) without those of a file in the
+    repository, or in all if none is given."""
+    mine = F.col("file") == file
+    if repo_id:
+        mine = mine & (F.col("repo_id") == repo_id)
+    stays = ~F.coalesce(mine, F.lit(False))
+    return nodes.where(stays), raw.where(stays), nodes.where(mine).count()
+
+
 def wipe_repo(rows: DataFrame, repo_id: str) -> tuple[DataFrame, int]:
     mine = F.col("repo_id") == repo_id
     return rows.where(~F.coalesce(mine, F.lit(False))), rows.where(mine).count()

@@ -118,24 +118,32 @@ def neighbours(graph: Graph, target: DataFrame, rel_type: str, label: str) -> Da
     return edges.join(target, meets, "left_semi").select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id")).distinct()
 
 
-def _joined(rows: DataFrame, name: str) -> DataFrame:
-    return rows.agg(F.array_sort(F.collect_set("id")).alias(name))
-
-
-def impact(graph: Graph, target: DataFrame) -> DataFrame:
+def impact_branches(graph: Graph, target: DataFrame, hops: int = 3) -> dict[str, DataFrame]:
+    """What a change of the target may touch, a table ``label, id`` for each
+    branch: ``callers, callees, exceptions, configs``. Every branch is found
+    by itself, so no product of the branches arises."""
+    one = target.select("label", "id").limit(1)
+    return {
+        "callers": callers(graph, one, hops),
+        "callees": neighbours(graph, one, "CALLS", "Function"),
+        "exceptions": neighbours(graph, one, "RAISES", "Exception"),
+        "configs": neighbours(graph, one, "READS", "Config"),
+    }
+
+
+def impact(graph: Graph, target: DataFrame, hops: int = 3) -> DataFrame:
     """One row for the target (none for an unknown node): ``id, callers,
-    callees, exceptions, configs``, each a sorted list of ids. Every branch is
-    aggregated by itself, so no product of the branches arises."""
+    callees, exceptions, configs``, each a sorted list of ids. The row is as
+    large as what the target touches; ``impact_branches`` gives the same as
+    tables, of which any part can be taken."""
     one = target.select("label", "id", "name", "file").limit(1)
-    out = one
-    for rows, name in (
-        (callers(graph, one), "callers"),
-        (neighbours(graph, one, "CALLS", "Function"), "callees"),
-        (neighbours(graph, one, "RAISES", "Exception"), "exceptions"),
-        (neighbours(graph, one, "READS", "Config"), "configs"),
-    ):
-        out = out.join(F.broadcast(_joined(rows, name)), how="left")  # one row
-    return out
+    found = None
+    for name, rows in impact_branches(graph, one, hops).items():
+        rows = rows.select(F.lit(name).alias("branch"), F.col("id").alias("of"))
+        found = rows if found is None else found.unionByName(rows)
+    lists = found.groupBy().pivot("branch", ["callers", "callees", "exceptions", "configs"]).agg(F.array_sort(F.collect_set("of")))
+    none = F.array().cast("array<string>")
+    return one.join(lists, how="left").select("label", "id", "name", "file", *[F.coalesce(c, none).alias(c) for c in ("callers", "callees", "exceptions", "configs")])
 
 
 def rendered(array: Column) -> Column:

@@ -3,9 +3,11 @@ Parquet tables in one folder."""
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,45 +15,91 @@ from pyspark.sql import functions as F
 
 from codeweft.operators import inspect
 from codeweft.operators.resolve import resolve_edges
-from codeweft.operators.sync import wipe_repo
 from codeweft.operators.vector import Embedder, HashingEmbedder
 from codeweft.plans import ingest, sessions, tracker
 from codeweft.plans.agent import Answer, run_agent
 from codeweft.plans.tools import Toolbox
-from codeweft.schema import NODES, RAW_EDGES, Graph
+from codeweft.schema import NODES, RAW_EDGES, Graph, problems
 from codeweft.sources.files import read_files, repo_name, resolve_repo
 
 EVENTS = "repo_id string, seq bigint, op string, stage string, percent int, detail string, error string, at timestamp"
-_SCHEMAS = {"repos": sessions.REPOS, "chats": sessions.CHATS, "messages": sessions.MESSAGES, "events": EVENTS, "nodes": NODES, "raw_edges": RAW_EDGES}
+_LOGS = {"repos": (sessions.REPOS, "repo_id"), "chats": (sessions.CHATS, "chat_id"), "messages": (sessions.MESSAGES, "msg_id")}
+_GRAPH = {"nodes": NODES, "raw_edges": RAW_EDGES}
+#: Stale edges that an update lists; more are told by a flag.
+LISTED = 200
 
 
 class Engine:
-    """Each table is a chain of immutable versions: a change writes the next
-    one and then names it current, so a failed write leaves the last intact."""
+    """Repositories, chats, messages and events are logs that are only ever
+    added to: of each key the last record counts, and one that says ``gone``
+    takes it away, so writers at the same time lose nothing of each other's.
+    A repository's nodes and edges are one version of files each; a change
+    writes the next version, names it current in a log and lets go of all but
+    the one before it. Other repositories' files are not touched."""
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or HashingEmbedder()
 
-    def table(self, name: str) -> DataFrame:
+    # -- storage
+
+    def _read(self, path: str, schema: str) -> DataFrame:
         try:
-            versions = self.spark.read.schema("version string, seq bigint").json(f"{self.root}/current/{name}")
-            last = versions.orderBy(F.desc("seq")).first()
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
         except AnalysisException:  # nothing was written yet
-            last = None
-        if last is None:
-            return self.spark.createDataFrame([], _SCHEMAS[name])
-        return self.spark.read.parquet(f"{self.root}/tables/{name}/{last.version}")
-
-    def _write(self, name: str, rows: DataFrame) -> None:
+            return self.spark.createDataFrame([], schema)
+
+    def _append(self, name: str, rows: DataFrame, gone: bool = False) -> None:
+        stamped = rows.withColumns({"rank": F.lit(time.time_ns()), "gone": F.lit(gone)})
+        stamped.coalesce(1).write.mode("append").parquet(f"{self.root}/logs/{name}")
+
+    def _versions(self, name: str) -> DataFrame:
+        """``repo_id, version, before`` of each repository that has any."""
+        log = self._read(f"logs/{name}_versions", "repo_id string, version string, rank bigint, gone boolean")
+        last = log.groupBy("repo_id").agg(F.max_by(F.struct("version", "gone"), "rank").alias("last"))
+        return last.where("NOT last.gone").select("repo_id", "last.version")
+
+    def table(self, name: str, repo_id: str | None = None) -> DataFrame:
+        """The rows of a table as they are now; of nodes and raw edges also
+        those of one repository, without reading others."""
+        if name == "events":
+            return self._read("logs/events", EVENTS)
+        if name in _LOGS:
+            schema, key = _LOGS[name]
+            log = self._read(f"logs/{name}", f"{schema}, rank bigint, gone boolean")
+            columns = [c for c in log.columns if c not in ("rank", "gone")]
+            last = log.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns, "gone"), "rank").alias("last"))
+            return last.where("NOT last.gone").select(*[f"last.{c}" for c in columns])
+        held = self._versions(name)
+        held = held if repo_id is None else held.where(F.col("repo_id") == repo_id)
+        paths = [f"{self.root}/{name}/{r.repo_id}/{r.version}" for r in held.collect()]  # one for each repository
+        return self.spark.read.schema(_GRAPH[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _GRAPH[name])
+
+    def _name(self, name: str, repo_id: str, version: str | None) -> None:
+        """Make a version current, or none; older files go, but for the one
+        before, which may be in use."""
+        before = [r.version for r in self._versions(name).where(F.col("repo_id") == repo_id).collect()]
+        self._append(f"{name}_versions", self.spark.createDataFrame([(repo_id, version)], "repo_id string, version string"), version is None)
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{repo_id}")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(top) if fs.exists(top) else []:
+            if version is None or status.getPath().getName() not in (version, *before):
+                fs.delete(status.getPath(), True)
+
+    def _store(self, repo_id: str, nodes: DataFrame, raw: DataFrame) -> None:
+        """Write both, check the nodes' keys, and only then make them current."""
         version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/tables/{name}/{version}")
-        stamp = int(datetime.now().timestamp() * 1e6)
-        self.spark.createDataFrame([(version, stamp)], "version string, seq bigint").coalesce(1).write.mode("append").json(f"{self.root}/current/{name}")
+        for name, rows in (("nodes", nodes), ("raw_edges", raw)):
+            rows.write.parquet(f"{self.root}/{name}/{repo_id}/{version}")
+        found = problems(self.spark.read.schema(NODES).parquet(f"{self.root}/nodes/{repo_id}/{version}")).limit(5).collect()
+        if found:
+            raise ValueError(f"nodes break the schema: {[(r.label, r.id, r.n) for r in found]}")
+        for name in _GRAPH:
+            self._name(name, repo_id, version)
 
     def _event(self, repo_id: str, op: str, stage: str | None = None, error: str | None = None) -> None:
         now = datetime.now()
-        row = self.spark.createDataFrame([(repo_id, int(now.timestamp() * 1e6), op, stage, None, None, error, now)], EVENTS)
-        self._write("events", self.table("events").unionByName(row))
+        row = self.spark.createDataFrame([(repo_id, time.time_ns() // 1000, op, stage, None, None, error, now)], EVENTS)
+        row.write.mode("append").parquet(f"{self.root}/logs/events")
 
     # -- repositories
 
@@ -60,20 +108,23 @@ class Engine:
         known = sessions.find_repo_by_source(self.table("repos"), source).first()
         if known:
             return known.repo_id
-        repos, ident = sessions.create_repo(self.table("repos"), source, repo_name(source))
-        self._write("repos", repos)
+        row, ident = sessions.new_repo(self.spark, source, repo_name(source))
+        self._append("repos", row)
         self._event(ident, "init")
         self.index(ident)
         return ident
 
-    def _source(self, repo_id: str) -> str:
-        row = self.table("repos").where(F.col("repo_id") == repo_id).first()
-        if row is None:
+    def _repo(self, repo_id: str) -> DataFrame:
+        row = self.table("repos").where(F.col("repo_id") == repo_id)
+        if row.isEmpty():
             raise KeyError(repo_id)
-        return str(resolve_repo(row.source))
+        return row
+
+    def _source(self, repo_id: str) -> str:
+        return str(resolve_repo(self._repo(repo_id).first().source))
 
     def _status(self, repo_id: str, status: str, synced: datetime | None = None) -> None:
-        self._write("repos", sessions.update_repo_status(self.table("repos"), repo_id, status, synced))
+        self._append("repos", sessions.update_repo_status(self._repo(repo_id), repo_id, status, synced))
 
     def _tracked(self, repo_id: str, work: Callable[[], None]) -> None:
         self._status(repo_id, "indexing")
@@ -93,8 +144,7 @@ class Engine:
         def work() -> None:
             nodes, raw, _ = ingest.ingest(self.spark, self._source(repo_id), repo_id, self.embedder)
             self._event(repo_id, "complete", "parsing")
-            self._write("nodes", wipe_repo(self.table("nodes"), repo_id)[0].unionByName(nodes))
-            self._write("raw_edges", wipe_repo(self.table("raw_edges"), repo_id)[0].unionByName(raw))
+            self._store(repo_id, nodes, raw)
 
         self._tracked(repo_id, work)
 
@@ -105,66 +155,130 @@ class Engine:
         counts: dict[str, int] = {}
 
         def work() -> None:
-            own = lambda name: self.table(name).where(F.col("repo_id") == repo_id)
-            nodes, raw, diff = ingest.ingest_changes(self.spark, self._source(repo_id), repo_id, own("nodes"), own("raw_edges"), self.embedder)
+            own = [self.table(name, repo_id) for name in _GRAPH]
+            nodes, raw, diff = ingest.ingest_changes(self.spark, self._source(repo_id), repo_id, *own, self.embedder)
             counts.update({r.status: r["count"] for r in diff.groupBy("status").count().collect()})
-            other = [wipe_repo(self.table(name), repo_id)[0] for name in ("nodes", "raw_edges")]
-            merged = [other[0].unionByName(nodes), other[1].unionByName(raw)]
-            for name, rows in zip(("nodes", "raw_edges"), merged):
-                self._write(name, rows)
+            self._store(repo_id, nodes, raw)
 
         self._tracked(repo_id, work)
         return counts
 
+    def update_file(self, repo_id: str, file: str) -> dict:
+        """One file again: ``status`` is skipped, deleted or updated, with
+        counts, and edges of other files that now lead nowhere."""
+        own = [self.table(name, repo_id) for name in _GRAPH]
+        nodes, raw, told = ingest.update_file(self.spark, self._source(repo_id), repo_id, file, *own, self.embedder)
+        if told["status"] != "skipped":
+            self._store(repo_id, nodes, raw)
+        if told["status"] == "updated":
+            stale = ingest.stale_edges(self.table("nodes", repo_id), self.table("raw_edges", repo_id), file, repo_id).select("source", "target", "type").limit(LISTED + 1).collect()
+            told |= {"stale_edges": [r.asDict() for r in stale[:LISTED]], "truncated": len(stale) > LISTED}
+        return told
+
     def delete_repo(self, repo_id: str) -> None:
-        tables = sessions.delete_repo(self.table("repos"), self.table("chats"), self.table("messages"), repo_id)
-        for name in ("nodes", "raw_edges"):
-            self._write(name, wipe_repo(self.table(name), repo_id)[0])
-        for name, rows in zip(("messages", "chats", "repos"), reversed(tables)):
-            self._write(name, rows)
+        chats = self.table("chats").where(F.col("repo_id") == repo_id)
+        self._append("messages", self.table("messages").join(chats.select("chat_id"), "chat_id", "left_semi").select(*self.table("messages").columns), gone=True)
+        self._append("chats", chats, gone=True)
+        for name in _GRAPH:
+            self._name(name, repo_id, None)
+        self._append("repos", self.table("repos").where(F.col("repo_id") == repo_id), gone=True)
+
+    def clear(self) -> None:
+        """All nodes and edges of all repositories go; repositories, chats and
+        messages stay."""
+        for name in _GRAPH:
+            for row in self._versions(name).collect():  # one for each repository
+                self._name(name, row.repo_id, None)
 
     def list_repos(self) -> DataFrame:
         rows = tracker.with_live_status(self.table("repos"), tracker.fold(self.table("events")))
         return sessions.list_repos(rows.withColumn("dot_color", tracker.dot_color(F.col("status"))))
 
     def index_status(self, repo_id: str) -> DataFrame:
-        return tracker.fold(self.table("events").where(F.col("repo_id") == repo_id))
+        """The stages of the repository's last run; without one, all done or
+        all pending, by its stored status."""
+        mine = self.table("events").where(F.col("repo_id") == repo_id)
+        return tracker.untracked(self._repo(repo_id)) if mine.isEmpty() else tracker.fold(mine)
 
     # -- graph
 
-    def graph(self) -> Graph:
-        nodes = self.table("nodes")
-        return Graph(nodes, resolve_edges(nodes, self.table("raw_edges")))
+    def graph(self, repo_id: str | None = None) -> Graph:
+        nodes = self.table("nodes", repo_id)
+        return Graph(nodes, resolve_edges(nodes, self.table("raw_edges", repo_id)))
 
     def stats(self, repo_id: str) -> dict:
-        return inspect.repo_stats(self.graph(), repo_id).first().asDict()
+        return inspect.repo_stats(self.graph(repo_id), repo_id).first().asDict()
 
     def preview(self, repo_id: str, limit: int = 60, highlighted: list[str] = ()) -> dict:
-        own = self.graph().within(repo_id)
+        own = self.graph(repo_id)
         return {"nodes": [r.asDict() for r in inspect.preview_nodes(own, limit, highlighted).collect()], "edges": [r.asDict() for r in inspect.preview_edges(own, limit).collect()]}
 
+    def query_url(self, repo_id: str, base: str = "codeweft://query") -> dict:
+        """A link that holds the query of a repository's nodes."""
+        self._repo(repo_id)
+        sql = f"SELECT * FROM nodes WHERE repo_id = '{repo_id}' LIMIT 100"
+        return {"url": f"{base}?sql={quote(sql)}", "repo_id": repo_id}
+
+    def health(self) -> dict:
+        """Whether the session runs and the folder can be read."""
+        try:
+            self.table("repos").isEmpty()
+            store = True
+        except Exception:  # noqa: BLE001  any failure means that it can't be read
+            store = False
+        return {"status": "online" if store else "degraded", "spark": not self.spark.sparkContext._jsc.sc().isStopped(), "store": store}
+
     def tools(self, repo_id: str, generate: Callable[[str], str] | None = None) -> Toolbox:
-        return Toolbox(self.graph(), read_files(self.spark, self._source(repo_id), repo_id), self.embedder, generate)
+        return Toolbox(self.graph(repo_id), read_files(self.spark, self._source(repo_id), repo_id), self.embedder, generate)
 
     # -- chats
 
     def create_chat(self, repo_id: str) -> str:
-        chats, ident = sessions.create_chat(self.table("chats"), repo_id)
-        self._write("chats", chats)
+        self._repo(repo_id)
+        row, ident = sessions.new_chat(self.spark, repo_id)
+        self._append("chats", row)
         return ident
 
+    def _chat(self, chat_id: str) -> DataFrame:
+        row = self.table("chats").where(F.col("chat_id") == chat_id)
+        if row.isEmpty():
+            raise KeyError(chat_id)
+        return row
+
+    def get_chat(self, chat_id: str) -> dict:
+        return sessions.chats_with_repo(self._chat(chat_id), self.table("repos")).first().asDict()
+
+    def list_chats(self, repo_id: str | None = None) -> DataFrame:
+        chats = self.table("chats") if repo_id is None else self.table("chats").where(F.col("repo_id") == repo_id)
+        return sessions.chats_with_repo(chats, self.table("repos")).orderBy(F.desc("created_at"), "chat_id")
+
+    def update_chat(self, chat_id: str, title: str | None = None, repo_id: str | None = None) -> None:
+        """Set the title, the repository, or both; an empty one stays."""
+        chat = self._chat(chat_id)
+        if title:
+            chat = sessions.set_title(chat, chat_id, title)
+        if repo_id:
+            chat = sessions.set_repo(chat, chat_id, repo_id)
+        if title or repo_id:
+            self._append("chats", chat)
+
+    def delete_chat(self, chat_id: str) -> None:
+        """The chat and its messages go; an unknown one changes nothing."""
+        self._append("messages", self.table("messages").where(F.col("chat_id") == chat_id), gone=True)
+        self._append("chats", self.table("chats").where(F.col("chat_id") == chat_id), gone=True)
+
+    def messages(self, chat_id: str) -> DataFrame:
+        return sessions.list_messages(self.table("messages"), chat_id)
+
     def ask(self, chat_id: str, question: str, model: Callable[[str], str]) -> Answer:
         """Save the question, title a new chat after it, answer it and save
         the answer."""
-        chat = self.table("chats").where(F.col("chat_id") == chat_id).first()
-        if chat is None:
-            raise KeyError(chat_id)
-        messages = sessions.save_message(self.table("messages"), chat_id, "user", question)
-        self._write("messages", messages)
+        chat = self._chat(chat_id).first()
+        self._append("messages", sessions.new_message(self.spark, chat_id, "user", question))
         if self.table("messages").where(F.col("chat_id") == chat_id).count() == 1:
             title = self.spark.createDataFrame([(question,)], "q string").select(sessions.chat_title(F.col("q"))).first()[0]
-            self._write("chats", sessions.set_title(self.table("chats"), chat_id, title))
+            self.update_chat(chat_id, title)
         got = run_agent(question, self.tools(chat.repo_id, model), model, chat.repo_id)
         trace = [(t["tool"], t["args"]) for t in got.trace]
-        self._write("messages", sessions.save_message(self.table("messages"), chat_id, "assistant", got.answer, "agent", trace, got.is_partial, got.highlighted_nodes))
+        self._append("messages", sessions.new_message(self.spark, chat_id, "assistant", got.answer, "agent", trace, got.is_partial, got.highlighted_nodes))
         return got

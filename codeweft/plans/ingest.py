@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.resolve import resolve_edges, upsert_nodes
-from codeweft.operators.sync import resync
+from codeweft.operators.sync import delete_file, resync, stale_edges, stored_hashes  # noqa: F401  stale_edges: part of the surface
 from codeweft.operators.vector import Embedder, embed_missing
 from codeweft.runtime import ship
-from codeweft.schema import NODES, Graph
+from codeweft.schema import NODES, RAW_EDGES, Graph
 from codeweft.sources import python_source, script_source
 from codeweft.sources.emit import Parsed, module_id
-from codeweft.sources.files import DOCUMENTS, PYTHON, SCRIPT, read_files
+from codeweft.sources.files import DOCUMENTS, PYTHON, SCRIPT, file_rows, listed_files, read_files
 
 _NODE = "struct<label:string,id:string,name:string,line:int,docstring:string,source_code:string,file_hash:string>"
 _EDGE = "struct<source:string,target:string,type:string,props:map<string,string>>"
@@ -35,11 +35,50 @@ def parse_file(file: str, content: bytes, known, file_hash: str | None = None, e
     return out
 
 
-def parse_files(files: DataFrame, extended: bool = False) -> DataFrame:
-    """``repo_id, file, nodes, edges, error``, a row for each file. The names
-    of a repository's files travel with each of its files, for imports."""
-    known = files.groupBy("repo_id").agg(F.collect_set("file").alias("known"))
-    return _parse_known(files.join(known, "repo_id"), extended)
+class _Asked(Collection):
+    """Notes which paths a parser looks for among the files of a repository."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+    def __contains__(self, path: object) -> bool:
+        self.paths.add(str(path))
+        return False
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(())
+
+    def __len__(self) -> int:
+        return 0
+
+
+def import_candidates(files: DataFrame) -> DataFrame:
+    """``repo_id, file, candidate``: each path that an import of the file may
+    stand for."""
+    ship(files.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                asked = _Asked()
+                parse_file(r.file, r.content, asked)
+                rows += [(r.repo_id, r.file, path) for path in sorted(asked.paths)]
+            yield pd.DataFrame(rows, columns=["repo_id", "file", "candidate"])
+
+    return files.select("repo_id", "file", "content").mapInPandas(run, "repo_id string, file string, candidate string")
+
+
+def parse_files(files: DataFrame, extended: bool = False, todo: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """``repo_id, file, nodes, edges, error``, a row for each file, or for
+    those of ``todo(file)`` only. ``names(repo_id, file)`` lists the files of
+    the repositories where ``files`` doesn't hold all of them. Imports are resolved by a join of what each
+    file may mean with the files there are, so a file is parsed with those
+    that it names and not with the whole repository's list."""
+    some = files if todo is None else files.join(todo, "file", "left_semi")
+    there = (files if names is None else names).select("repo_id", F.col("file").alias("candidate"))
+    known = import_candidates(some).join(there, ["repo_id", "candidate"], "left_semi").groupBy("repo_id", "file").agg(F.collect_set("candidate").alias("known"))
+    return _parse_known(some.join(known, ["repo_id", "file"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), extended)
 
 
 def _parse_known(files: DataFrame, extended: bool = False) -> DataFrame:
@@ -89,15 +128,34 @@ def ingest_changes(spark: SparkSession, root: str, repo_id: str, nodes: DataFram
     files = read_files(spark, root, repo_id)
 
     def parse(todo: DataFrame) -> tuple[DataFrame, DataFrame]:
-        known = files.groupBy("repo_id").agg(F.collect_set("file").alias("known"))
-        some = files.join(todo, "file", "left_semi")
-        parsed = _parse_known(some.join(known, "repo_id"))
+        parsed = parse_files(files, todo=todo)
         return emitted_nodes(parsed), raw_edges(parsed)
 
     merged, edges, diff = resync(nodes, raw, files.select("file", "file_hash"), parse, repo_id)
     return (embed_missing(merged, embedder) if embedder is not None else merged), edges, diff
 
 
+def update_file(spark: SparkSession, root: str, repo_id: str, file: str, nodes: DataFrame, raw: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(nodes, raw edges, what was done) after one file is looked at again:
+    ``skipped`` with an equal hash, ``deleted`` if it isn't there any more,
+    else ``updated``; only that file is read and parsed."""
+    listed = listed_files(spark, root)
+    here = [(f, uri) for f, uri in listed if f == file]
+    found = file_rows(spark, here, repo_id)
+    was = stored_hashes(nodes, repo_id).where(F.col("file") == file).first()
+    if here and was and was.file_hash and was.file_hash == found.first().file_hash:
+        return nodes, raw, {"status": "skipped", "reason": "hash_match", "file": file}
+    nodes, raw, removed = delete_file(nodes, raw, file, repo_id)
+    if not here:
+        return nodes, raw, {"status": "deleted", "file": file, "nodes_removed": removed}
+    names = spark.createDataFrame([(repo_id, f) for f, _ in listed], "repo_id string, file string")
+    parsed = parse_files(found, names=names)
+    counts = parsed.select(F.size("nodes").alias("nodes"), F.size("edges").alias("edges")).first()
+    merged = upsert_nodes(nodes, emitted_nodes(parsed))
+    merged = embed_missing(merged, embedder) if embedder is not None else merged
+    return merged, raw.unionByName(raw_edges(parsed)), {"status": "updated", "file": file, "nodes_added": counts.nodes, "edges_added": counts.edges, "nodes_removed": removed}
+
+
 def summary(rows: DataFrame, column: str) -> DataFrame:
     """Counts by ``label`` or ``type``, in order of the name."""
     return rows.groupBy(column).agg(F.count("*").alias("cnt")).orderBy(column)
@@ -110,5 +168,6 @@ def save(nodes: DataFrame, raw: DataFrame, path: str, fmt: str = "parquet") -> N
 
 
 def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Graph:
-    nodes, raw = (spark.read.format(fmt).load(f"{path}/{name}") for name in ("nodes", "raw_edges"))
+    """What ``save`` wrote; the stored types are read, none is guessed."""
+    nodes, raw = (spark.read.format(fmt).schema(kind).load(f"{path}/{name}").select(*kind.names) for name, kind in (("nodes", NODES), ("raw_edges", RAW_EDGES)))
     return Graph(nodes, resolve_edges(nodes, raw))

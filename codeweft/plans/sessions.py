@@ -26,9 +26,14 @@ def _row(spark: SparkSession, schema: str, **values) -> DataFrame:
     return spark.createDataFrame([tuple(values.get(n) for n in names)], schema)
 
 
-def create_repo(repos: DataFrame, source: str, name: str, now: datetime | None = None) -> tuple[DataFrame, str]:
+def new_repo(spark: SparkSession, source: str, name: str, now: datetime | None = None) -> tuple[DataFrame, str]:
+    """A row for a repository, and its id."""
     ident = uuid.uuid4().hex
-    row = _row(repos.sparkSession, REPOS, repo_id=ident, name=name, source=source, status="idle", created_at=now or utcnow())
+    return _row(spark, REPOS, repo_id=ident, name=name, source=source, status="idle", created_at=now or utcnow()), ident
+
+
+def create_repo(repos: DataFrame, source: str, name: str, now: datetime | None = None) -> tuple[DataFrame, str]:
+    row, ident = new_repo(repos.sparkSession, source, name, now)
     return repos.unionByName(row), ident
 
 
@@ -61,9 +66,23 @@ def delete_repo(repos: DataFrame, chats: DataFrame, messages: DataFrame, repo_id
     return keep(repos), keep(chats), messages.join(gone, "chat_id", "left_anti")
 
 
-def create_chat(chats: DataFrame, repo_id: str, title: str = NEW_CHAT, now: datetime | None = None) -> tuple[DataFrame, str]:
+def new_chat(spark: SparkSession, repo_id: str, title: str = NEW_CHAT, now: datetime | None = None) -> tuple[DataFrame, str]:
+    """A row for a chat, and its id."""
     ident = uuid.uuid4().hex
-    return chats.unionByName(_row(chats.sparkSession, CHATS, chat_id=ident, repo_id=repo_id, title=title, created_at=now or utcnow())), ident
+    return _row(spark, CHATS, chat_id=ident, repo_id=repo_id, title=title, created_at=now or utcnow()), ident
+
+
+def create_chat(chats: DataFrame, repo_id: str, title: str = NEW_CHAT, now: datetime | None = None) -> tuple[DataFrame, str]:
+    row, ident = new_chat(chats.sparkSession, repo_id, title, now)
+    return chats.unionByName(row), ident
+
+
+def get_chat(chats: DataFrame, chat_id: str) -> DataFrame:
+    return chats.where(F.col("chat_id") == chat_id)
+
+
+def set_repo(chats: DataFrame, chat_id: str, repo_id: str) -> DataFrame:
+    return chats.withColumn("repo_id", F.when(F.col("chat_id") == chat_id, repo_id).otherwise(F.col("repo_id")))
 
 
 def set_title(chats: DataFrame, chat_id: str, title: str) -> DataFrame:
@@ -79,9 +98,13 @@ def chats_with_repo(chats: DataFrame, repos: DataFrame) -> DataFrame:
     return chats.join(repos.select("repo_id", F.col("name").alias("repo_name")), "repo_id", "left")
 
 
-def save_message(messages: DataFrame, chat_id: str, role: str, content: str, mode: str = "graph_rag", trace: list | None = None, is_partial: bool = False, highlighted: list[str] | None = None, now: datetime | None = None) -> DataFrame:
-    row = _row(messages.sparkSession, MESSAGES, msg_id=uuid.uuid4().hex, chat_id=chat_id, role=role, content=content, mode=mode, trace=trace or [], is_partial=is_partial, highlighted_nodes=highlighted or [], created_at=now or utcnow())
-    return messages.unionByName(row)
+def new_message(spark: SparkSession, chat_id: str, role: str, content: str, mode: str = "graph_rag", trace: list | None = None, is_partial: bool = False, highlighted: list[str] | None = None, now: datetime | None = None) -> DataFrame:
+    return _row(spark, MESSAGES, msg_id=uuid.uuid4().hex, chat_id=chat_id, role=role, content=content, mode=mode, trace=trace or [], is_partial=is_partial, highlighted_nodes=highlighted or [], created_at=now or utcnow())
+
+
+def save_message(messages: DataFrame, *args, **more) -> DataFrame:
+    """``messages`` and one more; the arguments are those of ``new_message``."""
+    return messages.unionByName(new_message(messages.sparkSession, *args, **more))
 
 
 def list_messages(messages: DataFrame, chat_id: str) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession
 
 from codeweft.operators import inspect, traverse
 from codeweft.operators.vector import Embedder, HashingEmbedder, retrieve
@@ -22,16 +23,62 @@ def unfenced(text: str) -> str:
     return (found[1] if found else text).strip()
 
 
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace|load|copy|cache|uncache|set|reset|refresh|analyze|msck|add|use|call|grant|revoke)\b", re.I)
-_READERS = re.compile(r"\b(parquet|csv|json|orc|text|binaryfile|delta|avro|jdbc)\s*\.\s*`|\b(read_files|java_method|reflect|try_reflect)\b", re.I)
-
-
-def guarded(sql: str) -> str:
-    """``sql`` if it is one SELECT over views, else an error."""
-    plain = re.sub(r"'(?:[^'\\]|\\.)*'|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
-    if not re.match(r"\s*(select|with)\b", plain, re.I) or ";" in plain.rstrip().rstrip(";") or _WRITES.search(plain) or _READERS.search(plain):
-        raise ValueError("only a single SELECT over the graph's views is allowed")
-    return sql.rstrip().rstrip(";")
+#: Parts of a parsed plan that only read what is inside the query.
+_READS = frozenset(
+    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedWith UnresolvedHaving Union Except Intersect "
+    "UnresolvedRelation UnresolvedInlineTable OneRowRelation UnresolvedSubqueryColumnAliases WithWindowDefinition Generate LateralJoin Pivot Unpivot Window".split()
+)
+_CALLS_OUT = re.compile(r"\b(java_method|reflect|try_reflect)\b", re.I)
+
+
+def _listed(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _refused(plan, names: frozenset[str]) -> str | None:
+    """What the plan does besides reading ``names``; None if nothing. The
+    names of a WITH are readable inside it only."""
+    kind = plan.nodeName()
+    if kind not in _READS:
+        return kind
+    if kind == "UnresolvedRelation":
+        name = ".".join(_listed(plan.multipartIdentifier()))
+        return None if name.lower() in names else f"relation {name}"
+    if kind == "UnresolvedWith":
+        for relation in _listed(plan.cteRelations()):
+            if found := _refused(relation._2(), names):
+                return found
+            names = names | {relation._1().lower()}
+        return _refused(plan.child(), names)
+    for inner in (*_listed(plan.children()), *_listed(plan.subqueries())):
+        if found := _refused(inner, names):
+            return found
+    return None
+
+
+def guarded(spark: SparkSession, sql: str, views: tuple[str, ...] = ("nodes", "edges")) -> str:
+    """``sql`` if it parses as one query that reads ``views`` only, else an
+    error. It is the parsed plan that is judged, not the words."""
+    sql = sql.rstrip().rstrip(";")
+    if _CALLS_OUT.search(sql):
+        raise ValueError("functions that call Java methods are not allowed")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as error:
+        raise ValueError(f"the query doesn't parse: {str(error).strip().splitlines()[0]}") from error
+    found = _refused(plan, frozenset(views))
+    if found:
+        raise ValueError(f"only a single SELECT over {' and '.join(views)} is allowed, not {found}")
+    return sql
+
+
+def isolated(graph: Graph) -> SparkSession:
+    """A new session in which ``nodes`` and ``edges`` are the graph's."""
+    spark = graph.nodes.sparkSession.newSession()
+    of_rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    for name, rows in (("nodes", graph.nodes), ("edges", graph.edges)):
+        of_rows(spark._jsparkSession, rows._jdf.logicalPlan()).createOrReplaceTempView(name)
+    return spark
 
 
 @dataclass
@@ -62,13 +109,12 @@ class Toolbox:
         if self.generate is None:
             return {"error": "no generator is configured"}
         own, problem, sql = self._own(args), "", ""
-        own.nodes.createOrReplaceTempView("nodes")
-        own.edges.createOrReplaceTempView("edges")
+        spark = isolated(own)
         for _ in range(2):
             sql = unfenced(self.generate(query_prompt(args.get("intent", ""), own, problem)))
             try:
-                rows = self.graph.nodes.sparkSession.sql(guarded(sql)).limit(ROWS).collect()
-                return {"sql": sql, "rows": [r.asDict(recursive=True) for r in rows]}
+                rows = spark.sql(guarded(spark, sql)).limit(ROWS + 1).collect()
+                return {"sql": sql, "rows": [r.asDict(recursive=True) for r in rows[:ROWS]], "truncated": len(rows) > ROWS}
             except Exception as error:  # noqa: BLE001  what went wrong goes into the next prompt
                 problem = str(error).split("\n")[0]
         return {"error": problem, "sql": sql}
@@ -89,7 +135,13 @@ class Toolbox:
         target = self._target(args)
         if target is None:
             return {"error": f"no node is named {args.get('node_id')!r}"}
-        return traverse.impact(self._own(args), target).first().asDict()
+        own = self._own(args)
+        out: dict = {"id": target.first().id, "truncated": False}
+        for branch, rows in traverse.impact_branches(own, target).items():
+            ids = [r.id for r in rows.select("id").orderBy("id").limit(ROWS + 1).collect()]
+            out[branch] = ids[:ROWS]
+            out["truncated"] |= len(ids) > ROWS
+        return out
 
     def get_call_chain(self, args: dict) -> dict:
         direction = args.get("direction", "downstream")

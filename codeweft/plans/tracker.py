@@ -57,3 +57,12 @@ def with_live_status(repos: DataFrame, live: DataFrame) -> DataFrame:
     """Stored repositories with the live status where there is one."""
     now = live.select("repo_id", F.col("status").alias("live_status"))
     return repos.join(now, "repo_id", "left").withColumn("status", F.coalesce("live_status", "status")).drop("live_status")
+
+
+def untracked(repos: DataFrame) -> DataFrame:
+    """State of repositories without any event: all stages done if they are
+    ready, else none begun."""
+    ready = F.col("status") == "ready"
+    stage = lambda s: F.struct(s.alias("name"), F.when(ready, "done").otherwise("pending").alias("status"), F.when(ready, 100).otherwise(0).alias("percent"), F.lit("").alias("detail"))
+    none = F.lit(None).cast("timestamp")
+    return repos.select("repo_id", "status", none.alias("started_at"), none.alias("finished_at"), F.lit(None).cast("string").alias("error"), F.transform(F.array(*map(F.lit, STAGES)), stage).alias("stages"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, MapType, StringType, StructField, StructType
 
 LABELS = ("Module", "Class", "Function", "Exception", "Config")
@@ -44,14 +45,18 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
-    def within(self, repo_id: str) -> Graph:
-        """The part of one repository (prunes partitions by ``repo_id``)."""
-        return Graph(self.nodes.where(self.nodes["repo_id"] == repo_id), self.edges.where(self.edges["repo_id"] == repo_id))
+    def within(self, repo_id: str, lenient: bool = False) -> Graph:
+        """The part of one repository (prunes partitions by ``repo_id``). With
+        ``lenient`` an empty id stands for all, and what belongs to no
+        repository belongs to each."""
+        if lenient and not repo_id:
+            return self
+        mine = [F.col("repo_id").eqNullSafe(repo_id) | F.col("repo_id").isNull() if lenient else F.col("repo_id") == repo_id for _ in range(2)]
+        return Graph(self.nodes.where(mine[0]), self.edges.where(mine[1]))
 
 
-def label_problems(nodes: DataFrame) -> DataFrame:
-    """Keys that break the schema: unknown labels and repeated keys."""
-    from pyspark.sql import functions as F
-
+def problems(nodes: DataFrame) -> DataFrame:
+    """``repo_id, label, id, n`` of keys that break the schema: unknown labels
+    and repeated keys."""
     counted = nodes.groupBy("repo_id", "label", "id").agg(F.count("*").alias("n"))
     return counted.where((F.col("n") > 1) | ~F.col("label").isin(*LABELS))

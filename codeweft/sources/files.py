@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ def repo_name(source: str) -> str:
 
 def resolve_repo(source: str, into: str = "data/repos", force: bool = False) -> Path:
     """A local directory for a path or URL; a URL is cloned once, or again
-    with ``force``."""
+    with ``force``. On a cluster ``into`` has to be a folder that the
+    executors see as well: they read the files."""
     if not is_url(source):
         path = Path(source).expanduser().resolve()
         if not path.is_dir():
@@ -38,22 +44,66 @@ def resolve_repo(source: str, into: str = "data/repos", force: bool = False) ->
     if target.exists() and not force:
         return target
     if target.exists():
-        subprocess.run(["rm", "-rf", str(target)], check=True)
+        shutil.rmtree(target)
     target.parent.mkdir(parents=True, exist_ok=True)
     subprocess.run(["git", "clone", "--depth", "1", source, str(target)], check=True)
     return target
 
 
+def _wanted(name: str) -> bool:
+    return name.endswith((*PYTHON, *SCRIPT, *DOCUMENTS))
+
+
+def listed_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """``(file, uri)`` of every source and document file under ``root``.
+    Skipped directories aren't entered. Only names come to the driver. Spark's
+    own lister isn't used: it hides every name that begins with ``_`` or
+    ``.``, and with them each package's ``__init__.py``."""
+    scheme, _, rest = root.partition(":")
+    if "/" in scheme or not rest or scheme == "file":
+        base = Path(re.sub(r"^file:/*", "/", root)).absolute()
+        found = []
+        for folder, folders, names in os.walk(base):
+            folders[:] = sorted(f for f in folders if f not in SKIPPED)
+            paths = (Path(folder, name) for name in sorted(names) if _wanted(name))
+            found += [(path.relative_to(base).as_posix(), str(path)) for path in paths if path.is_file()]
+        return found
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [("", top)]
+    while todo:
+        inside, folder = todo.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in SKIPPED:
+                    todo.append((f"{inside}{name}/", status.getPath()))
+            elif _wanted(name):
+                found.append((inside + name, status.getPath().toString()))
+    return sorted(found)
+
+
 def read_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """``repo_id, file, file_hash, content`` of every source and document file
-    under ``root``, found and read by Spark; skipped directories are left out.
-    Full and incremental runs share this one listing."""
-    glob = "*.{" + ",".join(s[1:] for s in (*PYTHON, *SCRIPT, *DOCUMENTS)) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
-    file = F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/*', '/'), {len(base) + 1})")
-    skipped = F.arrays_overlap(F.split(file, "/"), F.array(*map(F.lit, SKIPPED)))
-    return raw.select(F.lit(repo_id).alias("repo_id"), file.alias("file"), F.sha2("content", 256).alias("file_hash"), "content").where(~skipped)
+    under ``root``, read in tasks. Full and incremental runs share this one
+    listing."""
+    return file_rows(spark, listed_files(spark, root), repo_id)
+
+
+def file_rows(spark: SparkSession, found: list[tuple[str, str]], repo_id: str) -> DataFrame:
+    """``repo_id, file, file_hash, content`` of listed files."""
+    parts = max(1, min(len(found) // 50 + 1, 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, uri in zip(batch.column("file").to_pylist(), batch.column("uri").to_pylist()):
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_stream(path) as stream:
+                    yield pa.RecordBatch.from_pydict({"file": [file], "content": pa.array([stream.read()], pa.binary())})
+
+    names = spark.createDataFrame(found, "file string, uri string").repartition(parts)
+    raw = names.mapInArrow(run, "file string, content binary")
+    return raw.select(F.lit(repo_id).alias("repo_id"), "file", F.sha2("content", 256).alias("file_hash"), "content")
 
 
 def file_content(files: DataFrame, repo_id: str, file: str) -> dict:

@@ -30,7 +30,8 @@ def locate(dotted: str, file: str, known: Collection[str]) -> str | None:
 def parse(file: str, text: str, known: Collection[str], file_hash: str | None = None, extended: bool = False) -> Parsed:
     """Nodes and edges of one file. ``known`` holds all files of the
     repository. A file that doesn't parse still gives its module, and the
-    error. ``extended`` also keeps decorated classes."""
+    error. ``extended`` also keeps decorated classes and reads by
+    ``os.environ.get``."""
     out = Parsed(file)
     module = out.node("Module", module_id(file), module_name(file), line=1, file_hash=file_hash)
     try:
@@ -45,11 +46,11 @@ def parse(file: str, text: str, known: Collection[str], file_hash: str | None =
             _class(item, out, module, names)
     for item in tree.body:
         if isinstance(item, _DEFS):
-            _function(item, None, out, module, names, lines)
+            _function(item, None, out, module, names, lines, extended)
         elif isinstance(item, ast.ClassDef) and (extended or not item.decorator_list):
             for inner in item.body:
                 if isinstance(inner, _DEFS):
-                    _function(inner, entity_id(file, item.name), out, module, names, lines)
+                    _function(inner, entity_id(file, item.name), out, module, names, lines, extended)
     return out
 
 
@@ -99,7 +100,7 @@ def _class(item: ast.ClassDef, out: Parsed, module: str, names: dict[str, str])
             out.edge(ident, entity_id(names.get(owner, out.file), base.attr), "INHERITS")
 
 
-def _function(item: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, out: Parsed, module: str, names: dict[str, str], lines: list[str]) -> None:
+def _function(item: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, out: Parsed, module: str, names: dict[str, str], lines: list[str], extended: bool) -> None:
     source = "\n".join(lines[item.lineno - 1 : item.end_lineno])
     ident = out.node("Function", entity_id(out.file, item.name), item.name, line=item.lineno, docstring=docstring(item.body), source_code=source)
     out.edge(owner or module, ident, "CONTAINS")
@@ -108,7 +109,7 @@ def _function(item: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, o
     # Calls, raises and reads of nested functions count for the outer one.
     for part in (p for statement in item.body for p in ast.walk(statement)):
         if isinstance(part, ast.Call):
-            _call(part, ident, out, names)
+            _call(part, ident, out, names, extended)
         elif isinstance(part, ast.Raise) and part.exc is not None:
             raised = part.exc.func if isinstance(part.exc, ast.Call) else part.exc
             if isinstance(raised, (ast.Name, ast.Attribute)):
@@ -118,10 +119,10 @@ def _function(item: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, o
             out.edge(ident, out.node("Config", f"config::config.{part.attr}", f"config.{part.attr}"), "READS")
 
 
-def _call(part: ast.Call, ident: str, out: Parsed, names: dict[str, str]) -> None:
+def _call(part: ast.Call, ident: str, out: Parsed, names: dict[str, str], extended: bool) -> None:
     if isinstance(part.func, ast.Attribute):
         owner = ast.unparse(part.func.value)
-        if ast.unparse(part.func) in ("os.getenv", "os.environ.get"):
+        if ast.unparse(part.func) in ("os.getenv", "os.environ.get")[: 1 + extended]:
             for arg in part.args:
                 if isinstance(arg, ast.Constant) and isinstance(arg.value, str):
                     out.edge(ident, out.node("Config", f"config::env.{arg.value}", f"env.{arg.value}"), "READS")

@@ -11,6 +11,8 @@ from codeweft.sources.emit import Parsed, entity_id, module_id, module_name
 
 #: Fixed value: what an import without extension may stand for, in order.
 CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+#: Fixed value: files whose ``<Name`` is markup; in others it casts a type.
+MARKUP = (".tsx", ".jsx", ".js")
 _KEYWORDS = frozenset("if for while switch catch function return typeof super new import await constructor".split())
 _IMPORT = re.compile(r"""\bimport\b[^;'"]*?\bfrom\s*(['"])(?P<a>[^'"]+)\1|\bimport\s*(['"])(?P<b>[^'"]+)\3|\bexport\b[^;'"]*?\bfrom\s*(['"])(?P<c>[^'"]+)\5""")
 _TYPE = re.compile(r"\b(?:interface\s+(?P<i>[A-Za-z_$][\w$]*)|type\s+(?P<t>[A-Za-z_$][\w$]*)(?:<[^=]*>)?\s*=)")
@@ -162,7 +164,7 @@ def parse(file: str, text: str, known: Collection[str], file_hash: str | None =
             if callee.split(".")[0] in _KEYWORDS or re.search(r"\b(?:new|function)$", before):
                 continue
             out.edge(ident, f"ts_call::{callee}", "CALLS", raw_callee=callee)
-        for tag in _JSX.finditer(body):
+        for tag in _JSX.finditer(body) if file.endswith(MARKUP) else ():
             out.edge(ident, f"ts_call::{tag[1]}", "CALLS", raw_callee=tag[1], is_jsx_component="true")
         if extended:
             for name in types:

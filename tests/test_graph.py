@@ -86,9 +86,18 @@ def test_tools_and_agent(spark):
     replies = iter(["DROP TABLE nodes", "```sql\nSELECT name FROM nodes WHERE name = 'a'\n```"])
     tools = Toolbox(g, generate=lambda prompt: next(replies))
     assert tools.run_query({"intent": "x", "repo_id": "r"})["rows"] == [{"name": "a"}]
-    for bad in ("DELETE FROM nodes", "SELECT 1; DROP TABLE x", "SELECT * FROM parquet.`/etc`"):
+    bad = ["DELETE FROM nodes", "SELECT 1; DROP TABLE x", "SELECT * FROM parquet.`/etc`", "SELECT * FROM secrets", "SELECT * FROM nodes WHERE id IN (SELECT id FROM default.secrets)"]
+    bad += ["WITH x AS (SELECT * FROM secrets) SELECT * FROM x", "SELECT * FROM secrets WHERE 1 IN (WITH secrets AS (SELECT 1 AS a) SELECT a FROM secrets)", "SELECT java_method('java.lang.System', 'exit', 1)", "SET x = 1", "CACHE TABLE nodes", "SELECT * FROM read_files('/etc')", "INSERT INTO nodes SELECT * FROM nodes"]
+    for sql in bad:
         with pytest.raises(ValueError):
-            guarded(bad)
+            guarded(spark, sql)
+    for sql in ("SELECT replace(name, 'a', 'b') AS deleted FROM nodes;", "WITH x AS (SELECT src_id FROM edges), y AS (SELECT * FROM x) SELECT count(*) FROM y JOIN nodes ON src_id = id WHERE name <> '; drop table x'", "SELECT * FROM nodes n WHERE EXISTS (SELECT 1 FROM edges WHERE src_id = n.id) UNION SELECT * FROM nodes ORDER BY 1 LIMIT 3"):
+        assert guarded(spark, sql)
+    others = Toolbox(make(spark, list("xyz"), []), generate=lambda prompt: "SELECT count(*) AS n FROM nodes")
+    assert others.run_query({"intent": "x"}) == {"sql": "SELECT count(*) AS n FROM nodes", "rows": [{"n": 3}], "truncated": False}
+    assert not spark.catalog.tableExists("nodes")
+    found = tools.trace_impact({"node_id": "c", "repo_id": "r"})
+    assert len(found["callers"]) == 2 and not found["callees"] and not found["truncated"]
     assert unfenced("a ```sql\nSELECT 1\n``` b") == "SELECT 1"
     assert tools.get_call_chain({"node_id": "a", "direction": "sideways"})["error"]
     assert tools.trace_impact({"node_id": "zzz"})["error"]
