@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 #: Fixed value: words that carry no fact.
 STOP_WORDS = ("the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "that", "this", "which", "it", "as", "if", "what", "does", "do", "can", "when", "then")
 #: Fixed value: what counts as a dotted name.
-DOTTED = r"\b[a-z_][a-z0-9_]+\.[a-z_][a-z0-9_]+\b"
+DOTTED = r"[a-z_][a-z0-9_]+\.[a-z_][a-z0-9_]+"
+#: Word borders that count letters and digits of any script: what ``\\b``
+#: counts is another matter from one Java release to the next.
+_BEGIN, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Places that a score is rounded to, ties to the even digit.
+PLACES = 3
 
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case words of two and more characters, no stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_BEGIN + "[a-zA-Z_][a-zA-Z0-9_]*" + _END), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)))
 
 
@@ -33,7 +38,7 @@ def entity_scores(answers: DataFrame, answer: str = "answer", expected: str = "e
     in the answer, 0.5 to 1, and without any 1 if something was recalled."""
     text = F.lower(F.coalesce(F.col(answer), F.lit("")))
     hit = F.filter(expected, lambda e: text.contains(F.lower(e)) | text.contains(F.lower(base_name(e))))
-    dotted = F.array_distinct(F.regexp_extract_all(text, F.lit(DOTTED), F.lit(0)))
+    dotted = F.array_distinct(F.regexp_extract_all(text, F.lit(_BEGIN + DOTTED + _END), F.lit(0)))
     wanted = F.transform(expected, lambda e: F.lower(e))
     right = F.filter(dotted, lambda d: F.exists(wanted, lambda e: d.contains(e) | e.contains(d)))
     empty = F.size(expected) == 0
@@ -48,8 +53,21 @@ def entity_scores(answers: DataFrame, answer: str = "answer", expected: str = "e
 
 
 def evaluate(answers: DataFrame, answer: str = "answer", truth: str = "ground_truth", expected: str = "expected_entities") -> DataFrame:
-    """Entity scores and ``fact_overlap``."""
-    return entity_scores(answers, answer, expected).withColumn("fact_overlap", jaccard(tokens(F.col(answer)), tokens(F.col(truth))))
+    """Entity scores and ``fact_overlap``, rounded."""
+    rows = entity_scores(answers, answer, expected).withColumn("fact_overlap", jaccard(tokens(F.col(answer)), tokens(F.col(truth))))
+    return rows.withColumns({c: F.bround(c, PLACES) for c in ("recall", "precision", "f1", "fact_overlap")})
+
+
+def entity_recall(answers: DataFrame, answer: str = "answer", expected: str = "expected_entities") -> DataFrame:
+    """``answers`` with ``recall`` alone, rounded."""
+    return entity_scores(answers, answer, expected).drop("precision", "f1").withColumn("recall", F.bround("recall", PLACES))
+
+
+def overlap_judge(answers: DataFrame, answer: str = "answer", truth: str = "ground_truth") -> DataFrame:
+    """``answers`` with ``correctness`` (the fact overlap) and ``faithfulness``
+    (always 1): the shape of a judge's verdict without a judge."""
+    overlap = jaccard(tokens(F.col(answer)), tokens(F.col(truth)))
+    return answers.withColumns({"correctness": F.bround(overlap, PLACES), "faithfulness": F.lit(1.0)})
 
 
 def summary(scored: DataFrame, by: str = "mode") -> DataFrame:

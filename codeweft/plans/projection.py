@@ -1,5 +1,8 @@
 """A property graph over business tables: nations are modules, suppliers
-classes, parts functions; orders tell which part calls which."""
+classes, parts functions; orders tell which part calls which. Every pair of
+neighbouring order lines is a call and every supplier of a part has it as a
+method; ``thinned`` keeps few calls and methods, for queries that enumerate
+paths, whose number grows with the power of the degree."""
 
 from __future__ import annotations
 
@@ -19,32 +22,51 @@ def function_id(key) -> F.Column:
     return F.concat(F.lit("p/"), key.cast("string"), F.lit("::"), F.col("p_name"))
 
 
+def repository(key, several: bool) -> F.Column:
+    """One repository for all, or three by the part's number."""
+    return F.concat(F.lit("repo"), (key % 3).cast("string")) if several else F.lit(REPO)
+
+
+def functions(spark: SparkSession, sf_dir: str, several: bool = False) -> DataFrame:
+    """Parts as nodes without embedding, in one or three repositories."""
+    part = table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    return part.select(repository(F.col("p_partkey"), several).alias("repo_id"), F.lit("Function").alias("label"), function_id(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("file"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("docstring"), none.alias("file_hash"), F.lit(None).cast("int").alias("line"), none.alias("source_code"), F.lit(None).cast("array<float>").alias("embedding"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
     none = F.lit(None).cast("string")
     modules = read("nation").select(F.lit("Module").alias("label"), F.concat(F.lit("module::"), "n_name").alias("id"), F.col("n_name").alias("name"), F.col("n_name").alias("file"), none.alias("docstring"), F.sha2("n_name", 256).alias("file_hash"))
     place = F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"))
     classes = read("supplier").select(F.lit("Class").alias("label"), F.concat(place, F.lit("::"), "s_name").alias("id"), F.col("s_name").alias("name"), place.alias("file"), none.alias("docstring"), none.alias("file_hash"))
-    functions = read("part").select(F.lit("Function").alias("label"), function_id(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("file"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("docstring"), none.alias("file_hash"))
+    parts = functions(spark, sf_dir).select("label", "id", "name", "file", "docstring", "file_hash")
     key = F.get_json_object("props", "$.k").cast("bigint")
     events = read("events")
     raised = F.concat(F.lit("E"), (key % 5).cast("string"))
     errors = events.where("event_type = 'error'").select(raised.alias("name")).where("name IS NOT NULL").distinct().select(F.lit("Exception").alias("label"), F.concat(F.lit("exception::"), "name").alias("id"), "name", none.alias("file"), none.alias("docstring"), none.alias("file_hash"))
     read_key = F.concat(F.lit("config.K"), key.cast("string"))
     configs = events.where("event_type = 'view'").select(read_key.alias("name")).where("name IS NOT NULL").distinct().select(F.lit("Config").alias("label"), F.concat(F.lit("config::"), "name").alias("id"), "name", none.alias("file"), none.alias("docstring"), none.alias("file_hash"))
-    every = modules.unionByName(classes).unionByName(functions).unionByName(errors).unionByName(configs)
+    every = modules.unionByName(classes).unionByName(parts).unionByName(errors).unionByName(configs)
     return every.select(F.lit(REPO).alias("repo_id"), "*", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("source_code"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_pairs(spark: SparkSession, sf_dir: str, thinned: bool = False) -> DataFrame:
+    """Distinct ``x, y``: part x calls part y."""
+    near = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    near = near.where("l_returnflag = 'R'") if thinned else near
+    begin = near.where("l_quantity > 40") if thinned else near
+    return begin.alias("a").join(near.alias("b"), F.expr("a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")).select(F.col("a.l_partkey").alias("x"), F.col("b.l_partkey").alias("y")).distinct()
+
+
+def edges(spark: SparkSession, sf_dir: str, thinned: bool = False) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
     names = read("part").select("p_partkey", function_id(F.col("p_partkey")).alias("fid"))
-    items = read("lineitem")
-    returned = items.where("l_returnflag = 'R'")
-    calls = returned.where("l_quantity > 40").alias("a").join(returned.alias("b"), F.expr("a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")).select(F.col("a.l_partkey").alias("x"), F.col("b.l_partkey").alias("y")).distinct()
+    items = read("lineitem").where("l_quantity >= 49") if thinned else read("lineitem")
+    calls = call_pairs(spark, sf_dir, thinned)
     calls = calls.join(names.select(F.col("p_partkey").alias("x"), F.col("fid").alias("src_id")), "x").join(names.select(F.col("p_partkey").alias("y"), F.col("fid").alias("dst_id")), "y")
     suppliers = read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"), F.lit("::"), "s_name").alias("cid"))
-    methods = items.where("l_quantity >= 49").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(suppliers, "l_suppkey").join(names, "p_partkey")
+    methods = items.select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(suppliers, "l_suppkey").join(names, "p_partkey")
     contains = read("nation").join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"))
     key = F.get_json_object("props", "$.k").cast("bigint")
     events = read("events").join(names, F.col("user_id") == F.col("p_partkey")).withColumn("k", key).where("k IS NOT NULL")
@@ -57,12 +79,21 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
+def graph(spark: SparkSession, sf_dir: str, thinned: bool = False) -> Graph:
+    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir, thinned))
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> Graph:
+    """Functions in three repositories; a call belongs to its caller's, and
+    leads out of it where the called part is in another."""
+    own = functions(spark, sf_dir, several=True)
+    names = table(spark, sf_dir, "part").select("p_partkey", function_id(F.col("p_partkey")).alias("fid"))
+    calls = call_pairs(spark, sf_dir).join(names.select(F.col("p_partkey").alias("x"), F.col("fid").alias("src_id")), "x").join(names.select(F.col("p_partkey").alias("y"), F.col("fid").alias("dst_id")), "y")
+    return Graph(own, calls.select(repository(F.col("x"), True).alias("repo_id"), F.lit("Function").alias("src_label"), "src_id", F.lit("CALLS").alias("rel_type"), F.lit("Function").alias("dst_label"), "dst_id"))
 
 
 #: The same projection for the SQL side.
-SQL = """
+_SQL = """
     fn AS (SELECT p_partkey, 'p/' || p_partkey || '::' || p_name AS fid FROM part),
     cl AS (SELECT s_suppkey, s_nationkey, s_name, 's/' || s_suppkey || '::' || s_name AS cid FROM supplier),
     ev AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
@@ -77,11 +108,21 @@ SQL = """
         SELECT DISTINCT 'Function' AS src_label, f.fid AS src_id, 'CALLS' AS rel_type, 'Function' AS dst_label, g.fid AS dst_id
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
         JOIN fn f ON f.p_partkey = a.l_partkey JOIN fn g ON g.p_partkey = b.l_partkey
-        WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_quantity > 40
-        UNION SELECT 'Class', cid, 'HAS_METHOD', 'Function', fid FROM lineitem JOIN cl ON l_suppkey = s_suppkey JOIN fn ON l_partkey = p_partkey WHERE l_quantity >= 49
+        WHERE {calls}
+        UNION SELECT 'Class', cid, 'HAS_METHOD', 'Function', fid FROM lineitem JOIN cl ON l_suppkey = s_suppkey JOIN fn ON l_partkey = p_partkey WHERE {methods}
         UNION SELECT 'Module', 'module::' || n_name, 'CONTAINS', 'Class', cid FROM nation JOIN cl ON n_nationkey = s_nationkey
         UNION SELECT 'Function', fid, 'RAISES', 'Exception', 'exception::E' || (k % 5) FROM ev JOIN fn ON user_id = p_partkey WHERE event_type = 'error' AND k IS NOT NULL
         UNION SELECT 'Function', fid, 'READS', 'Config', 'config::config.K' || k FROM ev JOIN fn ON user_id = p_partkey WHERE event_type = 'view' AND k IS NOT NULL
     ),
     calls AS (SELECT src_id, dst_id FROM edges WHERE rel_type = 'CALLS')
 """
+SQL = _SQL.replace("{calls}", "TRUE").replace("{methods}", "TRUE")
+THIN_SQL = _SQL.replace("{calls}", "a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_quantity > 40").replace("{methods}", "l_quantity >= 49")
+REPOSITORIES_SQL = """
+    fn AS (SELECT p_partkey, p_name, 'repo' || (p_partkey % 3) AS repo_id, 'p/' || p_partkey || '::' || p_name AS fid FROM part),
+    calls AS (
+        SELECT DISTINCT f.repo_id, f.fid AS src_id, g.fid AS dst_id, g.repo_id AS dst_repo
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+        JOIN fn f ON f.p_partkey = a.l_partkey JOIN fn g ON g.p_partkey = b.l_partkey
+    )
+"""

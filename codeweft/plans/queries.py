@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import metrics
 from codeweft.operators import inspect, resolve, sync, traverse, vector
-from codeweft.plans import sessions
-from codeweft.plans.projection import REPO, SQL, edges, graph, nodes, table
+from codeweft.plans import generated, sessions
+from codeweft.plans.projection import REPO, REPOSITORIES_SQL, SQL, THIN_SQL, edges, graph, nodes, repositories, table
 from codeweft.schema import Graph
 
 joined = traverse.rendered
@@ -25,7 +25,7 @@ _BUSY = "busy AS (SELECT {0} AS id FROM calls GROUP BY {0} ORDER BY count(*) DES
 
 def call_chain(depth: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graph(spark, sf_dir)
+        g = graph(spark, sf_dir, thinned=True)
         starts = g.edges.where("rel_type = 'CALLS'").select(F.col("src_label").alias("label"), F.col("src_id").alias("id"))
         paths = traverse.call_chains(g, starts, depth)
         return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
@@ -37,7 +37,7 @@ def _chain_sql(depth: int, upstream: bool = False) -> str:
     near, far = ("dst_id", "src_id") if upstream else ("src_id", "dst_id")
     grow = (lambda a, x: f"list_prepend({x}, {a})") if upstream else (lambda a, x: f"list_append({a}, {x})")
     start = "SELECT id FROM busy" if upstream else "SELECT DISTINCT src_id FROM calls"
-    return f"""WITH RECURSIVE {SQL}{", " + _BUSY.format("dst_id") if upstream else ""},
+    return f"""WITH RECURSIVE {THIN_SQL}{", " + _BUSY.format("dst_id") if upstream else ""},
         paths AS (
             SELECT id AS node, [id] AS node_ids, CAST([] AS VARCHAR[]) AS used, 0 AS depth FROM ({start}) s(id)
             UNION ALL
@@ -49,7 +49,7 @@ def _chain_sql(depth: int, upstream: bool = False) -> str:
 
 
 def upstream_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
+    g = graph(spark, sf_dir, thinned=True)
     paths = traverse.call_chains(g, _busiest(g, "dst"), 4, upstream=True)
     return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
 
@@ -70,7 +70,7 @@ def _subgraph_sql(hops: int, seeds: str = "SELECT 'Function' AS label, id FROM b
     return f"""WITH {SQL}{more}, {levels}
         SELECT DISTINCT e.src_id AS source_id, e.src_label AS source_type, a.name AS source_name, e.rel_type, e.dst_id AS target_id, e.dst_label AS target_type, b.name AS target_name
         FROM edges e JOIN nodes a ON a.label = e.src_label AND a.id = e.src_id JOIN nodes b ON b.label = e.dst_label AND b.id = e.dst_id
-        WHERE EXISTS (SELECT 1 FROM {last} WHERE (label = e.src_label AND id = e.src_id) OR (label = e.dst_label AND id = e.dst_id))"""
+        WHERE (e.src_label, e.src_id) IN (SELECT (label, id) FROM {last}) OR (e.dst_label, e.dst_id) IN (SELECT (label, id) FROM {last})"""
 
 
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,18 +271,20 @@ def dot_color(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("answer"), F.pmod(F.col("doc_id"), F.lit(40)).alias("item_id"))
-    truth = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ground_truth"))
-    return docs.join(truth, "item_id")
+    """Every document answers one item, by its number among all items."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ground_truth"))
+    number = items.agg(F.count("*").alias("items"))  # one row
+    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(number)).select("doc_id", F.col("text").alias("answer"), F.pmod("doc_id", "items").alias("item_id"))
+    return docs.join(items, "item_id")
 
 
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("doc_id", F.round(metrics.jaccard(metrics.tokens(F.col("answer")), metrics.tokens(F.col("ground_truth"))), 6).alias("overlap"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, score=metrics.entity_scores) -> DataFrame:
     expected = F.transform(F.slice(F.split("ground_truth", " "), 1, 3), lambda w: F.concat(F.lit("svc."), F.regexp_replace(w, "[^A-Za-z]", "")))
-    return metrics.evaluate(_answers(spark, sf_dir).withColumn("expected_entities", F.filter(expected, lambda e: F.length(e) > 4)))
+    return score(_answers(spark, sf_dir).withColumn("expected_entities", F.filter(expected, lambda e: F.length(e) > 4)))
 
 
 def entity_recall_precision_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,21 +292,22 @@ def entity_recall_precision_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_summary_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumn("mode", F.when(F.col("doc_id") % 2 == 0, "single").otherwise("agent"))
-    return rows.groupBy("mode").agg(*[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("recall", "precision", "f1", "fact_overlap")])
+    mode = F.when(F.col("doc_id") % 2 == 0, "single").otherwise("agent")
+    rows = _scored(spark, sf_dir, metrics.evaluate).withColumns({"mode": mode, "latency": F.length("answer") / 1000})
+    return metrics.summary(rows)
 
 
 _STOP = ", ".join(f"'{w}'" for w in metrics.STOP_WORDS)
-_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND len(w) > 1 AND w NOT IN (" + _STOP + ")))"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND len(w) > 1 AND w NOT IN (" + _STOP + ")))"
 _ANSWERS = f"""a AS (
         SELECT doc_id, d.text AS answer, b.text AS truth, {_TOKENS.format("d.text")} AS x, {_TOKENS.format("b.text")} AS y,
             list_filter(list_transform(string_split(b.text, ' ')[1:3], lambda w: 'svc.' || regexp_replace(w, '[^A-Za-z]', '', 'g')), lambda e: len(e) > 4) AS expected
-        FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.lang = 'en'
+        FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id
     ), o AS (
         SELECT *, CASE WHEN len(y) = 0 THEN 1.0 WHEN len(x) = 0 THEN 0.0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END AS overlap FROM a
     ), r AS (
         SELECT *, CASE WHEN len(expected) = 0 THEN 1.0 ELSE CAST(len(list_filter(expected, lambda e: contains(lower(answer), lower(e)) OR contains(lower(answer), lower(string_split(e, '.')[-1])))) AS DOUBLE) / len(expected) END AS recall,
-            list_distinct(regexp_extract_all(lower(answer), '{metrics.DOTTED}')) AS dotted FROM o
+            list_distinct(regexp_extract_all(regexp_replace(regexp_replace(lower(answer), '[^\\P{{L}}\\x00-\\x7F]', 'Z', 'g'), '[^\\P{{N}}\\x00-\\x7F]', 'Z', 'g'), '\\b{metrics.DOTTED}\\b')) AS dotted FROM o
     ), p AS (
         SELECT *, CASE WHEN len(expected) = 0 THEN 1.0 WHEN len(dotted) > 0 THEN greatest(0.5, least(1.0, CAST(len(list_filter(dotted, lambda m: len(list_filter(expected, lambda e: contains(m, lower(e)) OR contains(lower(e), m))) > 0)) AS DOUBLE) / len(dotted)))
             WHEN recall > 0 THEN 1.0 ELSE 0.0 END AS precision FROM r
@@ -319,6 +322,36 @@ def _of(f, *names: str, **more):
     return run
 
 
+def repo_isolation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each of three repositories, seen from within; an edge counts
+    where both its ends are."""
+    g = repositories(spark, sf_dir)
+    found = None
+    for k in range(3):
+        own = inspect.repo_stats(g, f"repo{k}").withColumn("repo_id", F.lit(f"repo{k}"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def repo_isolation_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What surrounds the busiest function of one repository, within it."""
+    g = repositories(spark, sf_dir).within("repo1")
+    return traverse.subgraph(g, _busiest(g), 1)
+
+
+def repo_isolation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by name: they find functions of their own repository only."""
+    g = repositories(spark, sf_dir)
+    raw = g.edges.select("repo_id", F.col("src_id").alias("source"), F.regexp_replace("dst_id", r"^.*::", "").alias("target"), F.lit("CALLS").alias("type"))
+    return resolve.resolve_edges(g.nodes, raw).select("repo_id", "src_id", "dst_id")
+
+
+def chat_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats, _ = conversation_tables(spark, sf_dir)
+    moved = sessions.set_repo(chats, "3", "repo1")
+    return sessions.chats_with_repo(sessions.get_chat(moved, "3"), _repos(spark, sf_dir)).select("chat_id", "repo_id", "repo_name")
+
+
 _DEGREE = "SELECT src_label AS label, src_id AS id FROM edges UNION ALL SELECT dst_label, dst_id FROM edges"
 _ONCE = "SELECT src_label AS label, src_id AS id FROM edges UNION ALL SELECT dst_label, dst_id FROM edges WHERE NOT (src_label = dst_label AND src_id = dst_id)"
 _SCAN = "SELECT src_id AS source, a.name AS source_name, dst_id AS target, b.name AS target_name FROM edges JOIN nodes a ON a.id = src_id JOIN nodes b ON b.id = dst_id WHERE rel_type = '{0}' ORDER BY source, target LIMIT 50"
@@ -366,6 +399,11 @@ QUERIES = {
     "token_jaccard": token_jaccard,
     "entity_recall_precision_f1": entity_recall_precision_f1,
     "eval_summary_avg": eval_summary_avg,
+    "repo_isolation_stats": repo_isolation_stats,
+    "repo_isolation_subgraph": repo_isolation_subgraph,
+    "repo_isolation_resolve": repo_isolation_resolve,
+    "chat_get": chat_get,
+    **generated.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -413,5 +451,12 @@ ORACLE_SQL = {
     "dot_color": "SELECT CASE o_orderstatus WHEN 'F' THEN 'green' WHEN 'O' THEN 'amber' ELSE 'grey' END AS color, count(*) AS n FROM orders GROUP BY 1",
     "token_jaccard": f"WITH {_ANSWERS} SELECT doc_id, round(overlap, 6) AS overlap FROM o",
     "entity_recall_precision_f1": f"WITH {_ANSWERS} SELECT doc_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM s",
-    "eval_summary_avg": f"WITH {_ANSWERS} SELECT CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'agent' END AS mode, round(avg(recall), 6) AS avg_recall, round(avg(precision), 6) AS avg_precision, round(avg(f1), 6) AS avg_f1, round(avg(overlap), 6) AS avg_fact_overlap FROM s GROUP BY 1",
+    "eval_summary_avg": f"WITH {_ANSWERS} SELECT CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'agent' END AS mode, round(avg(round_even(recall, 3)), 3) AS avg_recall, round(avg(round_even(precision, 3)), 3) AS avg_precision, round(avg(round_even(f1, 3)), 3) AS avg_f1, round(avg(round_even(overlap, 3)), 3) AS avg_fact_overlap, round(avg(len(answer) / 1000), 2) AS avg_latency FROM s GROUP BY 1",
+    "repo_isolation_stats": f"WITH {REPOSITORIES_SQL} SELECT repo_id, count(*) AS node_count, (SELECT count(*) FROM calls c WHERE c.repo_id = fn.repo_id AND c.dst_repo = fn.repo_id) AS edge_count, count(DISTINCT p_partkey) AS file_count FROM fn GROUP BY repo_id",
+    "repo_isolation_subgraph": f"""WITH {REPOSITORIES_SQL}, own AS (SELECT * FROM calls WHERE repo_id = 'repo1'), busy AS (SELECT src_id AS id FROM own GROUP BY src_id ORDER BY count(*) DESC, src_id LIMIT 1)
+        SELECT src_id AS source_id, 'Function' AS source_type, a.p_name AS source_name, 'CALLS' AS rel_type, dst_id AS target_id, 'Function' AS target_type, b.p_name AS target_name
+        FROM own JOIN fn a ON a.fid = src_id JOIN fn b ON b.fid = dst_id WHERE b.repo_id = 'repo1' AND (src_id = (SELECT id FROM busy) OR dst_id = (SELECT id FROM busy))""",
+    "repo_isolation_resolve": f"WITH {REPOSITORIES_SQL} SELECT DISTINCT c.repo_id, c.src_id, m.fid AS dst_id FROM calls c JOIN fn d ON d.fid = c.dst_id JOIN fn m ON m.repo_id = c.repo_id AND m.p_name = d.p_name",
+    "chat_get": "SELECT '3' AS chat_id, 'repo1' AS repo_id, n_name AS repo_name FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id = 3) LEFT JOIN nation ON n_nationkey = 1",
+    **generated.ORACLE_SQL,
 }
