@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.runtime import settled
 from codeweft.schema import Graph
 
 MAX_DEPTH = 10
@@ -46,11 +47,13 @@ def _step(graph: Graph, rel_type: str) -> DataFrame:
     return graph.edges.where(F.col("rel_type") == rel_type)
 
 
-def call_chains(graph: Graph, starts: DataFrame, depth: int = 4, upstream: bool = False) -> DataFrame:
+def call_chains(graph: Graph, starts: DataFrame, depth: int = 4, upstream: bool = False, max_paths: int | None = None) -> DataFrame:
     """Paths of 1 to ``depth`` CALLS edges from the nodes ``starts(label, id)``
     (``upstream``: to them). No edge occurs twice in a path, nodes may; the far
     end is a Function, and upstream the near end too. ``call_chain`` (names)
-    and ``node_ids`` run from caller to callee."""
+    and ``node_ids`` run from caller to callee. The number of paths can grow with
+    the power of the depth: beyond ``max_paths`` at one depth it is a ValueError,
+    nothing is left out."""
     check_depth(depth)
     calls = _step(graph, "CALLS").select("src_label", "src_id", "dst_label", "dst_id")
     near, far = ("dst", "src") if upstream else ("src", "dst")
@@ -66,6 +69,10 @@ def call_chains(graph: Graph, starts: DataFrame, depth: int = 4, upstream: bool
         grown = paths.join(hop, ["label", "id"]).withColumn("edge", edge).where(~F.array_contains("edge_ids", F.col("edge")))
         add = (lambda a, c: F.concat(F.array(c), a)) if upstream else (lambda a, c: F.concat(a, F.array(c)))
         paths = grown.select(F.col("at_label").alias("label"), F.col("at_id").alias("id"), add(F.col("call_chain"), F.col("at_name")).alias("call_chain"), add(F.col("node_ids"), F.col("at_id")).alias("node_ids"), F.concat("edge_ids", F.array("edge")).alias("edge_ids"))
+        if max_paths is not None or 1 < d < depth:  # else each depth would walk all those before it again
+            paths = settled(paths)
+        if max_paths is not None and paths.limit(max_paths + 1).count() > max_paths:
+            raise ValueError(f"more than {max_paths} paths of {d} calls; ask for a smaller depth")
         own = paths.where("label = 'Function'").select("call_chain", "node_ids", F.lit(d).alias("depth"))
         found = own if found is None else found.unionByName(own)
     return found
@@ -84,6 +91,8 @@ def subgraph(graph: Graph, seeds: DataFrame, hops: int = 2) -> DataFrame:
     for _ in range(hops - 1):
         reached = either.join(frontier, ["label", "id"]).select(F.col("to_label").alias("label"), F.col("to_id").alias("id")).distinct()
         frontier = reached.join(visited, ["label", "id"], "left_anti")
+        if hops > 2:  # both are read in every later hop
+            frontier = settled(frontier)
         visited = visited.unionByName(frontier)
     at = lambda end: (edges[f"{end}_label"] == visited["label"]) & (edges[f"{end}_id"] == visited["id"])
     touched = edges.join(visited, at("src"), "left_semi").unionByName(edges.join(visited, at("dst"), "left_semi")).distinct()

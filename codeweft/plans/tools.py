@@ -15,6 +15,8 @@ from codeweft.schema import Graph
 from codeweft.sources.files import file_content
 
 ROWS = 200
+#: Paths of one depth that a call chain enumerates; beyond, it says so.
+MOST_PATHS = 100_000
 
 
 def unfenced(text: str) -> str:
@@ -154,7 +156,10 @@ class Toolbox:
             depth = traverse.check_depth(args.get("depth", 4))
         except ValueError as error:
             return {"error": str(error)}
-        paths = traverse.call_chains(self._own(args), target, depth, direction == "upstream").orderBy("depth", "node_ids").limit(ROWS + 1).collect()
+        try:
+            paths = traverse.call_chains(self._own(args), target, depth, direction == "upstream", MOST_PATHS).orderBy("depth", "node_ids").limit(ROWS + 1).collect()
+        except ValueError as error:
+            return {"error": str(error)}
         return {"chain": [r.asDict() for r in paths[:ROWS]], "truncated": len(paths) > ROWS}
 
     def get_file_content(self, args: dict) -> dict:

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that go to a Python worker at once, where the session doesn't say:
 #: texts are long, and the JVM holds a batch outside its heap.
@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per application, so
     that Python stages can import it wherever they run; hold batches small."""
     sc = spark.sparkContext
-    if spark.conf.get(_ROWS) == "10000":
+    if sc.getConf().get(_ROWS) is None and spark.conf.get(_ROWS) == "10000":  # nobody chose it
         spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_codeweft_shipped", False):
         return
@@ -33,3 +33,11 @@ def ship(spark: SparkSession) -> None:
             bundle.write(source, source.relative_to(root.parent).as_posix())
     sc.addPyFile(str(target))
     sc._codeweft_shipped = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that what reads it
+    several times doesn't make it anew; as it is where there is no folder."""
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df

@@ -118,3 +118,14 @@ def test_tracker(spark):
     assert set(state) == {"x", "y"} and state["x"].status == "error" and state["x"].error == "boom"
     assert [(s.status, s.percent) for s in state["x"].stages][:3] == [("done", 100), ("error", 100), ("pending", 0)]
     assert state["y"].status == "ready" and {s.status for s in state["y"].stages} == {"done"}
+
+
+def test_paths_are_bounded(spark):
+    """A dense graph: the guard says that there are too many paths."""
+    names = list("abcdef")
+    g = make(spark, names, [(x, y) for x in names for y in names if x != y])
+    target = traverse.find_node(g.nodes, "a")
+    assert traverse.call_chains(g, target, 2, max_paths=30).count() == 5 + 25
+    with pytest.raises(ValueError, match="more than 30 paths of 3 calls"):
+        traverse.call_chains(g, target, 3, max_paths=30)
+    assert traverse.subgraph(g, target, 4).count() == 30
