@@ -1,37 +1,80 @@
-"""A one-hash Bloom filter of fixed size over 64-bit hashes.
+"""A Bloom filter over 64-bit hashes that is sent to the tasks whole.
 
-It is sent to the tasks whole: its size never grows with the data. With more
-members it lets more other hashes pass, which costs shuffled rows; a join or
-count behind it always decides."""
+It has ``PER_MEMBER`` bits for each member, between ``LEAST`` and ``MOST`` of
+them, so what is sent has a fixed bound. Beyond that bound it lets more other
+hashes pass, which costs shuffled rows; a join or count behind it always
+decides."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2 ** BITS bits: 8 MB.
-BITS = 26
-_PARTS = 8  # the upper bits of a slot: the part of the map that holds it
+from codeweft.llm._store import passing_shuffles
+from codeweft.llm._words import mix
+
+PER_MEMBER = 12
+#: Powers of two: bits of the smallest and the largest filter (32 MB).
+LEAST, MOST = 20, 28
+#: Places of a member, at most.
+PLACES = 4
+_PARTS = 8  # the upper bits of a place: the part of the filter that holds it
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    held: np.ndarray
+    bits: int
+    places: int
+
 
+def _places(hashes: np.ndarray, bits: int, places: int) -> Iterator[np.ndarray]:
+    h = mix(hashes.astype(np.uint64, copy=False))
+    step = mix(h) | np.uint64(1)
+    for _ in range(places):
+        yield (h >> np.uint64(64 - bits)).astype(np.int64)
+        h = h + step
 
-def build(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """The filter of all values of ``column``, as bytes."""
+
+def build(hashes: DataFrame, column: str) -> Bitmap:
+    """The filter of all values of ``column``."""
+    with passing_shuffles(hashes.sparkSession):
+        return _build(hashes, column)
+
+
+def _build(hashes: DataFrame, column: str) -> Bitmap:
+    n = max(hashes.count(), 1)
+    bits = int(min(MOST, max(LEAST, np.ceil(np.log2(PER_MEMBER * n)))))
+    places = int(min(PLACES, max(1, round(0.69 * (1 << bits) / n))))
     low = bits - _PARTS
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.asarray(batch.column(column).drop_null()).view(np.uint64)
+            for slot in _places(own, bits, places):
+                slot = np.unique(slot)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot >> low)], names=["slot", "part"])
+
     def part(key: tuple, slots: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros(1 << low, dtype=bool)
         held[slots["slot"].to_numpy() & ((1 << low) - 1)] = True
         return pd.DataFrame({"part": [key[0]], "held": [np.packbits(held).tobytes()]})
 
-    slots = hashes.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("slot")).distinct().withColumn("part", F.shiftright("slot", low))
+    slots = hashes.select(column).mapInArrow(spread, "slot bigint, part bigint")
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in slots.groupBy("part").applyInPandas(part, "part bigint, held binary").collect():  # 2 ** bits bits at most
+    for row in slots.distinct().groupBy("part").applyInPandas(part, "part bigint, held binary").collect():  # 2 ** bits bits at most
         out[row.part << (low - 3) : (row.part + 1) << (low - 3)] = np.frombuffer(row.held, dtype=np.uint8)
-    return out
+    return Bitmap(out, bits, places)
 
 
-def test(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    slot = hashes.astype(np.uint64) >> np.uint64(64 - bits)
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
+def test(bitmap: Bitmap, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), dtype=bool)
+    for slot in _places(hashes, bitmap.bits, bitmap.places):
+        found &= (bitmap.held[slot >> 3] >> (7 - (slot & 7).astype(np.uint8))) & 1 == 1
+    return found

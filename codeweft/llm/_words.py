@@ -68,13 +68,14 @@ class Words:
     def arrow(self) -> pa.LargeBinaryArray:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(np.ascontiguousarray(self.offs, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(self.data))])
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, multiplier: int = int(_MULT)) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; another for another odd
+        ``multiplier``."""
         if not len(self):
             return np.empty(0, dtype=np.uint64)
         lens = np.diff(self.offs)
         power = np.ones(int(lens.max()), dtype=np.uint64)
-        power[1:] = _MULT
+        power[1:] = np.uint64(multiplier)
         power = np.multiply.accumulate(power)
         at = np.arange(len(self.data), dtype=np.int32)
         at -= np.repeat(self.offs[:-1].astype(np.int32), lens)

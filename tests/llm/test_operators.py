@@ -191,12 +191,24 @@ def test_substring_dedup(docs, none):
 
 def test_compaction(spark, docs):
     index = substring_dedup.FingerprintIndex(spark, fanout=2)
-    parts = [index.add(docs.where(f"doc_id % 3 = {k}")) for k in range(3)]
+    for k in range(3):
+        index.add(docs.where(f"doc_id % 3 = {k}"))
     assert [len(level) for level in index.levels] == [1, 1]
     one = substring_dedup.FingerprintIndex(spark)
-    whole = {r.hash for r in one.add(docs).collect()}
-    assert {r.hash for p in parts for r in p.collect()} == whole
+    one.add(docs)
+    whole = {r.hash for r in one.shared().collect()}
+    assert whole and {r.hash for r in index.shared().collect()} == whole
+    one.close(delete=True)
+    # Opened again, it goes on where it was, and tells the same as an index of all.
     index.close()
+    again = substring_dedup.FingerprintIndex(spark, index.path)
+    assert again.levels == index.levels and again.fanout == 2
+    more = docs.where("doc_id IN (5, 9)").withColumn("doc_id", docs["doc_id"] + 100)
+    again.add(more)
+    both = docs.unionByName(more)
+    got, want = (sorted(map(tuple, substring_dedup.substring_dedup(both, index=i).drop("kept").collect())) for i in (again, None))
+    assert got == want and any(row[0] > 100 and row[2] for row in want)
+    again.close(delete=True)
 
 
 def test_line_dedup(docs, none):
