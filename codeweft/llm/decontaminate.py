@@ -22,12 +22,12 @@ items no document is hit.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,34 +44,31 @@ INDEX = "segment string, doc_ids array<bigint>, n_words array<int>, terms array<
 _INDEX = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
 
 
-def build_index(docs: DataFrame, only: pa.Array | None = None) -> DataFrame:
-    """Segments of the positional index of ``docs``; with ``only``, a bounded
-    array of terms, just the postings of these. One gap between documents
-    keeps a phrase inside its document."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """Segments of the positional index of ``docs``, with the postings of
+    every term. One gap between documents keeps a phrase inside its document.
+    A segment is named by its partition and its number there, so it has one
+    name however often it is made."""
     ship(docs.sparkSession)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches)):
             words = split(*buffers(batch.column("text")), ALNUM_LOWER)
             coded = words.arrow().dictionary_encode()
             terms, codes = coded.dictionary.cast(pa.binary()), np.asarray(coded.indices)
             n_words = np.diff(words.docs)
             place = np.arange(len(words), dtype=np.int64) + np.repeat(np.arange(len(n_words)), n_words)
-            if only is not None:
-                wanted = pc.is_in(terms, value_set=only).to_numpy(zero_copy_only=False)
-                renamed = np.cumsum(wanted) - 1
-                keep = wanted[codes]
-                terms, codes, place = terms.filter(pa.array(wanted)), renamed[codes[keep]], place[keep]
             order = np.sort((codes.astype(np.int64) << 32) | place)
             counts = np.bincount(order >> 32, minlength=len(terms))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([uuid.uuid4().hex]),
+                    pa.array([f"{part}-{number}"]),
                     pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([n_words.astype(np.int32)], pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
                     pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([(order & 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()),
+                    pa.array([np.diff((order & 0xFFFFFFFF).astype("<u4"), prepend=np.uint32(0)).tobytes()], pa.binary()),
                 ],
                 schema=_INDEX,
             )
@@ -108,12 +105,14 @@ class Items:
 class Segment:
     """Postings of one index row for the terms of a block of items."""
 
-    def __init__(self, row: dict, terms: pa.Array):
-        own = pa.array(row["terms"], pa.binary())
-        counts = np.asarray(row["counts"], dtype=np.int64)
-        self.n_words = np.asarray(row["n_words"], dtype=np.int64)
+    def __init__(self, batch: pa.RecordBatch, terms: pa.Array):
+        own = batch.column("terms").flatten().cast(pa.binary())
+        counts = np.asarray(batch.column("counts").flatten(), dtype=np.int64)
+        self.name = batch.column("segment")[0].as_py()
+        self.doc_ids = batch.column("doc_ids").flatten()
+        self.n_words = np.asarray(batch.column("n_words").flatten(), dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.n_words + 1)])
-        places = np.frombuffer(row["postings"], dtype="<u4").astype(np.int64)
+        places = np.cumsum(np.frombuffer(batch.column("postings")[0].as_buffer(), dtype="<u4"), dtype=np.uint32).astype(np.int64)
         at = pc.index_in(terms, value_set=own).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) if len(own) else np.full(len(terms), -1)
         ends = np.cumsum(counts)
         self.count = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
@@ -210,8 +209,7 @@ def _matches(index: DataFrame, items: Items) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "segment", 1):
-            row = batch.to_pylist()[0]
-            segment = Segment(row, items.terms)
+            segment = Segment(batch, items.terms)
             window, start = segment.phrases(items) if len(segment.keys) else (np.empty(0, np.int64),) * 2
             doc = np.searchsorted(segment.begin, start, side="right") - 1
             spans: dict[int, list[list[int]]] = {}
@@ -226,14 +224,14 @@ def _matches(index: DataFrame, items: Items) -> DataFrame:
                 else:
                     own.append([a, b])
                 found.setdefault(d, set()).update(items.items[w])
-            n = len(row["doc_ids"])
+            n = len(segment.n_words)
             pair = pa.struct([("first", pa.int32()), ("last", pa.int32())])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["segment"]] * n),
+                    pa.array([segment.name] * n, pa.string()),
                     pa.array(range(n), pa.int32()),
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(row["n_words"], pa.int64()),
+                    segment.doc_ids,
+                    pa.array(segment.n_words),
                     pa.array([[{"first": a, "last": b} for a, b in spans.get(d, ())] for d in range(n)], pa.list_(pair)),
                     pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.string())),
                 ],
@@ -244,16 +242,20 @@ def _matches(index: DataFrame, items: Items) -> DataFrame:
 
 
 def phrase_match(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` for each document of the index."""
-    parts = []
-    for block in item_blocks(items, window, block_bytes):
+    """``doc_id, n_words, spans, items`` for each document of the index. The
+    hits of each block but a single one are written, so the driver holds one
+    block at a time."""
+    blocks = item_blocks(items, window, block_bytes)
+    block, more = next(blocks), next(blocks, None)
+    all_hits = None
+    while block is not None:
         block.rank(frequencies(index, block.terms))
-        parts.append(_matches(index, block))
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "spans", "items")
-    all_hits = parts[0]
-    for part in parts[1:]:
-        all_hits = all_hits.unionByName(part)
+        part = _matches(index, block)
+        if all_hits is None and more is None:
+            return part.select("doc_id", "n_words", "spans", "items")
+        part = materialise(part, "hits")
+        all_hits = part if all_hits is None else all_hits.unionByName(part)
+        block, more = more, next(blocks, None)
     merged = F.expr(
         """aggregate(array_sort(flatten(collect_list(spans))), cast(array() AS array<struct<first:int,last:int>>),
            (acc, s) -> CASE WHEN size(acc) > 0 AND s.first <= element_at(acc, -1).last + 1
@@ -272,12 +274,11 @@ def proximity_match(index: DataFrame, items: DataFrame, slop: int, window: int =
 
         def match(batches: Iterator[pa.RecordBatch], items: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "segment", 1):
-                row = batch.to_pylist()[0]
-                segment = Segment(row, items.terms)
+                segment = Segment(batch, items.terms)
                 window, place = segment.near(items, slop) if len(segment.keys) else (np.empty(0, np.int64),) * 2
                 doc = np.searchsorted(segment.begin, place, side="right") - 1
                 rows = sorted({(int(d), i, int(p - segment.begin[d])) for w, p, d in zip(window, place, doc) for i in items.items[w]})
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][d] for d, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.string()), pa.array([p for _, _, p in rows], pa.int32())], names=["doc_id", "item_id", "place"])
+                yield pa.RecordBatch.from_arrays([segment.doc_ids.take(pa.array([d for d, _, _ in rows], pa.int64())), pa.array([i for _, i, _ in rows], pa.string()), pa.array([p for _, _, p in rows], pa.int32())], names=["doc_id", "item_id", "place"])
 
         part = index.mapInArrow(match, "doc_id bigint, item_id string, place int")
         out = part if out is None else out.unionByName(part)
@@ -285,9 +286,5 @@ def proximity_match(index: DataFrame, items: DataFrame, slop: int, window: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` for each row of ``docs``. Where the
-    items fit one block, only the postings of their terms are stored."""
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    only = next(item_blocks(items, window, block_bytes)).terms if size <= block_bytes else None
-    index = materialise(build_index(docs, only), "postings")
-    return phrase_match(index, items, window, block_bytes)
+    """``doc_id, n_words, spans, items`` for each row of ``docs``."""
+    return phrase_match(materialise(build_index(docs), "postings"), items, window, block_bytes)
