@@ -6,8 +6,11 @@ the characters, then chi-squared uniformity over its alphabet, the number of
 runs above and below its middle, and serial correlation say whether the string
 looks drawn at random. Whether it could be ordinary text is judged by the
 likelihood ratio against a fixed model of letters; its inverse bounds the
-p-value and grows with length. Over all candidates of the corpus, by band of
-length, Benjamini-Hochberg keeps the share of false discoveries at ``FDR``.
+p-value and grows with length. Both kinds of p-values go through
+Benjamini-Hochberg over all candidates of the corpus, by band of length: those
+of the likelihood find what isn't ordinary text, with a share of false
+discoveries of ``FDR``; those of the battery find what isn't random, with a
+share of ``ALPHA`` of random strings among the strings that are refused.
 
 Defined results: null counts as empty; positions are code points, ends
 exclusive; a tested string that overlaps a base span is not reported again;
@@ -32,7 +35,7 @@ CANDIDATE = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,})"
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.01
-#: Least combined p-value of the battery.
+#: Share of false ones among the strings that the battery refuses.
 ALPHA = 0.001
 #: Letter frequencies of the model of ordinary text, a to z.
 LETTERS = (0.080, 0.015, 0.030, 0.040, 0.125, 0.023, 0.020, 0.050, 0.072, 0.002, 0.007, 0.042, 0.025, 0.072, 0.074, 0.020, 0.001, 0.062, 0.065, 0.090, 0.030, 0.010, 0.020, 0.002, 0.019, 0.004)
@@ -116,19 +119,28 @@ def battery(strings: DataFrame) -> DataFrame:
     return once(base, evidence=-n * F.log("a") - plain).select(*strings.columns, "p_random", "evidence", "n")
 
 
+def _limits(rows: DataFrame, slot: str, level: float) -> DataFrame:
+    """``band, <slot>_limit``: the least slot of -log p, in steps of ``_BIN``,
+    that Benjamini-Hochberg accepts in each band; none where it accepts no
+    string. It works on a histogram of all strings, of some thousand rows
+    whatever the corpus."""
+    counts = rows.groupBy("band", slot).agg(F.count("*").alias("k"))
+    whole = Window.partitionBy("band")
+    above = whole.orderBy(F.col(slot).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = counts.select("band", slot, F.sum("k").over(above).alias("k"), F.sum("k").over(whole).alias("m"))
+    accepted = marked.where(F.exp(-F.col(slot) * _BIN) <= level * F.col("k") / F.col("m"))
+    return accepted.groupBy("band").agg(F.min(slot).alias(f"{slot}_limit"))
+
+
 def discoveries(tested: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
-    """The strings that pass the battery and the false-discovery threshold of
-    their band of lengths. Thresholds come from a histogram of the evidence of
-    all candidates, of some thousand rows whatever the corpus."""
+    """The strings that aren't ordinary text and that the battery doesn't
+    refuse, by the thresholds of their band of lengths."""
+    steps = lambda x: F.greatest(F.lit(0), F.least(F.lit(_MOST), F.floor(x / _BIN))).cast("int")
     band = F.least(F.floor(F.log2("n")), F.lit(10)).cast("int")
-    slot = F.greatest(F.lit(0), F.least(F.lit(_MOST), F.floor(F.col("evidence") / _BIN))).cast("int")
-    rows = tested.withColumns({"band": band, "slot": slot})
-    counts = rows.groupBy("band", "slot").agg(F.count("*").alias("k"))
-    whole = Window.partitionBy("band")
-    above = whole.orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = counts.select("band", "slot", F.sum("k").over(above).alias("k"), F.sum("k").over(whole).alias("m"))
-    limits = marked.where(F.exp(-F.col("slot") * _BIN) <= fdr * F.col("k") / F.col("m")).groupBy("band").agg(F.min("slot").alias("limit"))
-    return rows.join(F.broadcast(limits), "band").where((F.col("slot") >= F.col("limit")) & (F.col("p_random") >= alpha)).drop("band", "slot", "limit", "n")
+    rows = tested.withColumns({"band": band, "plain": steps(F.col("evidence")), "odd": steps(-F.log(F.greatest("p_random", F.lit(1e-30))))})
+    held = rows.join(F.broadcast(_limits(rows, "plain", fdr)), "band").join(F.broadcast(_limits(rows, "odd", alpha)), "band", "left")
+    refused = F.coalesce(F.col("odd") >= F.col("odd_limit"), F.lit(False))
+    return held.where((F.col("plain") >= F.col("plain_limit")) & ~refused).drop("band", "plain", "odd", "plain_limit", "odd_limit", "n")
 
 
 def render(found: Column) -> Column:
