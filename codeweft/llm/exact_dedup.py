@@ -70,5 +70,9 @@ def recipes(docs: DataFrame, ident=chunk_id) -> DataFrame:
 def exact_dedup(docs: DataFrame, ident=chunk_id) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row."""
     listed = materialise(recipes(docs, ident), "recipes")
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # Only recipes of several rows are joined, from a table of their own: a
+    # very frequent one is then a skewed join that Spark can split.
+    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
+    out = listed.join(materialise(groups, "groups"), "recipe", "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("largest"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
