@@ -10,7 +10,8 @@ What matches no template as a whole is searched for notices inside it: each
 span of words of a template's size that begins with one of its bigrams is
 compared in the same way, wherever lines and paragraphs end, with ``TEMPLATES``
 and with ``NOTICES`` (usual wordings, standard headers, whole short licences).
-Of spans that overlap the best one counts, of equal ones the longest.
+Of spans that overlap the one with most bigrams in common counts, then the most
+similar, so a longer licence isn't taken for a shorter one that it contains.
 
 Templates are stated, bounded lists that are part of the plan.
 
@@ -178,8 +179,9 @@ def _inside(some: DataFrame, whole: DataFrame, listed: list[tuple[str, list[str]
     begun = starts.join(F.broadcast(templates), "k").select("row", "license", "own", "span", "t", F.explode("at").alias("at")).join(left, "row")
     spans = once(begun, words=F.expr("slice(w, at + 1, span + 1)"))
     spans = once(spans.drop("w"), g=F.array_distinct(_bigrams("words")))
-    spans = once(spans, dice=2.0 * F.size(F.array_intersect("g", "t")) / (F.size("g") + F.col("own"))).where(F.col("dice") >= similar)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("minus"), (-F.col("span")).alias("short"), "license", "at", (F.col("at") + F.col("span")).alias("last"), F.array_join("words", " ").alias("passage"))))
+    spans = once(spans, common=F.size(F.array_intersect("g", "t")))
+    spans = once(spans, dice=2.0 * F.col("common") / (F.size("g") + F.col("own"))).where(F.col("dice") >= similar)
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("common")).alias("fewer"), (-F.col("dice")).alias("minus"), (-F.col("span")).alias("short"), "license", "at", (F.col("at") + F.col("span")).alias("last"), F.array_join("words", " ").alias("passage"))))
     best = spans.groupBy("row", "doc_id").agg(ranked.alias("ranked"))
     chosen = F.expr("aggregate(ranked, slice(ranked, 1, 0), (acc, x) -> CASE WHEN exists(acc, y -> y.at <= x.last AND x.at <= y.last) THEN acc ELSE concat(acc, array(x)) END)")
     return best.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.passage", "c.license", (-F.col("c.minus")).alias("dice"))
