@@ -123,8 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the score of each row's text as another column."""
+    """``docs`` with the score of each row's text as another column; it takes
+    the place of one of that name."""
     ship(docs.sparkSession)
+    docs = docs.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
