@@ -388,13 +388,21 @@ class Bpe:
             before += int(own[-1])
         out = at[chars]
         # Where the text up to k is split in another way than the whole text:
-        # after all of several spaces, and inside a special token.
-        spaces = [m.end() for m in regex.finditer(r"\s{2,}(?=\S)", text)]
-        inside = [k for t, a in zip(named, starts) if t >= 0 for k in range(np.searchsorted(chars, a) + 1, np.searchsorted(chars, a + self.spell_len[t]))]
-        for k in [*spaces, *inside]:
-            part = text[:k].encode()
-            found, codes, _ = self.code(np.frombuffer(part, dtype=np.uint8), np.array([0, len(part)]))
-            out[k] = self.totals(found)[codes].sum()
+        # after all of several blanks, which then are one piece,
+        runs = [(m.start(), m.end()) for m in regex.finditer(r"\s{2,}(?=\S)", text)]
+        if runs:
+            tails = self.totals([text[a:k].encode() for a, k in runs])
+            for (a, k), n in zip(runs, tails.tolist()):
+                out[k] = out[a] + n
+        # and inside a special token, which then is ordinary text that may go
+        # on from the piece before it.
+        for i in np.flatnonzero(named >= 0).tolist():
+            begin = bounds[i - 1] if i and named[i - 1] < 0 else bounds[i]
+            first = int(np.searchsorted(chars, bounds[i])) + 1
+            for k in range(first, int(np.searchsorted(chars, bounds[i + 1]))):
+                part = whole[begin : chars[k]]
+                found, codes, _ = self.code(np.frombuffer(part, dtype=np.uint8), np.array([0, len(part)]))
+                out[k] = at[begin] + self.totals(found)[codes].sum()
         return out
 
 
