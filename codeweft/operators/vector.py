@@ -109,6 +109,11 @@ class Retrieved:
     seeds: list[dict]
     edges: list[dict] = field(default_factory=list)
     metrics: dict[str, float] = field(default_factory=dict)
+    truncated: bool = False
+
+
+#: Edges that a context holds; ``truncated`` says when there are more.
+CONTEXT_EDGES = 2000
 
 
 def hybrid_edges(graph: Graph, query: Sequence[float], k: int = 3, hops: int = 2, repo_id: str | None = None) -> DataFrame:
@@ -123,7 +128,7 @@ def hybrid_edges(graph: Graph, query: Sequence[float], k: int = 3, hops: int = 2
 
 def retrieve(graph: Graph, question: str, embedder: Embedder, k: int = 3, hops: int = 2, repo_id: str | None = None) -> Retrieved:
     """Embed the question, find seeds, expand, and render the context. At most
-    2k seeds come to the driver; they filter the expansion as literals."""
+    2k seeds and ``CONTEXT_EDGES`` edges come to the driver."""
     begin = time.perf_counter()
     query = embedder.embed([question])[0]
     embedded = time.perf_counter()
@@ -135,10 +140,11 @@ def retrieve(graph: Graph, question: str, embedder: Embedder, k: int = 3, hops:
         return Retrieved(NO_SEEDS, [], [], metrics | {"graph_traversal_ms": 0.0, "total_retrieval_ms": (searched - begin) * 1e3})
     spark = graph.nodes.sparkSession
     chosen = spark.createDataFrame([(s["label"], s["id"]) for s in seeds], "label string, id string")
-    edges = [r.asDict() for r in subgraph(own, chosen, hops).orderBy("source_id", "rel_type", "target_id").collect()]
+    found = subgraph(own, chosen, hops).orderBy("source_id", "rel_type", "target_id").limit(CONTEXT_EDGES + 1).collect()
+    edges = [r.asDict() for r in found[:CONTEXT_EDGES]]
     done = time.perf_counter()
     metrics |= {"graph_traversal_ms": (done - searched) * 1e3, "total_retrieval_ms": (done - begin) * 1e3}
-    return Retrieved(render_context(seeds, edges), seeds, edges, metrics)
+    return Retrieved(render_context(seeds, edges), seeds, edges, metrics, len(found) > CONTEXT_EDGES)
 
 
 def render_context(seeds: list[dict], edges: list[dict]) -> str:

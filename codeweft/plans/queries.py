@@ -352,6 +352,23 @@ def chat_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.chats_with_repo(sessions.get_chat(moved, "3"), _repos(spark, sf_dir)).select("chat_id", "repo_id", "repo_name")
 
 
+def find_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node that each of some references names: by id, by name, by name
+    within a module, and inside an id."""
+    name = table(spark, sf_dir, "part").where("p_partkey = 7").first().p_name
+    every, found = nodes(spark, sf_dir), None
+    for kind, reference in (("id", f"p/7::{name}"), ("name", name), ("module", f"p/7.{name}"), ("part", f"7::{name}")):
+        own = traverse.find_node(every, reference).select(F.lit(kind).alias("kind"), "label", "id")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+_FIND_SQL = f"""WITH {SQL}, q AS (SELECT p_name AS n FROM part WHERE p_partkey = 7),
+    r AS (SELECT 'id' AS kind, 'p/7::' || n AS ref, n AS last, 'p/7' AS module FROM q UNION ALL SELECT 'name', n, n, '' FROM q UNION ALL SELECT 'module', 'p/7.' || n, n, 'p/7' FROM q UNION ALL SELECT 'part', '7::' || n, n, '7' FROM q),
+    t AS (SELECT kind, label, id, CASE WHEN id = ref THEN 1 WHEN ends_with(id, '::' || ref) THEN 2 WHEN name = ref THEN 3 WHEN name = last AND (contains(coalesce(file, ''), module) OR contains(id, module)) THEN 4 WHEN contains(id, ref) THEN 5 END AS tier FROM r, nodes)
+    SELECT kind, label, id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY tier, length(id), id, label) AS k FROM t WHERE tier IS NOT NULL) WHERE k = 1"""
+
+
 _DEGREE = "SELECT src_label AS label, src_id AS id FROM edges UNION ALL SELECT dst_label, dst_id FROM edges"
 _ONCE = "SELECT src_label AS label, src_id AS id FROM edges UNION ALL SELECT dst_label, dst_id FROM edges WHERE NOT (src_label = dst_label AND src_id = dst_id)"
 _SCAN = "SELECT src_id AS source, a.name AS source_name, dst_id AS target, b.name AS target_name FROM edges JOIN nodes a ON a.id = src_id JOIN nodes b ON b.id = dst_id WHERE rel_type = '{0}' ORDER BY source, target LIMIT 50"
@@ -403,6 +420,7 @@ QUERIES = {
     "repo_isolation_subgraph": repo_isolation_subgraph,
     "repo_isolation_resolve": repo_isolation_resolve,
     "chat_get": chat_get,
+    "find_node": find_node,
     **generated.QUERIES,
 }
 
@@ -458,5 +476,6 @@ ORACLE_SQL = {
         FROM own JOIN fn a ON a.fid = src_id JOIN fn b ON b.fid = dst_id WHERE b.repo_id = 'repo1' AND (src_id = (SELECT id FROM busy) OR dst_id = (SELECT id FROM busy))""",
     "repo_isolation_resolve": f"WITH {REPOSITORIES_SQL} SELECT DISTINCT c.repo_id, c.src_id, m.fid AS dst_id FROM calls c JOIN fn d ON d.fid = c.dst_id JOIN fn m ON m.repo_id = c.repo_id AND m.p_name = d.p_name",
     "chat_get": "SELECT '3' AS chat_id, 'repo1' AS repo_id, n_name AS repo_name FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id = 3) LEFT JOIN nation ON n_nationkey = 1",
+    "find_node": _FIND_SQL,
     **generated.ORACLE_SQL,
 }

@@ -103,7 +103,7 @@ class Toolbox:
         if not args.get("query"):
             return {"error": "query is needed"}
         got = retrieve(self.graph, args["query"], self.embedder, int(args.get("top_k", 3)), int(args.get("hops", 2)), args.get("repo_id") or None)
-        return {"context": got.context, "seeds": got.seeds, "metrics": got.metrics}
+        return {"context": got.context, "seeds": got.seeds, "metrics": got.metrics, "truncated": got.truncated}
 
     def run_query(self, args: dict) -> dict:
         """A question to SQL, run read-only over the repository's own views;

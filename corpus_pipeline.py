@@ -2,7 +2,10 @@
 
 A stage takes ``(spark, docs, sf_dir)``, works on all rows that its
 predecessor kept and returns a DataFrame with the columns of ``documents``;
-the last one returns what it made of them. ``run`` writes each stage's result
+the last one returns what it made of them. A stage decides by ``doc_id``: rows
+that share one stand or fall together, and rows without one stay (the quality
+stage alone decides row by row). Null texts count as empty ones; no rows give
+no rows; other columns pass as they are. ``run`` writes each stage's result
 as Parquet in the shared folder and hands the reread table to the next.
 """
 
