@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators.resolve import resolve_edges, upsert_nodes
+from codeweft.operators.vector import EMBEDDABLE, embedding_text
 from codeweft.plans.ingest import emitted_nodes, empty_nodes, parse_files, raw_edges
 from codeweft.plans.projection import REPO, table
 
@@ -71,7 +72,13 @@ def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_edges(nodes, raw_edges(parsed)).drop("repo_id")
 
 
-QUERIES = {"ingest_nodes": ingest_nodes, "ingest_raw_edges": ingest_raw_edges, "ingest_edges": ingest_edges}
+def ingest_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of the classes and functions of the Python files."""
+    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(parse_files(files(spark, sf_dir).where("file LIKE '%.py'"))))
+    return nodes.where(F.col("label").isin(*EMBEDDABLE)).select("id", embedding_text().alias("text"))
+
+
+QUERIES = {"ingest_embedding_text": ingest_embedding_text, "ingest_nodes": ingest_nodes, "ingest_raw_edges": ingest_raw_edges, "ingest_edges": ingest_edges}
 
 _PARTS = """p AS (
         SELECT p_partkey + 1 AS k, p_size AS size, p_type AS type, 'pkg/m' || (p_partkey + 1) || '.py' AS f, 'web/v' || (p_partkey + 1) || '.tsx' AS w,
@@ -115,7 +122,13 @@ _NODES = f"""{_PARTS}, nodes AS (
         UNION ALL SELECT 'Function', w || '::Page', 'Page', w, 5, NULL, FALSE FROM p
     )"""
 
+_TEXT = f"""WITH {_PARTS}
+        SELECT f || '::C' || k AS id, '[Class] C' || k || chr(10) || 'File: ' || f || ':5' || chr(10) || 'Docstring: ' || type AS text FROM p
+        UNION ALL SELECT f || '::run', array_to_string(['[Function] run', 'File: ' || f || ':8', 'Source:', '    def run(self, x):', '        if x:', '            raise E' || (k % 5) || '(x)', '        prev.go(x)', '        return nxt.go(config.K' || size || ')'], chr(10)) FROM p
+        UNION ALL SELECT f || '::go', array_to_string(['[Function] go', 'File: ' || f || ':15', 'Docstring: Makes one.', 'Source:', 'def go(x):', '    ' || repeat(chr(34), 3) || 'Makes one.' || repeat(chr(34), 3), '    return C' || k || '(x)'], chr(10)) FROM p"""
+
 ORACLE_SQL = {
+    "ingest_embedding_text": _TEXT,
     "ingest_nodes": f"WITH {_NODES} SELECT * FROM nodes",
     "ingest_raw_edges": f"WITH {_RAW} SELECT * FROM raw",
     "ingest_edges": f"""WITH {_RAW}, {_NODES.replace(_PARTS + ",", "")}, clean AS (SELECT source, rel_type, replace(replace(target, 'ts_call::', ''), 'config::', '') AS target FROM raw),

@@ -377,7 +377,7 @@ QUERIES = {
     "node_count_by_label": _of(inspect.count_by_label),
     "edge_count_by_type": _of(inspect.count_by_type),
     "repo_stats": _of(inspect.repo_stats, repo_id=REPO),
-    "graph_preview_nodes": _of(inspect.preview_nodes),
+    "graph_preview_nodes": _of(inspect.preview_nodes, highlighted=["E1", "config::config.K3"]),
     "graph_preview_edges": _of(inspect.preview_edges),
     **{f"call_chain_d{d}": call_chain(d) for d in (1, 2, 3, 4)},
     "upstream_callers": upstream_callers,
@@ -428,7 +428,7 @@ ORACLE_SQL = {
     "node_count_by_label": f"WITH {SQL} SELECT label, count(*) AS cnt FROM nodes GROUP BY label",
     "edge_count_by_type": f"WITH {SQL} SELECT rel_type, count(*) AS cnt FROM edges GROUP BY rel_type",
     "repo_stats": f"WITH {SQL} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges WHERE src_id IN (SELECT id FROM nodes) AND dst_id IN (SELECT id FROM nodes)) AS edge_count, (SELECT count(DISTINCT file) FROM nodes) AS file_count",
-    "graph_preview_nodes": f"WITH {SQL}, deg AS (SELECT label, id, count(*) AS n FROM ({_DEGREE}) GROUP BY label, id) SELECT f.id, f.name, f.label, coalesce(n, 0) AS degree, FALSE AS highlighted FROM (SELECT * FROM nodes ORDER BY id, label LIMIT 60) f LEFT JOIN deg USING (label, id)",
+    "graph_preview_nodes": f"WITH {SQL}, deg AS (SELECT label, id, count(*) AS n FROM ({_DEGREE}) GROUP BY label, id) SELECT f.id, f.name, f.label, coalesce(n, 0) AS degree, f.name = 'E1' OR f.id = 'config::config.K3' AS highlighted FROM (SELECT * FROM nodes ORDER BY id, label LIMIT 60) f LEFT JOIN deg USING (label, id)",
     "graph_preview_edges": f"WITH {SQL}, f AS (SELECT id FROM nodes ORDER BY id, label LIMIT 60) SELECT DISTINCT src_id AS source, dst_id AS target, rel_type AS type FROM edges WHERE src_id IN (SELECT id FROM f) OR dst_id IN (SELECT id FROM f)",
     **{f"call_chain_d{d}": _chain_sql(d) for d in (1, 2, 3, 4)},
     "upstream_callers": _chain_sql(4, upstream=True),
