@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm._store import discard, materialise
+from codeweft.llm._store import discard, materialise, passing_shuffles
 
 #: Rounds in which one member of each bucket is compared with the others, at
 #: most; they go on while buckets hold more than ``LARGE`` members on average
@@ -40,6 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
     """``vertex, component`` for every vertex of ``edges(u, v)``, written; the
     component is named after its smallest vertex. Both columns have an ordered
     type."""
+    with passing_shuffles(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -93,13 +98,16 @@ def linked(
     near: Callable[[str, str], Column] | None = None,
     sketch: Callable[[DataFrame], DataFrame] | None = None,
     close: Callable[[str, str], Column] | None = None,
+    stars: int = STARS,
+    large: int = LARGE,
 ) -> DataFrame | None:
     """``vertex, component`` of the members that verified links join, or None
     without any link. ``shared`` lists ``sig, cls, n, lead``: bucket, member,
     size, and who is compared with the others first (the smallest). ``near``
     is a test of two members by further columns of ``shared``, given their
     prefixes; ``sketch`` adds columns that ``close`` tests in the last round.
-    Both may only refuse pairs without a link. ``verify`` keeps the linked
+    Both may only refuse pairs without a link. ``stars`` and ``large`` bound
+    the rounds of one member against the others. ``verify`` keeps the linked
     ones of ``u, v, nu, nv`` as ``u, v``.
 
     A bucket of m members that are all alike costs m pairs: in each of the
@@ -109,6 +117,11 @@ def linked(
     with all of the bucket, so no link that joins components is left out. The
     tests run inside the joins: a pair that fails them is never written.
     """
+    with passing_shuffles(shared.sparkSession):
+        return _linked(shared, similar, verify, near, sketch, close, stars, large)
+
+
+def _linked(shared, similar, verify, near, sketch, close, stars, large) -> DataFrame | None:
     num, den = similar
     carried = [c for c in shared.columns if c not in ("sig", "cls", "n", "lead")]
     kept = ["sig", "cls", "n", "lead", *carried]
@@ -132,7 +145,7 @@ def linked(
         discard(good)
         tried.append(pairs)
 
-    for step in range(STARS + 1):
+    for step in range(stars + 1):
         rows = _labelled(rows, labels)
         if step:
             rows = materialise(rows, "labelled")
@@ -141,7 +154,7 @@ def linked(
         centre = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min_by(F.struct("cls", "n", "label", *carried), order).alias("c")).where("low <> high")
         centre = materialise(centre.select("sig", "m", *[F.col(f"c.{c}").alias(f"o_{c}") for c in ("cls", "n", "label", *carried)]), "centres")
         size = centre.agg(F.sum("m").alias("rows"), F.sum(F.col("m").cast("double") * F.col("m")).alias("squares")).first()
-        if not size.rows or step == STARS or (step and size.squares <= LARGE * size.rows):
+        if not size.rows or step == stars or (step and size.squares <= large * size.rows):
             discard(centre)
             break
         held = materialise(rows.join(centre, "sig").where("cls <> o_cls").withColumn("fits", fits).select(*kept, "fits", *[F.when(F.col("fits"), F.col(c)).alias(c) for c in ("o_cls", "o_n")]), "open")

@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 from codeweft.llm import _bitmap
 from codeweft.llm._graph import linked
 from codeweft.llm._store import discard, materialise
-from codeweft.llm._words import SPACED_LOWER, buffers, grams, mix, slices, split
+from codeweft.llm._words import SPACED_LOWER, buffers, grams, mix, release, slices, split
 from codeweft.runtime import ship
 
 WIDTH = 5
+#: Bytes of text whose signatures a task works out at once.
+SLICE = 1 << 19
 #: Bits of a set's odd sketch.
 SKETCH = 1024
 #: Similarity from which two documents link, as a fraction.
@@ -179,7 +181,7 @@ def _arrays(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _input(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _classes(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n, cls, check``: size and class of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=SLICE):
             flat, ends = shingle_sets(*buffers(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), *map(pa.array, _classes(flat, ends))], names=["doc_id", "n", "cls", "check"])
 
@@ -205,9 +207,9 @@ def _survivors(docs: DataFrame, width: int, similar: tuple[int, int], scheme: Sc
     """``cls`` of the sets that share enough signatures with other sets to
     have a partner."""
 
-    def run(bitmap: np.ndarray | None):
+    def run(bitmap: _bitmap.Bitmap | None):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, most=1 << 20):
+            for batch in slices(batches, most=SLICE):
                 flat, ends = shingle_sets(*buffers(batch.column("text")), width)
                 cls, _ = _classes(flat, ends)
                 # copies in a slice are taken once
@@ -253,14 +255,15 @@ def _buckets(held: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 sets = part.column("members")
                 flat = np.asarray(sets.flatten()).view(np.uint64)
                 ends = np.asarray(sets.offsets).astype(np.int64)
                 ends = ends - ends[0]
                 found = signatures(flat, ends, similar, scheme)
                 yield _rows(found, np.ones(len(found.value), dtype=bool), np.asarray(part.column("cls")), np.diff(ends))
+        release()
 
     rows = held.select("cls", "members").mapInArrow(run, ROWS)
     ranked, often = _ranked(rows, scheme)
@@ -320,11 +323,11 @@ def links(docs: DataFrame, sets: DataFrame, width: int, similar: tuple[int, int]
     None if no two classes have enough in common."""
     # one document of each class that may have a partner, and its set
     concerned = _survivors(docs, width, similar, scheme_for(similar))
-    chosen = materialise(sets.join(concerned, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("chosen")), "chosen")
+    chosen = materialise(sets.join(concerned, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("chosen")).where("chosen IS NOT NULL"), "chosen")
     discard(concerned)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=SLICE):
             flat, ends = shingle_sets(*buffers(batch.column("text")), width)
             # rows of one doc_id may have other texts, whose sets are of other classes
             own = pa.array(_classes(flat, ends)[0] == np.asarray(batch.column("cls")))
@@ -345,7 +348,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similar: tuple[int,
     the smallest that links lead to."""
     sets = materialise(described(docs, width), "sets")
     labels = links(docs, sets, width, similar)
-    classes = sets.where("n > 0").groupBy("cls", "check").agg(F.min("doc_id").alias("class_id"))
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "check").agg(F.min("doc_id").alias("class_id"))
     if labels is not None:
         roots = materialise(classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")), "roots")
         lowest = materialise(roots.groupBy("root").agg(F.min("class_id").alias("component_id")), "lowest")
