@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codeweft.operators import inspect
 from codeweft.operators.resolve import resolve_edges
+from codeweft.operators.sync import stale_edges
 from codeweft.operators.vector import Embedder, HashingEmbedder
 from codeweft.plans import ingest, sessions, tracker
 from codeweft.plans.agent import Answer, run_agent
@@ -171,7 +172,7 @@ class Engine:
         if told["status"] != "skipped":
             self._store(repo_id, nodes, raw)
         if told["status"] == "updated":
-            stale = ingest.stale_edges(self.table("nodes", repo_id), self.table("raw_edges", repo_id), file, repo_id).select("source", "target", "type").limit(LISTED + 1).collect()
+            stale = stale_edges(self.table("nodes", repo_id), self.table("raw_edges", repo_id), file, repo_id).select("source", "target", "type").limit(LISTED + 1).collect()
             told |= {"stale_edges": [r.asDict() for r in stale[:LISTED]], "truncated": len(stale) > LISTED}
         return told
 

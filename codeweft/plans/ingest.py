@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.resolve import resolve_edges, upsert_nodes
-from codeweft.operators.sync import delete_file, resync, stale_edges, stored_hashes  # noqa: F401  stale_edges: part of the surface
+from codeweft.operators.sync import delete_file, resync, stored_hashes
 from codeweft.operators.vector import Embedder, embed_missing
 from codeweft.runtime import ship
 from codeweft.schema import NODES, RAW_EDGES, Graph
