@@ -121,7 +121,16 @@ def linked(
         return _linked(shared, similar, verify, near, sketch, close, stars, large)
 
 
-def _linked(shared, similar, verify, near, sketch, close, stars, large) -> DataFrame | None:
+def _linked(
+    shared: DataFrame,
+    similar: tuple[int, int],
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column] | None,
+    sketch: Callable[[DataFrame], DataFrame] | None,
+    close: Callable[[str, str], Column] | None,
+    stars: int,
+    large: int,
+) -> DataFrame | None:
     num, den = similar
     carried = [c for c in shared.columns if c not in ("sig", "cls", "n", "lead")]
     kept = ["sig", "cls", "n", "lead", *carried]
