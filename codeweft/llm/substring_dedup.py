@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm import _bitmap
 from codeweft.llm._store import discard, materialise, passing_shuffles, remove, scratch, write
-from codeweft.llm._words import SPACED, Words, buffers, grams, mix, slices, split
+from codeweft.llm._words import SPACED, Words, buffers, grams, mix, release, slices, split
 from codeweft.runtime import ship
 
 WINDOW = 13
@@ -296,6 +296,7 @@ def _windows(own: _bitmap.Bitmap, parts: _bitmap.Bitmap | None = None) -> Callab
             at = np.flatnonzero(some & _bitmap.test(parts, window[:, 0]))
             held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(np.ascontiguousarray(window[at]))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([held, digests.take(pa.array(of[at])), pa.array(doc[of[at]]), pa.array((at - ends[of[at]]).astype(np.int32))], names=["window", "digest", "first", "k"])
+        release()
 
     return run
 
@@ -365,18 +366,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
 
     def trim(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(parts, "joined"):
-            removed, texts = [], []
-            for row in batch.select(["joined", "ranges"]).to_pylist():
-                words = row["joined"].split(b" ")
-                step = np.zeros(len(words) + 1, dtype=np.int64)
-                begins, sizes = (np.array([r[f] for r in row["ranges"]], dtype=np.int64) for f in ("begin", "size"))
-                np.add.at(step, begins, 1)
-                np.add.at(step, begins + sizes - 1 + window, -1)
-                stays = np.cumsum(step)[:-1] == 0
-                texts.append(b" ".join([w for w, ok in zip(words, stays.tolist()) if ok]))
-                removed.append(int(len(words) - stays.sum()))
+            words = split(*buffers(batch.column("joined")), SPACED)
+            ranges = batch.column("ranges")
+            listed = ranges.flatten()
+            begin, size = (np.asarray(listed.field(f)).astype(np.int64) for f in ("begin", "size"))
+            begin = begin + np.repeat(words.docs[:-1], np.asarray(ranges.value_lengths()))
+            step = np.zeros(len(words) + 1, dtype=np.int64)
+            np.add.at(step, begin, 1)
+            np.add.at(step, begin + size - 1 + window, -1)
+            stays = np.cumsum(step)[:-1] == 0
+            lens = np.diff(words.offs)
+            left = np.concatenate([[0], np.cumsum(stays)])[words.docs]
+            kept = Words(words.data[np.repeat(stays, lens)], np.concatenate([[0], np.cumsum(lens[stays])]), left)
+            texts = _texts(kept, *_joined(kept))
+            removed = np.diff(words.docs) - np.diff(left)
             shas = [hashlib.sha256(t).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(removed, pa.int64()), pa.array([t.decode(errors="replace") for t in texts]), pa.array(shas)], names=["doc_id", "sha", "n_removed", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(removed), pa.array([t.decode(errors="replace") for t in texts]), pa.array(shas)], names=["doc_id", "sha", "n_removed", "kept", "kept_sha256"])
 
     moved = _rows(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(losing, "doc_id bigint, sha binary, joined binary")
     pairs = moved.withColumn("text", F.xxhash64("sha")).join(gone, ["doc_id", "text"]).select("doc_id", "sha", "joined", "ranges")
