@@ -20,6 +20,7 @@ from codeweft.llm.quality import THRESHOLD, fit, fold, score
 from codeweft.llm.secret_scan import render, secret_scan
 from codeweft.llm.substring_dedup import substring_dedup
 from codeweft.llm.token_counts import count_tokens
+from codeweft.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 #: Place of the tokenizer file; a path that holds on every executor.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +100,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_hits"), F.coalesce("names", F.lit("")).alias("licenses"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best_dice"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -110,11 +115,53 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _TEMPLATE_ROWS = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{b}'" for b in template_bigrams(text))) for name, text in TEMPLATES.items())
 
+
+
+def _assigned(k: int) -> str:
+    """CTE ``a{k}``: nearest entry of each part in codebooks ``c{k}``; distance
+    and index go into one number, whose least one is wanted."""
+    apart = "list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    return f"""a{k} AS MATERIALIZED (
+            SELECT n, p, m % {ENTRIES} AS e, m // {ENTRIES} AS d
+            FROM (SELECT n, p, CAST(min({apart} * {ENTRIES} + c.e) AS BIGINT) AS m FROM v JOIN c{k} c USING (p) GROUP BY n, p)
+        )"""
+
+
+def _refined(k: int) -> str:
+    """CTE ``c{k}`` from ``a{k - 1}``: floors of means, unused entries as they were."""
+    return f"""c{k} AS MATERIALIZED (
+            SELECT p, e, coalesce(y, c.x) AS x
+            FROM c{k - 1} c LEFT JOIN (
+                SELECT p, e, list(CAST(y AS BIGINT) ORDER BY i) AS y
+                FROM (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS y FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM v JOIN a{k - 1} USING (n, p)) GROUP BY p, e, i)
+                GROUP BY p, e
+            ) USING (p, e)
+        )"""
+
+
+_ROUNDS_SQL = ", ".join(f"{_assigned(k)}, {_refined(k + 1)}" for k in range(ROUNDS))
+
 ORACLE_SQL = {
+    "op11_vector_codes": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), v AS MATERIALIZED (
+            SELECT n, p, x[p * len(x) // {PARTS} + 1 : (p + 1) * len(x) // {PARTS}] AS x FROM kept, range({PARTS}) t(p)
+        ), c0 AS MATERIALIZED (
+            SELECT p, n - 1 AS e, x FROM v WHERE n <= {ENTRIES}
+        ), {_ROUNDS_SQL}, {_assigned(ROUNDS)}, coded AS (
+            SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY n
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c{ROUNDS}) AS codebooks_sha256
+        FROM kept JOIN coded USING (n)
+    """,
     "op10_license_scan": rf"""
         WITH t(license, b) AS (VALUES {_TEMPLATE_ROWS}),
         p AS (
