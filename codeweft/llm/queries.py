@@ -16,6 +16,7 @@ from codeweft.llm.exact_dedup import exact_dedup
 from codeweft.llm.jaccard_join import jaccard_components
 from codeweft.llm.license_scan import SIMILAR, TEMPLATES, license_scan, template_bigrams
 from codeweft.llm.line_dedup import line_dedup
+from codeweft.llm.media import media_columns
 from codeweft.llm.quality import THRESHOLD, fit, fold, score
 from codeweft.llm.secret_scan import render, secret_scan
 from codeweft.llm.substring_dedup import substring_dedup
@@ -104,6 +105,20 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media_columns(_table(spark, sf_dir, "documents"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -116,6 +131,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op12_media_columns": op12_media_columns,
 }
 
 _TEMPLATE_ROWS = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{b}'" for b in template_bigrams(text))) for name, text in TEMPLATES.items())
