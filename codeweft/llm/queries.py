@@ -19,6 +19,7 @@ from codeweft.llm.line_dedup import line_dedup
 from codeweft.llm.media import media_columns
 from codeweft.llm.quality import THRESHOLD, fit, fold, score
 from codeweft.llm.secret_scan import render, secret_scan
+from codeweft.llm.spelling import LEAST_COUNT, LEAST_LENGTH, THINNED, TIMES, spelling_variants
 from codeweft.llm.substring_dedup import substring_dedup
 from codeweft.llm.token_counts import count_tokens
 from codeweft.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
@@ -119,6 +120,10 @@ def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -132,6 +137,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
     "op12_media_columns": op12_media_columns,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _TEMPLATE_ROWS = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{b}'" for b in template_bigrams(text))) for name, text in TEMPLATES.items())
@@ -163,6 +169,38 @@ def _refined(k: int) -> str:
 _ROUNDS_SQL = ", ".join(f"{_assigned(k)}, {_refined(k + 1)}" for k in range(ROUNDS))
 
 ORACLE_SQL = {
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+        ), long_runs AS (
+            SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY doc_id, run
+        ), crc AS (  -- the checksum's table, by its polynomial
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST(('0x' || substr(x, 2 * i + 1, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM long_runs, crc
+        ), words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT n, CASE WHEN h % {THINNED} = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+            WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}
+        ), less AS (
+            SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS k FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS p FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n FROM less a JOIN less b USING (p, k) WHERE a.word <> b.word
+            UNION SELECT w.word, l.word, l.n FROM words w JOIN less l ON l.k = w.word
+            UNION SELECT l.word, w.word, w.n FROM words w JOIN less l ON l.k = w.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, max(n) AS m, arg_min(other, (-n, other)) AS other FROM near GROUP BY word
+        ), formed AS (
+            SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * words.n THEN other END AS form, CASE WHEN m >= {TIMES} * words.n THEN m END AS form_n
+            FROM words LEFT JOIN best USING (word)
+        ), steps AS (
+            SELECT word, word AS root, 0 AS d FROM formed
+            UNION ALL
+            SELECT s.word, f.form, d + 1 FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, d) AS root FROM steps GROUP BY word) USING (word)
+    """,
     "op11_vector_codes": f"""
         WITH kept AS MATERIALIZED (
             SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
