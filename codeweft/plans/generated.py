@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codeweft.operators.resolve import resolve_edges, upsert_nodes
 from codeweft.operators.vector import EMBEDDABLE, embedding_text
-from codeweft.plans.ingest import emitted_nodes, empty_nodes, parse_files, raw_edges
+from codeweft.plans.ingest import emitted_nodes, empty_nodes, raw_edges, scan_files
 from codeweft.plans.projection import REPO, table
+from codeweft.runtime import settled
 
 _PYTHON = '''import pkg.m{next} as nxt
 from . import m{before} as prev
@@ -57,24 +58,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(parse_files(files(spark, sf_dir))))
+    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(scan_files(files(spark, sf_dir))))
     shared = F.col("label").isin("Exception", "Config")
     return nodes.select("label", "id", "name", F.when(~shared, F.col("file")).alias("file"), "line", "docstring", (F.col("file_hash").isNotNull()).alias("hashed"))
 
 
 def ingest_raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_edges(parse_files(files(spark, sf_dir))).select("source", "target", F.col("type").alias("rel_type"), "file")
+    return raw_edges(scan_files(files(spark, sf_dir))).select("source", "target", F.col("type").alias("rel_type"), "file")
 
 
 def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_files(files(spark, sf_dir))
+    parsed = settled(scan_files(files(spark, sf_dir)))
     nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(parsed))
     return resolve_edges(nodes, raw_edges(parsed)).drop("repo_id")
 
 
 def ingest_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is embedded of the classes and functions of the Python files."""
-    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(parse_files(files(spark, sf_dir).where("file LIKE '%.py'"))))
+    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(scan_files(files(spark, sf_dir).where("file LIKE '%.py'"))))
     return nodes.where(F.col("label").isin(*EMBEDDABLE)).select("id", embedding_text().alias("text"))
 
 

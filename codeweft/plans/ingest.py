@@ -2,110 +2,108 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators.resolve import resolve_edges, upsert_nodes
 from codeweft.operators.sync import delete_file, resync, stored_hashes
 from codeweft.operators.vector import Embedder, embed_missing
-from codeweft.runtime import ship
+from codeweft.runtime import settled, ship
 from codeweft.schema import NODES, RAW_EDGES, Graph
 from codeweft.sources import python_source, script_source
-from codeweft.sources.emit import Parsed, module_id
+from codeweft.sources.emit import Parsed, module_id, module_name
 from codeweft.sources.files import DOCUMENTS, PYTHON, SCRIPT, file_rows, listed_files, read_files
 
 _NODE = "struct<label:string,id:string,name:string,line:int,docstring:string,source_code:string,file_hash:string>"
-_EDGE = "struct<source:string,target:string,type:string,props:map<string,string>>"
+_CHOICE = "struct<lookup:int,before:string,behind:string>"
+_EDGE = f"struct<source:string,target:string,type:string,props:map<string,string>,choices:array<{_CHOICE}>,unless:array<int>>"
 _KEYS = ("label", "id", "name", "line", "docstring", "source_code", "file_hash")
 
 
-def parse_file(file: str, content: bytes, known, file_hash: str | None = None, extended: bool = False) -> Parsed:
-    """One file by its suffix; an unsupported one gives nothing."""
-    text = content.decode("utf-8", errors="replace")
-    if file.endswith(PYTHON):
-        return python_source.parse(file, text, known, file_hash, extended)
-    if file.endswith(SCRIPT):
-        return script_source.parse(file, text, known, file_hash, extended)
+def parse_file(file: str, content: bytes, file_hash: str | None = None, extended: bool = False) -> Parsed:
+    """One file by its suffix, imports as lookups; an unsupported one gives
+    nothing. Whatever goes wrong with a file is that file's error: its module
+    stays, and no other file is touched."""
     out = Parsed(file)
+    try:
+        text = content.decode("utf-8", errors="replace")
+        if file.endswith(PYTHON):
+            return python_source.scan(file, text, file_hash, extended)
+        if file.endswith(SCRIPT):
+            return script_source.scan(file, text, file_hash, extended)
+    except (Exception, RecursionError, MemoryError) as problem:  # noqa: BLE001
+        out.node("Module", module_id(file), module_name(file), line=1, file_hash=file_hash)
+        return out.failed(problem)
     if file.endswith(DOCUMENTS):
         out.node("Module", module_id(file), file.rsplit("/", 1)[-1], file_hash=file_hash)
     return out
 
 
-class _Asked(Collection):
-    """Notes which paths a parser looks for among the files of a repository."""
-
-    def __init__(self) -> None:
-        self.paths: set[str] = set()
-
-    def __contains__(self, path: object) -> bool:
-        self.paths.add(str(path))
-        return False
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(())
-
-    def __len__(self) -> int:
-        return 0
-
-
-def import_candidates(files: DataFrame) -> DataFrame:
-    """``repo_id, file, candidate``: each path that an import of the file may
-    stand for."""
+def scan_files(files: DataFrame, extended: bool = False, todo: DataFrame | None = None) -> DataFrame:
+    """``repo_id, file, nodes, edges, lookups, error``, a row for each file, or
+    for those of ``todo(file)`` only. Each file is parsed once, by itself."""
     ship(files.sparkSession)
+    some = files if todo is None else files.join(todo, "file", "left_semi")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for r in part.itertuples(index=False):
-                asked = _Asked()
-                parse_file(r.file, r.content, asked)
-                rows += [(r.repo_id, r.file, path) for path in sorted(asked.paths)]
-            yield pd.DataFrame(rows, columns=["repo_id", "file", "candidate"])
+                got = parse_file(r.file, r.content, r.file_hash, extended)
+                rows.append((r.repo_id, r.file, [{k: n.get(k) for k in _KEYS} for n in got.nodes], got.edges, got.lookups, got.error))
+            yield pd.DataFrame(rows, columns=["repo_id", "file", "nodes", "edges", "lookups", "error"])
 
-    return files.select("repo_id", "file", "content").mapInPandas(run, "repo_id string, file string, candidate string")
+    shape = f"repo_id string, file string, nodes array<{_NODE}>, edges array<{_EDGE}>, lookups array<array<string>>, error string"
+    return some.select("repo_id", "file", "content", "file_hash").mapInPandas(run, shape)
 
 
-def parse_files(files: DataFrame, extended: bool = False, todo: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
-    """``repo_id, file, nodes, edges, error``, a row for each file, or for
-    those of ``todo(file)`` only. ``names(repo_id, file)`` lists the files of
-    the repositories where ``files`` doesn't hold all of them. Imports are resolved by a join of what each
-    file may mean with the files there are, so a file is parsed with those
-    that it names and not with the whole repository's list."""
-    some = files if todo is None else files.join(todo, "file", "left_semi")
-    there = (files if names is None else names).select("repo_id", F.col("file").alias("candidate"))
-    known = import_candidates(some).join(there, ["repo_id", "candidate"], "left_semi").groupBy("repo_id", "file").agg(F.collect_set("candidate").alias("known"))
-    return _parse_known(some.join(known, ["repo_id", "file"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), extended)
+def _asked(scanned: DataFrame) -> DataFrame:
+    """``repo_id, file, lookup, rank, candidate``: each path that an import of
+    the file may stand for, in order of preference."""
+    each = scanned.select("repo_id", "file", F.posexplode("lookups").alias("lookup", "paths"))
+    return each.select("repo_id", "file", "lookup", F.posexplode("paths").alias("rank", "candidate"))
 
 
-def _parse_known(files: DataFrame, extended: bool = False) -> DataFrame:
-    ship(files.sparkSession)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                got = parse_file(r.file, r.content, frozenset(r.known), r.file_hash, extended)
-                rows.append((r.repo_id, r.file, [{k: n.get(k) for k in _KEYS} for n in got.nodes], got.edges, got.error))
-            yield pd.DataFrame(rows, columns=["repo_id", "file", "nodes", "edges", "error"])
-
-    return files.mapInPandas(run, f"repo_id string, file string, nodes array<{_NODE}>, edges array<{_EDGE}>, error string")
+def import_candidates(files: DataFrame) -> DataFrame:
+    """``repo_id, file, candidate``: what a file is joined on."""
+    return _asked(scan_files(files)).select("repo_id", "file", "candidate").distinct()
 
 
-def emitted_nodes(parsed: DataFrame) -> DataFrame:
+def emitted_nodes(scanned: DataFrame) -> DataFrame:
     """Nodes with ``seq``, a total order: by file, then by place in the file."""
-    rows = parsed.select("repo_id", "file", F.posexplode("nodes").alias("k", "n")).select("repo_id", "n.label", "n.id", "n.name", "file", "n.line", "n.docstring", "n.source_code", F.lit(None).cast("array<float>").alias("embedding"), "n.file_hash", F.struct("file", "k").alias("seq"))
-    # An exception or config belongs to the first file that names it.
-    first = Window.partitionBy("repo_id", "label", "id").orderBy("seq")
-    ranked = rows.withColumn("n", F.row_number().over(first))
-    return ranked.where(~F.col("label").isin("Exception", "Config") | (F.col("n") == 1)).drop("n")
-
-
-def raw_edges(parsed: DataFrame) -> DataFrame:
-    return parsed.select("repo_id", "file", F.explode("edges").alias("e")).select("repo_id", "e.source", "e.target", "e.type", "e.props", "file")
+    rows = scanned.select("repo_id", "file", F.posexplode("nodes").alias("k", "n")).select("repo_id", "n.label", "n.id", "n.name", "file", "n.line", "n.docstring", "n.source_code", F.lit(None).cast("array<float>").alias("embedding"), "n.file_hash", F.struct("file", "k").alias("seq"))
+    # An exception or config belongs to the first file that names it; only these
+    # few columns are put together, before anything moves.
+    shared = F.col("label").isin("Exception", "Config")
+    rest = [c for c in rows.columns if c not in ("repo_id", "label", "id")]
+    first = rows.where(shared).groupBy("repo_id", "label", "id").agg(F.min_by(F.struct(*rest), "seq").alias("n")).select("repo_id", "label", "id", "n.*")
+    return rows.where(~shared).unionByName(first)
+
+
+def raw_edges(scanned: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Raw edges with imports settled by a join: what each file may mean with
+    the files there are, ``names(repo_id, file)`` (those of ``scanned`` if none
+    are given). Edges that depend on no import don't take part."""
+    there = (scanned if names is None else names).select("repo_id", F.col("file").alias("candidate"))
+    hits = _asked(scanned).join(there, ["repo_id", "candidate"], "left_semi")
+    paths = hits.groupBy("repo_id", "file", "lookup").agg(F.min_by("candidate", "rank").alias("path"))
+    found = paths.groupBy("repo_id", "file").agg(F.map_from_entries(F.collect_list(F.struct("lookup", "path"))).alias("found"))
+    each = scanned.select("repo_id", "file", F.explode("edges").alias("e")).select("repo_id", "e.*", "file")
+    free = (F.size("choices") == 0) & (F.size("unless") == 0)
+    at = lambda k: F.try_element_at("found", k)
+    chosen = F.filter(F.transform("choices", lambda c: F.concat(c["before"], at(c["lookup"]), c["behind"])), lambda x: x.isNotNull())
+    bound = each.where(~free).join(found, ["repo_id", "file"], "left").where(~F.exists("unless", lambda k: at(k).isNotNull()))
+    bound = bound.withColumn("target", F.coalesce(F.try_element_at(chosen, F.lit(1)), "target")).where("target IS NOT NULL")
+    columns = ["repo_id", "source", "target", "type", "props", "file"]
+    return each.where(free).select(*columns).unionByName(bound.select(*columns))
+
+
+def errors(scanned: DataFrame) -> DataFrame:
+    """``repo_id, file, error`` of files that couldn't be parsed."""
+    return scanned.where("error IS NOT NULL").select("repo_id", "file", "error")
 
 
 def empty_nodes(spark: SparkSession) -> DataFrame:
@@ -114,11 +112,11 @@ def empty_nodes(spark: SparkSession) -> DataFrame:
 
 def ingest(spark: SparkSession, root: str, repo_id: str | None = None, embedder: Embedder | None = None, extended: bool = False) -> tuple[DataFrame, DataFrame, Graph]:
     """(nodes, raw edges, resolved graph) of a source tree."""
-    parsed = parse_files(read_files(spark, root, repo_id or root), extended)
-    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(parsed))
+    scanned = settled(scan_files(read_files(spark, root, repo_id or root), extended))
+    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(scanned))
     if embedder is not None:
         nodes = embed_missing(nodes, embedder)
-    raw = raw_edges(parsed)
+    raw = raw_edges(scanned)
     return nodes, raw, Graph(nodes, resolve_edges(nodes, raw))
 
 
@@ -128,8 +126,8 @@ def ingest_changes(spark: SparkSession, root: str, repo_id: str, nodes: DataFram
     files = read_files(spark, root, repo_id)
 
     def parse(todo: DataFrame) -> tuple[DataFrame, DataFrame]:
-        parsed = parse_files(files, todo=todo)
-        return emitted_nodes(parsed), raw_edges(parsed)
+        scanned = settled(scan_files(files, todo=todo))
+        return emitted_nodes(scanned), raw_edges(scanned, files)
 
     merged, edges, diff = resync(nodes, raw, files.select("file", "file_hash"), parse, repo_id)
     return (embed_missing(merged, embedder) if embedder is not None else merged), edges, diff
@@ -149,11 +147,12 @@ def update_file(spark: SparkSession, root: str, repo_id: str, file: str, nodes:
     if not here:
         return nodes, raw, {"status": "deleted", "file": file, "nodes_removed": removed}
     names = spark.createDataFrame([(repo_id, f) for f, _ in listed], "repo_id string, file string")
-    parsed = parse_files(found, names=names)
-    counts = parsed.select(F.size("nodes").alias("nodes"), F.size("edges").alias("edges")).first()
-    merged = upsert_nodes(nodes, emitted_nodes(parsed))
+    scanned = settled(scan_files(found))
+    added = raw_edges(scanned, names)
+    counts = scanned.select(F.size("nodes").alias("nodes")).first()
+    merged = upsert_nodes(nodes, emitted_nodes(scanned))
     merged = embed_missing(merged, embedder) if embedder is not None else merged
-    return merged, raw.unionByName(raw_edges(parsed)), {"status": "updated", "file": file, "nodes_added": counts.nodes, "edges_added": counts.edges, "nodes_removed": removed}
+    return merged, raw.unionByName(added), {"status": "updated", "file": file, "nodes_added": counts.nodes, "edges_added": added.count(), "nodes_removed": removed}
 
 
 def summary(rows: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,9 +36,38 @@ def ship(spark: SparkSession) -> None:
     sc._codeweft_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A
+    local session without one uses its warehouse folder."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return base.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, so that what reads it
-    several times doesn't make it anew; as it is where there is no folder."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df
+    """``df`` written to the shared folder, so that what reads it several times
+    doesn't make it anew and the planner knows its size. The folder of an
+    application goes when its driver ends."""
+    spark = df.sparkSession
+    top = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-settled"
+    if not getattr(spark.sparkContext, "_codeweft_settled", False):
+        spark.sparkContext._codeweft_settled = True
+        atexit.register(_quietly, _remove, spark, top)
+    path = f"{top}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _quietly(call, *args) -> None:
+    try:
+        call(*args)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass

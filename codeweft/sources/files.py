@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 PYTHON = (".py",)
 SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 DOCUMENTS = (".json", ".yaml", ".yml", ".md", ".html", ".css")
-SKIPPED = (".git", ".venv", "venv", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", "dist", "build")
+SKIPPED = ("__pycache__", ".git", ".venv", "venv", "env", "node_modules", ".eggs", "build", "dist")
 
 
 def is_url(source: str) -> bool:
