@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import metrics
 from codeweft.operators import inspect, resolve, sync, traverse, vector
-from codeweft.plans import generated, sessions
+from codeweft.plans import generated, sessions, tracked
 from codeweft.plans.projection import REPO, REPOSITORIES_SQL, SQL, THIN_SQL, edges, graph, nodes, repositories, table
 from codeweft.schema import Graph
 
@@ -422,6 +422,7 @@ QUERIES = {
     "chat_get": chat_get,
     "find_node": find_node,
     **generated.QUERIES,
+    **tracked.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -478,4 +479,5 @@ ORACLE_SQL = {
     "chat_get": "SELECT '3' AS chat_id, 'repo1' AS repo_id, n_name AS repo_name FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id = 3) LEFT JOIN nation ON n_nationkey = 1",
     "find_node": _FIND_SQL,
     **generated.ORACLE_SQL,
+    **tracked.ORACLE_SQL,
 }

@@ -15,6 +15,47 @@ def latest_stages(events: DataFrame) -> DataFrame:
     return events.withColumn("n", F.row_number().over(last)).where("n = 1").select("repo_id", "stage", "percent")
 
 
+def slots(events: DataFrame) -> DataFrame:
+    """``repo_id, slot, seq, op, percent, detail, error, at``: what each event
+    may settle. The state of a repository follows from one event of each slot:
+    the last ``init``, ``start``, ``finish`` and ``fail``, the first that
+    ``began`` it, and the last of each stage. So the log can be put together in
+    any order and in any pieces, and again. Events of unknown stages have no
+    slot, and neither have those without a repository."""
+    steps = F.col("op").isin("update", "complete") & F.col("stage").isin(*STAGES)
+    own = (
+        F.when(F.col("op").isin("init", "start"), F.array(F.col("op"), F.lit("began")))
+        .when(F.col("op").isin("finish", "fail"), F.array(F.col("op")))
+        .when(steps, F.array(F.concat(F.lit("stage:"), F.col("stage"))))
+    )
+    percent = F.when(F.col("op") == "complete", 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("percent", F.lit(0)))))
+    return events.where("repo_id IS NOT NULL").select("repo_id", F.explode(own).alias("slot"), "seq", "op", percent.cast("int").alias("percent"), "detail", "error", "at")
+
+
+def rendered(held: DataFrame) -> DataFrame:
+    """``repo_id, status, started_at, finished_at, error, stages`` from
+    ``repo_id, slots`` (a map of slots to their events)."""
+    slot = lambda name: F.try_element_at("slots", name)
+    began, reset = slot(F.lit("began"))["seq"], slot(F.lit("init"))["seq"]
+    # What came before a repository began, or before its last init, is forgotten.
+    counts = lambda s: (s["seq"] >= began) & (reset.isNull() | (s["seq"] >= reset))
+    live = lambda name: F.when(counts(slot(name)), slot(name))
+    start, finish, fail = (live(F.lit(n)) for n in ("start", "finish", "fail"))
+    latest = lambda *several: F.array_max(F.array(*[F.when(s.isNotNull(), F.struct(s["seq"].alias("seq"), s["op"].alias("op"), s["at"].alias("at"))) for s in several]))
+    end = latest(live(F.lit("init")), start, finish, fail)["op"]
+    status = F.when(end == "finish", "ready").when(end == "fail", "error").when(end == "start", "indexing").otherwise("idle")
+    error = F.when(start.isNull() | (start["seq"] < fail["seq"]), fail["error"])
+
+    def stage(name: Column) -> Column:
+        step = live(F.concat(F.lit("stage:"), name))
+        over = finish.isNotNull() & (step.isNull() | (step["seq"] <= finish["seq"]))
+        state = F.when(over | (step["op"] == "complete"), "done").when(step.isNull(), "pending").when(step["seq"] <= fail["seq"], "error").otherwise("in_progress")
+        return F.struct(name.alias("name"), state.alias("status"), F.when(over, 100).otherwise(F.coalesce(step["percent"], F.lit(0))).alias("percent"), F.coalesce(step["detail"], F.lit("")).alias("detail"))
+
+    begun = held.where(began.isNotNull())
+    return begun.select("repo_id", status.alias("status"), start["at"].alias("started_at"), latest(finish, fail)["at"].alias("finished_at"), error.alias("error"), F.transform(F.array(*map(F.lit, STAGES)), stage).alias("stages"))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """State of each repository from ``repo_id, seq, op, stage, percent,
     detail, error, at``: ``status, stages, started_at, finished_at, error``.
@@ -22,31 +63,13 @@ def fold(events: DataFrame) -> DataFrame:
     Operations: init (forgets what came before), start, update, complete,
     finish (completes every stage) and fail (marks stages in progress). An
     update of an unknown stage, or of a repository that began in no way, is
-    ignored; percents are held within 0 and 100."""
-    known = F.array(*map(F.lit, STAGES))
-    rows = events.where(F.col("stage").isNull() | F.array_contains(known, F.col("stage")))
-    own = Window.partitionBy("repo_id")
-    reset = F.max(F.when(F.col("op") == "init", F.col("seq"))).over(own)
-    began = F.min(F.when(F.col("op").isin("init", "start"), F.col("seq"))).over(own)
-    rows = rows.withColumns({"reset": reset, "began": began}).where("began IS NOT NULL AND seq >= began AND (reset IS NULL OR seq >= reset)")
-    at = lambda op, value: F.max_by(value, F.when(F.col("op") == op, F.col("seq")))
-    end = F.max_by("op", F.when(F.col("op").isin("init", "start", "finish", "fail"), F.col("seq")))
-    whole = rows.groupBy("repo_id").agg(
-        F.when(end == "finish", "ready").when(end == "fail", "error").when(end == "start", "indexing").otherwise("idle").alias("status"),
-        at("start", F.col("at")).alias("started_at"),
-        F.max_by("at", F.when(F.col("op").isin("finish", "fail"), F.col("seq"))).alias("finished_at"),
-        at("fail", F.col("error")).alias("error"),
-        F.max(F.when(F.col("op") == "finish", F.col("seq"))).alias("finished"),
-        F.max(F.when(F.col("op") == "fail", F.col("seq"))).alias("failed"),
-    )
-    percent = F.when(F.col("op") == "complete", 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("percent", F.lit(0)))))
-    steps = rows.where(F.col("op").isin("update", "complete") & F.col("stage").isNotNull()).groupBy("repo_id", "stage").agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"), F.max_by(percent, "seq").alias("percent"), F.max_by("detail", "seq").alias("detail"))
-    every = whole.select("repo_id", "finished", "failed", F.posexplode(known).alias("k", "stage")).join(steps, ["repo_id", "stage"], "left")
-    over = F.col("finished").isNotNull() & (F.col("seq").isNull() | (F.col("seq") <= F.col("finished")))
-    running = F.col("op") == "update"
-    status = F.when(over | (F.col("op") == "complete"), "done").when(running & F.col("failed").isNotNull() & (F.col("seq") <= F.col("failed")), "error").when(running, "in_progress").otherwise("pending")
-    stages = every.groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("stage").alias("name"), status.alias("status"), F.when(over, 100).otherwise(F.coalesce("percent", F.lit(0))).alias("percent"), F.coalesce("detail", F.lit("")).alias("detail")))), lambda s: s.dropFields("k")).alias("stages"))
-    return whole.drop("finished", "failed").join(stages, "repo_id")
+    ignored; percents are held within 0 and 100; a start forgets the error of
+    the run before. A task puts its events together before any move, so a busy
+    repository is no large group."""
+    event = F.struct("seq", "op", "percent", "detail", "error", "at")
+    one = F.when(F.col("slot") == "began", F.min_by(event, "seq")).otherwise(F.max_by(event, "seq"))
+    each = slots(events).groupBy("repo_id", "slot").agg(one.alias("event"))
+    return rendered(each.groupBy("repo_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "event"))).alias("slots")))
 
 
 def dot_color(status: Column) -> Column:
