@@ -3,12 +3,15 @@ Parquet tables in one folder."""
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future
 from datetime import datetime
 from urllib.parse import quote
 
+from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from codeweft.schema import NODES, RAW_EDGES, Graph, problems
 from codeweft.sources.files import read_files, repo_name, resolve_repo
 
 EVENTS = "repo_id string, seq bigint, op string, stage string, percent int, detail string, error string, at timestamp"
+RESYNCS = "repo_id string, run string, batch bigint, counts map<string,bigint>, at timestamp"
 _LOGS = {"repos": (sessions.REPOS, "repo_id"), "chats": (sessions.CHATS, "chat_id"), "messages": (sessions.MESSAGES, "msg_id")}
 _GRAPH = {"nodes": NODES, "raw_edges": RAW_EDGES}
 #: Stale edges that an update lists; more are told by a flag.
@@ -40,6 +44,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or HashingEmbedder()
+        self._guard, self._turns = threading.Lock(), {}
 
     # -- storage
 
@@ -104,17 +109,42 @@ class Engine:
 
     # -- repositories
 
-    def add_repo(self, source: str) -> str:
-        """The id of the repository of ``source``; indexed when it is new."""
+    def add_repo(self, source: str, wait: bool = True) -> str:
+        """The id of the repository of ``source``; indexed when it is new,
+        behind the caller's back without ``wait``."""
         known = sessions.find_repo_by_source(self.table("repos"), source).first()
         if known:
             return known.repo_id
         row, ident = sessions.new_repo(self.spark, source, repo_name(source))
         self._append("repos", row)
         self._event(ident, "init")
-        self.index(ident)
+        job = self.submit("index", ident)
+        if wait:
+            job.result()
         return ident
 
+    def submit(self, kind: str, repo_id: str) -> Future:
+        """Start ``index``, ``rebuild`` or ``resync`` of a repository and come
+        back at once. ``index_status`` tells how far it is; ``result()`` waits,
+        and raises what went wrong. Jobs of one repository run one after the
+        other, those of others beside it."""
+        work = {"index": self.index, "rebuild": self.rebuild, "resync": self.resync}[kind]
+        self._repo(repo_id)
+        done: Future = Future()
+
+        def run() -> None:
+            try:
+                done.set_result(work(repo_id))
+            except BaseException as problem:  # noqa: BLE001  the caller asks for it
+                done.set_exception(problem)
+
+        InheritableThread(target=run, name=f"{kind}-{repo_id}", daemon=True).start()
+        return done
+
+    def _turn(self, repo_id: str) -> threading.RLock:
+        with self._guard:
+            return self._turns.setdefault(repo_id, threading.RLock())
+
     def _repo(self, repo_id: str) -> DataFrame:
         row = self.table("repos").where(F.col("repo_id") == repo_id)
         if row.isEmpty():
@@ -128,16 +158,18 @@ class Engine:
         self._append("repos", sessions.update_repo_status(self._repo(repo_id), repo_id, status, synced))
 
     def _tracked(self, repo_id: str, work: Callable[[], None]) -> None:
-        self._status(repo_id, "indexing")
-        self._event(repo_id, "start")
-        try:
-            work()
-        except Exception as error:
-            self._event(repo_id, "fail", error=str(error).split("\n")[0])
-            self._status(repo_id, "error")
-            raise
-        self._event(repo_id, "finish")
-        self._status(repo_id, "ready", sessions.utcnow())
+        with self._turn(repo_id):
+            self._status(repo_id, "indexing")
+            self._event(repo_id, "start")
+            self._event(repo_id, "update", "parsing")
+            try:
+                work()
+            except Exception as error:
+                self._event(repo_id, "fail", error=str(error).split("\n")[0])
+                self._status(repo_id, "error")
+                raise
+            self._event(repo_id, "finish")
+            self._status(repo_id, "ready", sessions.utcnow())
 
     def index(self, repo_id: str) -> None:
         """Parse everything anew."""
@@ -152,18 +184,39 @@ class Engine:
     rebuild = index
 
     def resync(self, repo_id: str) -> dict[str, int]:
-        """Parse what changed; how many files were added, changed, deleted."""
+        """Parse what changed; how many files were added, changed, deleted.
+        Where nothing did, the stored version stays."""
         counts: dict[str, int] = {}
 
         def work() -> None:
             own = [self.table(name, repo_id) for name in _GRAPH]
             nodes, raw, diff = ingest.ingest_changes(self.spark, self._source(repo_id), repo_id, *own, self.embedder)
             counts.update({r.status: r["count"] for r in diff.groupBy("status").count().collect()})
-            self._store(repo_id, nodes, raw)
+            self._event(repo_id, "complete", "parsing")
+            if set(counts) - {"unchanged"}:
+                self._store(repo_id, nodes, raw)
 
         self._tracked(repo_id, work)
         return counts
 
+    def resync_once(self, repo_id: str, run: str, batch: int) -> dict[str, int] | None:
+        """``resync`` for micro-batch ``batch`` of the stream ``run``; None if
+        that batch was done for the repository already, or the repository is
+        gone."""
+        mine = (F.col("repo_id") == repo_id) & (F.col("run") == run) & (F.col("batch") == batch)
+        with self._turn(repo_id):
+            if not self._read("logs/resyncs", RESYNCS).where(mine).isEmpty() or self.table("repos").where(F.col("repo_id") == repo_id).isEmpty():
+                return None
+            counts = self.resync(repo_id)
+            row = self.spark.createDataFrame([(repo_id, run, batch, counts, datetime.now())], RESYNCS)
+            row.write.mode("append").parquet(f"{self.root}/logs/resyncs")
+            return counts
+
+    def resyncs(self, repo_id: str | None = None) -> DataFrame:
+        """What streams of notices have done: ``repo_id, run, batch, counts, at``."""
+        rows = self._read("logs/resyncs", RESYNCS)
+        return rows if repo_id is None else rows.where(F.col("repo_id") == repo_id)
+
     def update_file(self, repo_id: str, file: str) -> dict:
         """One file again: ``status`` is skipped, deleted or updated, with
         counts, and edges of other files that now lead nowhere."""
