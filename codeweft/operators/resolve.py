@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.skew import spread_join
+from codeweft.runtime import settled
+
 
 def node_keys(nodes: DataFrame) -> DataFrame:
     """``repo_id, key, label, id``: every string that names a node: its id,
@@ -29,15 +32,59 @@ def _ends(raw: DataFrame, keys: DataFrame, column: Column, label: str, ident: st
     return hits.drop("key")
 
 
-def resolve_edges(nodes: DataFrame, raw: DataFrame, lenient: bool = False) -> DataFrame:
+def raw_pairs(raw: DataFrame) -> DataFrame:
+    """``repo_id, source, target, type`` of raw edges, each once: files repeat
+    what they call, and only what differs has to be resolved."""
+    return raw.select("repo_id", "source", cleaned(F.col("target")).alias("target"), "type").distinct()
+
+
+def resolve_pairs(pairs: DataFrame, keys: DataFrame, most: int | None = None) -> DataFrame:
+    """``pairs`` with ``src_label, src_id, dst_label, dst_id``: each pair between
+    all nodes that its ends name. Each name is looked up once, however many
+    pairs have it. With ``most`` the pairs of a name beyond so many rows are
+    dealt out over cells (``skew.spread_join``), so a name that a large part of
+    the nodes has keeps no task longer than others."""
+
+    def named(end: str, label: str) -> DataFrame:
+        asked = pairs.select("repo_id", F.col(end).alias("key")).distinct()
+        hits = asked.join(keys.select("repo_id", "key", "label", "id"), ["repo_id", "key"])
+        return hits.select("repo_id", F.col("key").alias(end), F.col("label").alias(f"{label}_label"), F.col("id").alias(f"{label}_id"))
+
+    sources, targets = named("source", "src"), named("target", "dst")
+    if most is None:
+        return pairs.join(sources, ["repo_id", "source"]).join(targets, ["repo_id", "target"])
+    half = settled(spread_join(settled(pairs), settled(sources), ["repo_id", "source"], most))
+    return spread_join(half, settled(targets), ["repo_id", "target"], most)
+
+
+def linked(links: DataFrame) -> DataFrame:
+    """The distinct edges of resolved pairs."""
+    return links.select("repo_id", "src_label", "src_id", F.col("type").alias("rel_type"), "dst_label", "dst_id").distinct()
+
+
+def resolve_edges(nodes: DataFrame, raw: DataFrame, lenient: bool = False, most: int | None = None) -> DataFrame:
     """Distinct ``repo_id, src_label, src_id, rel_type, dst_label, dst_id``: each
     raw edge between all nodes that its ends name. With ``lenient``, nodes
     whose repository is null belong to every one, and raw edges without a
-    repository (null or empty) join nodes of all."""
+    repository (null or empty) join nodes of all. ``most`` bounds what a task
+    takes of one name (see ``resolve_pairs``; tables are written on the way)."""
     keys = node_keys(nodes)
+    if not lenient:
+        return linked(resolve_pairs(raw_pairs(raw), keys, most))
     both = _ends(raw, keys, F.col("source"), "src_label", "src_id", lenient)
     both = _ends(both, keys, cleaned(F.col("target")), "dst_label", "dst_id", lenient)
-    return both.select("repo_id", "src_label", "src_id", F.col("type").alias("rel_type"), "dst_label", "dst_id").distinct()
+    return linked(both)
+
+
+def name_counts(nodes: DataFrame, raw: DataFrame) -> DataFrame:
+    """``repo_id, key, nodes, as_source, as_target, links``: how many nodes each
+    name stands for, how many distinct raw edges use it at either end, and how
+    many links that makes at most of each raw edge's other end."""
+    keys = node_keys(nodes).groupBy("repo_id", "key").agg(F.count("*").alias("nodes"))
+    pairs = raw_pairs(raw)
+    ends = pairs.select("repo_id", F.col("source").alias("key"), F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(pairs.select("repo_id", F.col("target").alias("key"), F.lit(0).alias("s"), F.lit(1).alias("t")))
+    used = ends.groupBy("repo_id", "key").agg(F.sum("s").alias("as_source"), F.sum("t").alias("as_target"))
+    return keys.join(used, ["repo_id", "key"]).withColumn("links", F.col("nodes") * (F.col("as_source") + F.col("as_target")))
 
 
 def dangling_edges(nodes: DataFrame, raw: DataFrame) -> DataFrame:

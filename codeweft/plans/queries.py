@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import metrics
 from codeweft.operators import inspect, resolve, sync, traverse, vector
-from codeweft.plans import generated, sessions, tracked
+from codeweft.plans import generated, resolution, sessions, tracked
 from codeweft.plans.projection import REPO, REPOSITORIES_SQL, SQL, THIN_SQL, edges, graph, nodes, repositories, table
 from codeweft.schema import Graph
 
@@ -127,6 +127,8 @@ _RAW_SQL = f"""{SQL}, raw AS (
     ), clean AS (SELECT *, replace(replace(target, 'ts_call::', ''), 'config::', '') AS t FROM raw)"""
 _NAMES = "(n.id = {0} OR n.name = {0} OR ends_with(n.id, '::' || {0}))"
 
+_RESOLVED_SQL = f"SELECT DISTINCT n.label AS src_label, n.id AS src_id, 'CALLS' AS rel_type, m.label AS dst_label, m.id AS dst_id FROM clean JOIN nodes n ON {_NAMES.format('source')} JOIN nodes m ON {_NAMES.format('t').replace('n.', 'm.')}"
+
 
 def fuzzy_resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_edges(nodes(spark, sf_dir), raw_edges(spark, sf_dir)).drop("repo_id")
@@ -423,6 +425,7 @@ QUERIES = {
     "find_node": find_node,
     **generated.QUERIES,
     **tracked.QUERIES,
+    **resolution.queries(nodes, raw_edges, _moved),
 }
 
 ORACLE_SQL = {
@@ -447,7 +450,7 @@ ORACLE_SQL = {
     "ui_module_contents": f"WITH {SQL} " + _SCAN.format("CONTAINS"),
     "ui_hubs": f"WITH {SQL} SELECT id, label, count(*) AS degree FROM ({_ONCE}) GROUP BY id, label ORDER BY degree DESC, id LIMIT 15",
     "ui_whole_graph": f"WITH {SQL}, b AS (SELECT src_id AS id, rel_type, dst_id AS other FROM edges UNION SELECT dst_id, rel_type, src_id FROM edges) SELECT n.label, n.id, b.rel_type, b.other FROM nodes n LEFT JOIN b USING (id) ORDER BY n.id, n.label, b.rel_type NULLS FIRST, b.other NULLS FIRST LIMIT 200",
-    "fuzzy_resolve_edges": f"WITH {_RAW_SQL} SELECT DISTINCT n.label AS src_label, n.id AS src_id, 'CALLS' AS rel_type, m.label AS dst_label, m.id AS dst_id FROM clean JOIN nodes n ON {_NAMES.format('source')} JOIN nodes m ON {_NAMES.format('t').replace('n.', 'm.')}",
+    "fuzzy_resolve_edges": f"WITH {_RAW_SQL} {_RESOLVED_SQL}",
     "dangling_edges": f"WITH {_RAW_SQL} SELECT source, target FROM clean WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE {_NAMES.format('source')}) OR NOT EXISTS (SELECT 1 FROM nodes n WHERE {_NAMES.format('t')})",
     "vector_topk_function": f"WITH {_VECTORS} " + _top_sql("Function"),
     "vector_topk_class": f"WITH {_VECTORS} " + _top_sql("Class"),
@@ -480,4 +483,5 @@ ORACLE_SQL = {
     "find_node": _FIND_SQL,
     **generated.ORACLE_SQL,
     **tracked.ORACLE_SQL,
+    **resolution.oracle_sql(_RAW_SQL, _RESOLVED_SQL),
 }
