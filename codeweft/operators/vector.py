@@ -116,14 +116,19 @@ class Retrieved:
 CONTEXT_EDGES = 2000
 
 
+def seeds(nodes: DataFrame, query: Sequence[float], k: int = 3) -> DataFrame:
+    """``label, id`` of the k nearest functions and k nearest classes."""
+    found = None
+    for label in EMBEDDABLE:
+        part = vector_top_k(nodes, query, label, k).select(F.lit(label).alias("label"), "id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def hybrid_edges(graph: Graph, query: Sequence[float], k: int = 3, hops: int = 2, repo_id: str | None = None) -> DataFrame:
     """Edges within ``hops`` of the k nearest functions and k nearest classes."""
     own = graph if repo_id is None else graph.within(repo_id)
-    seeds = None
-    for label in EMBEDDABLE:
-        part = vector_top_k(own.nodes, query, label, k).select(F.lit(label).alias("label"), "id")
-        seeds = part if seeds is None else seeds.unionByName(part)
-    return subgraph(own, seeds, hops)
+    return subgraph(own, seeds(own.nodes, query, k), hops)
 
 
 def retrieve(graph: Graph, question: str, embedder: Embedder, k: int = 3, hops: int = 2, repo_id: str | None = None) -> Retrieved:
@@ -133,18 +138,18 @@ def retrieve(graph: Graph, question: str, embedder: Embedder, k: int = 3, hops:
     query = embedder.embed([question])[0]
     embedded = time.perf_counter()
     own = graph if repo_id is None else graph.within(repo_id)
-    seeds = [r.asDict() | {"label": label} for label in EMBEDDABLE for r in vector_top_k(own.nodes, query, label, k).collect()]
+    near = [r.asDict() | {"label": label} for label in EMBEDDABLE for r in vector_top_k(own.nodes, query, label, k).collect()]
     searched = time.perf_counter()
     metrics = {"embed_ms": (embedded - begin) * 1e3, "vector_search_ms": (searched - embedded) * 1e3}
-    if not seeds:
+    if not near:
         return Retrieved(NO_SEEDS, [], [], metrics | {"graph_traversal_ms": 0.0, "total_retrieval_ms": (searched - begin) * 1e3})
     spark = graph.nodes.sparkSession
-    chosen = spark.createDataFrame([(s["label"], s["id"]) for s in seeds], "label string, id string")
+    chosen = spark.createDataFrame([(s["label"], s["id"]) for s in near], "label string, id string")
     found = subgraph(own, chosen, hops).orderBy("source_id", "rel_type", "target_id").limit(CONTEXT_EDGES + 1).collect()
     edges = [r.asDict() for r in found[:CONTEXT_EDGES]]
     done = time.perf_counter()
     metrics |= {"graph_traversal_ms": (done - searched) * 1e3, "total_retrieval_ms": (done - begin) * 1e3}
-    return Retrieved(render_context(seeds, edges), seeds, edges, metrics, len(found) > CONTEXT_EDGES)
+    return Retrieved(render_context(near, edges), near, edges, metrics, len(found) > CONTEXT_EDGES)
 
 
 def render_context(seeds: list[dict], edges: list[dict]) -> str:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import metrics
-from codeweft.operators import inspect, resolve, sync, traverse, vector
-from codeweft.plans import generated, resolution, sessions, tracked
+from codeweft.operators import adjacency, inspect, knn, resolve, sync, traverse, vector
+from codeweft.plans import generated, questions, resolution, sessions, tracked
 from codeweft.plans.projection import REPO, REPOSITORIES_SQL, SQL, THIN_SQL, edges, graph, nodes, repositories, table
 from codeweft.schema import Graph
 
@@ -54,10 +54,17 @@ def upstream_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Graph, adjacency.Adjacency]:
+    """The projected graph with its edges stored for traversal."""
+    held = adjacency.store(edges(spark, sf_dir))
+    out = held.table.where("outward").select("repo_id", F.col("label").alias("src_label"), F.col("id").alias("src_id"), "rel_type", F.col("to_label").alias("dst_label"), F.col("to_id").alias("dst_id"))
+    return Graph(nodes(spark, sf_dir), out), held
+
+
 def subgraph(hops: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graph(spark, sf_dir)
-        return traverse.subgraph(g, _busiest(g), hops)
+        g, held = _stored(spark, sf_dir)
+        return adjacency.subgraph(held, g, _busiest(g), hops)
 
     return run
 
@@ -74,9 +81,9 @@ def _subgraph_sql(hops: int, seeds: str = "SELECT 'Function' AS label, id FROM b
 
 
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
+    g, held = _stored(spark, sf_dir)
     target = g.nodes.join(F.broadcast(_busiest(g, "dst")), ["label", "id"])  # one row
-    found = traverse.impact(g, target)
+    found = adjacency.impact(held, target)
     return found.select("id", *[joined(F.col(c)).alias(c) for c in ("callers", "callees", "exceptions", "configs")])
 
 
@@ -193,13 +200,53 @@ def _top_sql(kind: str, source: str = "v", where: str = "TRUE") -> str:
     return f"SELECT 'v/' || vec_id AS id, CAST(vec_id AS VARCHAR) AS name, 'f' || vec_id AS file, round(s, 6) AS score FROM {source} WHERE kind = '{kind}' AND {where} ORDER BY s DESC, 'v/' || vec_id LIMIT 5"
 
 
-def hybrid_retrieve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors stand at the functions and classes of their number."""
-    g = graph(spark, sf_dir)
+def _placed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Nodes with vectors: they stand at the functions and classes of their
+    number."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("e"))
     number = F.regexp_extract("id", r"^[ps]/(\d+)::", 1)
-    own = g.nodes.drop("embedding").withColumn("n", F.when(number != "", number).cast("bigint")).join(v, "n", "left").withColumn("embedding", F.col("e"))
-    return vector.hybrid_edges(Graph(own, g.edges), _query_vector(spark, sf_dir), 3, 2)
+    return rows.drop("embedding").withColumn("n", F.when(number != "", number).cast("bigint")).join(v, "n", "left").withColumn("embedding", F.col("e"))
+
+
+def hybrid_retrieve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, held = _stored(spark, sf_dir)
+    seeds = vector.seeds(_placed(spark, sf_dir, g.nodes), _query_vector(spark, sf_dir), 3)
+    return adjacency.subgraph(held, g, seeds, 2)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item asks with the vector of its number."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return table(spark, sf_dir, "benchmark").join(v, "item_id").select(F.col("item_id").alias("query_id"), "vector")
+
+
+def batch_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = questions.seeds(_placed(spark, sf_dir, nodes(spark, sf_dir)), _asked(spark, sf_dir), 3)
+    return found.select("query_id", "label", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def batch_retrieve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, held = _stored(spark, sf_dir)
+    return questions.retrieve_all(_placed(spark, sf_dir, g.nodes), held, _asked(spark, sf_dir), 3, 1)
+
+
+_BATCH_SEEDS = r"""asked AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON item_id = vec_id),
+    placed AS (SELECT n.label, n.id, CAST(embedding AS DOUBLE[]) AS v FROM nodes n JOIN embeddings ON CAST(vec_id AS VARCHAR) = regexp_extract(n.id, '^[ps]/(\d+)::', 1) WHERE n.label IN ('Function', 'Class')),
+    near AS (SELECT * FROM (SELECT query_id, label, id, s, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, id) AS rank FROM (SELECT query_id, label, id, list_cosine_similarity(q, v) AS s FROM asked, placed)) WHERE rank <= 3)"""
+
+
+def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = knn.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first vector's ten nearest, from the cells that can hold one."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found, _ = knn.search(knn.build(v), _query_vector(spark, sf_dir), 10)
+    return found.select("id", F.round("score", 6).alias("score"))
 
 
 _HYBRID_SQL = _subgraph_sql(
@@ -425,6 +472,10 @@ QUERIES = {
     "find_node": find_node,
     **generated.QUERIES,
     **tracked.QUERIES,
+    "batch_seeds": batch_seeds,
+    "batch_retrieve_edges": batch_retrieve_edges,
+    "knn_embeddings": knn_embeddings,
+    "vector_index_topk": vector_index_topk,
     **resolution.queries(nodes, raw_edges, _moved),
 }
 
@@ -483,5 +534,11 @@ ORACLE_SQL = {
     "find_node": _FIND_SQL,
     **generated.ORACLE_SQL,
     **tracked.ORACLE_SQL,
+    "batch_seeds": f"WITH {SQL}, {_BATCH_SEEDS} SELECT query_id, label, rank, id, round(s, 6) AS score FROM near",
+    "batch_retrieve_edges": f"WITH {SQL}, {_BATCH_SEEDS} SELECT query_id, src_label, src_id, rel_type, dst_label, dst_id FROM edges JOIN near ON src_label = label AND src_id = id UNION SELECT query_id, src_label, src_id, rel_type, dst_label, dst_id FROM edges JOIN near ON dst_label = label AND dst_id = id",
+    "knn_embeddings": """SELECT query_id, rank, id, round(s, 6) AS score FROM (
+            SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS rank
+            FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
+    "vector_index_topk": "SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 10",
     **resolution.oracle_sql(_RAW_SQL, _RESOLVED_SQL),
 }
