@@ -141,6 +141,11 @@ def _bigrams(w: str) -> Column:
     return F.expr(f"filter(transform({w}, (x, i) -> concat(x, ' ', get({w}, i + 1))), b -> b IS NOT NULL)")
 
 
+def numbers(bigrams: list[str]) -> list[str]:
+    """The words of a template that are numbers: its version, above all."""
+    return sorted({w for b in bigrams for w in b.split(" ") if any(c.isdigit() for c in w)})
+
+
 def _whole(some: DataFrame, listed: list[tuple[str, list[str]]], similar: float) -> DataFrame:
     """``row, doc_id, passage, license, dice`` of whole lines and paragraphs."""
     sizes = [len(b) for _, b in listed]
@@ -150,9 +155,10 @@ def _whole(some: DataFrame, listed: list[tuple[str, list[str]]], similar: float)
     cut = once(cut, w=words(F.col("passage"))).where(F.size("w") > low)
     every = sorted({b for _, bigrams in listed for b in bigrams})
     own = once(cut, bigrams=F.array_distinct(_bigrams("w"))).where(F.arrays_overlap("bigrams", F.array(*map(F.lit, every))) & F.size("bigrams").between(low, high))
-    choices = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, bigrams)).alias("b")) for name, bigrams in listed])
+    strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    choices = F.array(*[F.struct(F.lit(name).alias("license"), strings(bigrams).alias("b"), strings(numbers(bigrams)).alias("v")) for name, bigrams in listed])
     n = F.size("bigrams")
-    reach = F.filter(choices, lambda t: 2.0 * F.least(n, F.size(t["b"])) >= similar * (n + F.size(t["b"])))
+    reach = F.filter(choices, lambda t: (2.0 * F.least(n, F.size(t["b"])) >= similar * (n + F.size(t["b"]))) & (F.size(F.array_except(t["v"], F.col("w"))) == 0))
     scored = F.transform(reach, lambda t: F.struct((-2.0 * F.size(F.array_intersect("bigrams", t["b"])) / (n + F.size(t["b"]))).alias("minus"), t["license"].alias("license")))
     found = once(own, best=F.array_min(scored)).where(F.col("best.minus") <= -similar)
     return found.select("row", "doc_id", "passage", "best.license", (-F.col("best.minus")).alias("dice"))
@@ -175,12 +181,15 @@ def _inside(some: DataFrame, whole: DataFrame, listed: list[tuple[str, list[str]
     hits = each.groupBy("row", "k", "license", "own", "span", "need").agg(F.sort_array(F.collect_list("at")).alias("at")).where("size(at) >= need")
     # a span has at least the bigrams that a match needs
     starts = hits.withColumn("at", F.expr("filter(at, (p, i) -> get(at, i + need - 1) < p + span)")).where("size(at) > 0")
-    templates = known.groupBy("k").agg(F.collect_list("b").alias("t"))
-    begun = starts.join(F.broadcast(templates), "k").select("row", "license", "own", "span", "t", F.explode("at").alias("at")).join(left, "row")
+    digits = F.filter(F.flatten(F.transform("t", lambda b: F.split(b, " "))), lambda w: w.rlike("[0-9]"))
+    templates = known.groupBy("k").agg(F.collect_list("b").alias("t")).withColumn("v", F.array_distinct(digits))
+    begun = starts.join(F.broadcast(templates), "k").select("row", "license", "own", "span", "t", "v", F.explode("at").alias("at")).join(left, "row")
     spans = once(begun, words=F.expr("slice(w, at + 1, span + 1)"))
     spans = once(spans.drop("w"), g=F.array_distinct(_bigrams("words")))
     spans = once(spans, common=F.size(F.array_intersect("g", "t")))
     spans = once(spans, dice=2.0 * F.col("common") / (F.size("g") + F.col("own"))).where(F.col("dice") >= similar)
+    # One licence's text in another version isn't that licence.
+    spans = spans.where(F.size(F.array_except("v", "words")) == 0)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("common")).alias("fewer"), (-F.col("dice")).alias("minus"), (-F.col("span")).alias("short"), "license", "at", (F.col("at") + F.col("span")).alias("last"), F.array_join("words", " ").alias("passage"))))
     best = spans.groupBy("row", "doc_id").agg(ranked.alias("ranked"))
     chosen = F.expr("aggregate(ranked, slice(ranked, 1, 0), (acc, x) -> CASE WHEN exists(acc, y -> y.at <= x.last AND x.at <= y.last) THEN acc ELSE concat(acc, array(x)) END)")

@@ -87,9 +87,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
-    sizes = docs.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.size(F.filter(lines, lambda x: x.rlike(r"\S"))).cast("bigint").alias("filled"))
+    filled = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda k: F.get(lines, k).rlike(r"\S"))
+    # Rows without an id keep all their lines.
+    whole = F.when(F.col("doc_id").isNull(), F.array_join(filled.cast("array<string>"), ","))
+    sizes = docs.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.size(filled).cast("bigint").alias("filled"), whole.alias("whole"))
     kept = line_dedup(docs).select("doc_id", F.size("kept").cast("bigint").alias("n_kept"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("numbers"))
-    return sizes.join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("filled") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"), F.sha2(F.coalesce("numbers", F.lit("")), 256).alias("kept_sha256"))
+    removed = F.when(F.col("doc_id").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("filled") - F.coalesce("n_kept", F.lit(0)))
+    return sizes.join(kept, "doc_id", "left").select("doc_id", "n_lines", removed.alias("n_removed"), F.sha2(F.coalesce("whole", "numbers", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     hits = license_scan(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("names"), F.max("dice").alias("best"))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_hits"), F.coalesce("names", F.lit("")).alias("licenses"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best_dice"))
+    own = docs.select("doc_id")
+    return own.join(hits.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_hits"), F.coalesce("names", F.lit("")).alias("licenses"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best_dice"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
