@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,16 +49,69 @@ def _step(graph: Graph, rel_type: str) -> DataFrame:
     return graph.edges.where(F.col("rel_type") == rel_type)
 
 
+#: Up to this depth the number of chains is known without listing them.
+COUNTED = 3
+
+
+def chain_counts(graph: Graph, starts: DataFrame | None = None, depth: int = COUNTED, upstream: bool = False) -> DataFrame:
+    """``label, id, depth_1 .. depth_n, within``: how many chains ``call_chains``
+    would list from each of ``starts`` (all callers if none are given) at each
+    depth, and in all, by sums over edges; no chain is made. Walks are counted
+    step by step; those that use an edge twice are taken off: a loop taken
+    twice at the first or the last step, and an edge, its reverse and the edge
+    again. Beyond ``COUNTED`` there are too many ways to use an edge twice:
+    depths from there on count walks, which are at least as many."""
+    check_depth(depth)
+    near, far = ("dst", "src") if upstream else ("src", "dst")
+    each = _step(graph, "CALLS").select(*[F.col(f"{end}_{c}").alias(f"{to}{c}") for end, to in ((near, ""), (far, "to_")) for c in ("label", "id")]).distinct()
+    if upstream:
+        ends = graph.nodes.where("label = 'Function'").select("label", "id")
+        begin = each.join(ends, ["label", "id"], "left_semi")
+    else:
+        begin = each
+    each = settled(each)
+    there = [F.col("to_label") == F.col("at_label"), F.col("to_id") == F.col("at_id")]
+    named = lambda df, **more: df.select(F.col("label").alias("at_label"), F.col("id").alias("at_id"), *[F.col(c).alias(n) for n, c in more.items()])
+    is_function, loop = (F.col("to_label") == "Function").cast("bigint"), ((F.col("label") == F.col("to_label")) & (F.col("id") == F.col("to_id"))).cast("bigint")
+    first = settled(each.groupBy("label", "id").agg(F.sum(is_function).alias("w"), F.sum(loop).alias("loop")))
+    walks, columns = first.select("label", "id", "w"), {1: first.select("label", "id", F.col("w").alias("depth_1"))}
+    back = each.select(F.col("to_label").alias("label"), F.col("to_id").alias("id"), F.col("label").alias("to_label"), F.col("id").alias("to_id"), F.lit(1).alias("back"))
+    for d in range(2, depth + 1):
+        onward = each.join(named(walks, ahead="w"), there, "left").groupBy("label", "id").agg(F.sum(F.coalesce("ahead", F.lit(0))).alias("w"))
+        walks = settled(onward)
+        counted = walks
+        if d == 2:
+            own = (F.col("label") == "Function").cast("bigint") * F.col("loop")
+            counted = walks.join(first.select("label", "id", "loop"), ["label", "id"]).withColumn("w", F.col("w") - own)
+        elif d == 3:
+            around = each.join(named(first, at_loop="loop"), there, "left").join(back, ["label", "id", "to_label", "to_id"], "left")
+            twice = around.groupBy("label", "id").agg(F.sum(is_function * (F.coalesce("at_loop", F.lit(0)) + F.coalesce("back", F.lit(0)))).alias("twice"))
+            own = (F.col("label") == "Function").cast("bigint") * F.col("loop")
+            counted = walks.join(twice, ["label", "id"]).join(first.withColumnRenamed("w", "out"), ["label", "id"]).withColumn("w", F.col("w") - F.col("twice") - F.col("loop") * F.col("out") + 2 * own)
+        columns[d] = counted.select("label", "id", F.col("w").alias(f"depth_{d}"))
+    out = begin.select("label", "id").distinct()
+    out = out if starts is None else out.join(starts.select("label", "id").distinct(), ["label", "id"])
+    for column in columns.values():
+        out = out.join(column, ["label", "id"])
+    return out.withColumn("within", functools.reduce(lambda a, b: a + b, [F.col(f"depth_{d}") for d in columns]))
+
+
 def call_chains(graph: Graph, starts: DataFrame, depth: int = 4, upstream: bool = False, max_paths: int | None = None) -> DataFrame:
     """Paths of 1 to ``depth`` CALLS edges from the nodes ``starts(label, id)``
     (``upstream``: to them). No edge occurs twice in a path, nodes may; the far
     end is a Function, and upstream the near end too. ``call_chain`` (names)
     and ``node_ids`` run from caller to callee. The number of paths can grow with
     the power of the depth: beyond ``max_paths`` at one depth it is a ValueError,
-    nothing is left out."""
+    nothing is left out. Up to ``COUNTED`` calls that is known from
+    ``chain_counts`` before any path is made."""
     check_depth(depth)
     calls = _step(graph, "CALLS").select("src_label", "src_id", "dst_label", "dst_id")
     near, far = ("dst", "src") if upstream else ("src", "dst")
+    if max_paths is not None and depth <= COUNTED:  # refused before any path is made
+        sums = chain_counts(graph, starts, depth, upstream).agg(*[F.sum(f"depth_{d}").alias(f"depth_{d}") for d in range(1, depth + 1)]).first()
+        for d in range(1, depth + 1):
+            if (sums[f"depth_{d}"] or 0) > max_paths:
+                raise ValueError(f"more than {max_paths} paths of {d} calls; ask for a smaller depth")
     names = graph.nodes.select(F.col("label").alias("at_label"), F.col("id").alias("at_id"), F.col("name").alias("at_name"))
     hop = calls.select(F.col(f"{near}_label").alias("label"), F.col(f"{near}_id").alias("id"), F.col(f"{far}_label").alias("at_label"), F.col(f"{far}_id").alias("at_id")).join(names, ["at_label", "at_id"])
     begin = graph.nodes.select("label", "id", "name").join(starts.select("label", "id").distinct(), ["label", "id"])
@@ -71,7 +126,7 @@ def call_chains(graph: Graph, starts: DataFrame, depth: int = 4, upstream: bool
         paths = grown.select(F.col("at_label").alias("label"), F.col("at_id").alias("id"), add(F.col("call_chain"), F.col("at_name")).alias("call_chain"), add(F.col("node_ids"), F.col("at_id")).alias("node_ids"), F.concat("edge_ids", F.array("edge")).alias("edge_ids"))
         if max_paths is not None or 1 < d < depth:  # else each depth would walk all those before it again
             paths = settled(paths)
-        if max_paths is not None and paths.limit(max_paths + 1).count() > max_paths:
+        if max_paths is not None and depth > COUNTED and paths.limit(max_paths + 1).count() > max_paths:
             raise ValueError(f"more than {max_paths} paths of {d} calls; ask for a smaller depth")
         own = paths.where("label = 'Function'").select("call_chain", "node_ids", F.lit(d).alias("depth"))
         found = own if found is None else found.unionByName(own)

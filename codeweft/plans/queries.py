@@ -48,6 +48,19 @@ def _chain_sql(depth: int, upstream: bool = False) -> str:
         FROM paths WHERE depth > 0"""
 
 
+def call_chain_all_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chains of one and two calls of the whole graph."""
+    g = graph(spark, sf_dir)
+    starts = g.edges.where("rel_type = 'CALLS'").select(F.col("src_label").alias("label"), F.col("src_id").alias("id"))
+    paths = traverse.call_chains(g, starts, 2)
+    return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
+
+
+def call_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chains of one to three calls begin at each function."""
+    return traverse.chain_counts(graph(spark, sf_dir)).drop("label")
+
+
 def upstream_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir, thinned=True)
     paths = traverse.call_chains(g, _busiest(g, "dst"), 4, upstream=True)
@@ -472,6 +485,8 @@ QUERIES = {
     "find_node": find_node,
     **generated.QUERIES,
     **tracked.QUERIES,
+    "call_chain_all_d2": call_chain_all_d2,
+    "call_chain_counts": call_chain_counts,
     "batch_seeds": batch_seeds,
     "batch_retrieve_edges": batch_retrieve_edges,
     "knn_embeddings": knn_embeddings,
@@ -534,6 +549,13 @@ ORACLE_SQL = {
     "find_node": _FIND_SQL,
     **generated.ORACLE_SQL,
     **tracked.ORACLE_SQL,
+    "call_chain_all_d2": _chain_sql(2).replace(THIN_SQL, SQL),
+    "call_chain_counts": f"""WITH {SQL}, two AS (
+            SELECT a.src_id AS id, a.src_id AS x, a.dst_id AS y, b.dst_id AS z FROM calls a JOIN calls b ON b.src_id = a.dst_id WHERE NOT (a.src_id = b.src_id AND a.dst_id = b.dst_id)
+        ), three AS (
+            SELECT id, count(*) AS n FROM two JOIN calls c ON c.src_id = z WHERE NOT (c.src_id = x AND c.dst_id = y) AND NOT (c.src_id = y AND c.dst_id = z) GROUP BY id
+        ) SELECT id, n AS depth_1, coalesce(t.n2, 0) AS depth_2, coalesce(h.n3, 0) AS depth_3, n + coalesce(t.n2, 0) + coalesce(h.n3, 0) AS within
+        FROM (SELECT src_id AS id, count(*) AS n FROM calls GROUP BY src_id) LEFT JOIN (SELECT id, count(*) AS n2 FROM two GROUP BY id) t USING (id) LEFT JOIN (SELECT id, n AS n3 FROM three) h USING (id)""",
     "batch_seeds": f"WITH {SQL}, {_BATCH_SEEDS} SELECT query_id, label, rank, id, round(s, 6) AS score FROM near",
     "batch_retrieve_edges": f"WITH {SQL}, {_BATCH_SEEDS} SELECT query_id, src_label, src_id, rel_type, dst_label, dst_id FROM edges JOIN near ON src_label = label AND src_id = id UNION SELECT query_id, src_label, src_id, rel_type, dst_label, dst_id FROM edges JOIN near ON dst_label = label AND dst_id = id",
     "knn_embeddings": """SELECT query_id, rank, id, round(s, 6) AS score FROM (
