@@ -44,6 +44,7 @@ def resolve_pairs(pairs: DataFrame, keys: DataFrame, most: int | None = None) ->
     pairs have it. With ``most`` the pairs of a name beyond so many rows are
     dealt out over cells (``skew.spread_join``), so a name that a large part of
     the nodes has keeps no task longer than others."""
+    pairs = pairs if most is None else settled(pairs)
 
     def named(end: str, label: str) -> DataFrame:
         asked = pairs.select("repo_id", F.col(end).alias("key")).distinct()
@@ -53,7 +54,7 @@ def resolve_pairs(pairs: DataFrame, keys: DataFrame, most: int | None = None) ->
     sources, targets = named("source", "src"), named("target", "dst")
     if most is None:
         return pairs.join(sources, ["repo_id", "source"]).join(targets, ["repo_id", "target"])
-    half = settled(spread_join(settled(pairs), settled(sources), ["repo_id", "source"], most))
+    half = settled(spread_join(pairs, settled(sources), ["repo_id", "source"], most))
     return spread_join(half, settled(targets), ["repo_id", "target"], most)
 
 
@@ -69,7 +70,7 @@ def resolve_edges(nodes: DataFrame, raw: DataFrame, lenient: bool = False, most:
     repository (null or empty) join nodes of all. ``most`` bounds what a task
     takes of one name (see ``resolve_pairs``; tables are written on the way)."""
     keys = node_keys(nodes)
-    if not lenient:
+    if most is not None and not lenient:
         return linked(resolve_pairs(raw_pairs(raw), keys, most))
     both = _ends(raw, keys, F.col("source"), "src_label", "src_id", lenient)
     both = _ends(both, keys, cleaned(F.col("target")), "dst_label", "dst_id", lenient)

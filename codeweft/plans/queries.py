@@ -9,6 +9,7 @@ from codeweft.functions import metrics
 from codeweft.operators import adjacency, inspect, knn, resolve, sync, traverse, vector
 from codeweft.plans import generated, questions, resolution, sessions, tracked
 from codeweft.plans.projection import REPO, REPOSITORIES_SQL, SQL, THIN_SQL, edges, graph, nodes, repositories, table
+from codeweft.runtime import settled
 from codeweft.schema import Graph
 
 joined = traverse.rendered
@@ -74,10 +75,16 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[Graph, adjacency.Adjacenc
     return Graph(nodes(spark, sf_dir), out), held
 
 
+def _written(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph with its edges written once: for one question, to sort
+    them for traversal as well would take longer than its few scans."""
+    return Graph(nodes(spark, sf_dir), settled(edges(spark, sf_dir)))
+
+
 def subgraph(hops: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g, held = _stored(spark, sf_dir)
-        return adjacency.subgraph(held, g, _busiest(g), hops)
+        g = _written(spark, sf_dir)
+        return traverse.subgraph(g, settled(_busiest(g)), hops)
 
     return run
 
@@ -94,9 +101,9 @@ def _subgraph_sql(hops: int, seeds: str = "SELECT 'Function' AS label, id FROM b
 
 
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, held = _stored(spark, sf_dir)
-    target = g.nodes.join(F.broadcast(_busiest(g, "dst")), ["label", "id"])  # one row
-    found = adjacency.impact(held, target)
+    g = _written(spark, sf_dir)
+    target = settled(g.nodes.join(F.broadcast(_busiest(g, "dst")), ["label", "id"]))  # one row
+    found = traverse.impact(g, target)
     return found.select("id", *[joined(F.col(c)).alias(c) for c in ("callers", "callees", "exceptions", "configs")])
 
 
@@ -222,9 +229,9 @@ def _placed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 
 def hybrid_retrieve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, held = _stored(spark, sf_dir)
+    g = _written(spark, sf_dir)
     seeds = vector.seeds(_placed(spark, sf_dir, g.nodes), _query_vector(spark, sf_dir), 3)
-    return adjacency.subgraph(held, g, seeds, 2)
+    return traverse.subgraph(g, settled(seeds), 2)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
