@@ -15,7 +15,7 @@ from codeweft.runtime import settled, ship
 from codeweft.schema import NODES, RAW_EDGES, Graph
 from codeweft.sources import python_source, script_source
 from codeweft.sources.emit import Parsed, module_id, module_name
-from codeweft.sources.files import DOCUMENTS, PYTHON, SCRIPT, file_rows, listed_files, read_files
+from codeweft.sources.files import DOCUMENTS, PYTHON, SCRIPT, file_names, file_rows, read_files
 
 _NODE = "struct<label:string,id:string,name:string,line:int,docstring:string,source_code:string,file_hash:string>"
 _CHOICE = "struct<lookup:int,before:string,behind:string>"
@@ -137,16 +137,16 @@ def update_file(spark: SparkSession, root: str, repo_id: str, file: str, nodes:
     """(nodes, raw edges, what was done) after one file is looked at again:
     ``skipped`` with an equal hash, ``deleted`` if it isn't there any more,
     else ``updated``; only that file is read and parsed."""
-    listed = listed_files(spark, root)
-    here = [(f, uri) for f, uri in listed if f == file]
-    found = file_rows(spark, here, repo_id)
+    listed = file_names(spark, root)
+    found = file_rows(listed.where(F.col("file") == file), repo_id)
+    here = found.select("file_hash").first()
     was = stored_hashes(nodes, repo_id).where(F.col("file") == file).first()
-    if here and was and was.file_hash and was.file_hash == found.first().file_hash:
+    if here and was and was.file_hash and was.file_hash == here.file_hash:
         return nodes, raw, {"status": "skipped", "reason": "hash_match", "file": file}
     nodes, raw, removed = delete_file(nodes, raw, file, repo_id)
     if not here:
         return nodes, raw, {"status": "deleted", "file": file, "nodes_removed": removed}
-    names = spark.createDataFrame([(repo_id, f) for f, _ in listed], "repo_id string, file string")
+    names = listed.select(F.lit(repo_id).alias("repo_id"), "file")
     scanned = settled(scan_files(found))
     added = raw_edges(scanned, names)
     counts = scanned.select(F.size("nodes").alias("nodes")).first()

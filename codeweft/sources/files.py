@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import shutil
 import subprocess
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,6 +16,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.runtime import settled, ship
+
 #: What is parsed, what becomes a module only, what is skipped.
 PYTHON = (".py",)
 SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -54,45 +58,92 @@ def _wanted(name: str) -> bool:
     return name.endswith((*PYTHON, *SCRIPT, *DOCUMENTS))
 
 
-def listed_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """``(file, uri)`` of every source and document file under ``root``.
-    Skipped directories aren't entered. Only names come to the driver. Spark's
-    own lister isn't used: it hides every name that begins with ``_`` or
-    ``.``, and with them each package's ``__init__.py``."""
+def _entries(folder: str) -> Iterator[tuple[str, str, bool]]:
+    """``name, uri, whether a folder`` of what lies in a folder. One that is
+    gone, or may not be read, has nothing in it; links to folders aren't
+    followed, so no tree is endless."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    local = isinstance(fs, pafs.LocalFileSystem)
+    try:
+        infos = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    except PermissionError:
+        return
+    for info in infos:
+        inside = info.type == pafs.FileType.Directory
+        if (inside and not (local and os.path.islink(info.path))) or info.type == pafs.FileType.File:
+            yield info.base_name, f"{folder.rstrip('/')}/{info.base_name}", inside
+
+
+def _listing(folders: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's share of a round: the folders it was given and those inside
+    them, until ``folders`` are listed; folders that are left are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, todo = 0, deque()
+        for batch in batches:
+            todo.extend(zip(batch.column("file").to_pylist(), batch.column("uri").to_pylist()))
+        given = len(todo)
+        while todo and seen < max(folders, given):
+            seen += 1
+            inside, folder = todo.popleft()
+            names = []
+            for name, uri, is_folder in _entries(folder):
+                if not is_folder and _wanted(name):
+                    names.append((inside + name, uri, False))
+                elif is_folder and name not in SKIPPED:
+                    todo.append((f"{inside}{name}/", uri))
+            yield _batch(names)
+        yield _batch([(inside, folder, True) for inside, folder in todo])
+
+    return run
+
+
+def _batch(rows: list[tuple[str, str, bool]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()))], ["file", "uri", "folder"])
+
+
+#: Folders that a task lists in one round before it hands the rest on.
+FOLDERS = 500
+
+
+def file_names(spark: SparkSession, root: str, folders: int = FOLDERS) -> DataFrame:
+    """``file, uri`` of every source and document file under ``root``, listed
+    in tasks: a round lists a frontier of folders and some levels below them,
+    and what is left is the next frontier, dealt out anew. Names stay in a
+    table; the driver learns the number of folders to come alone. Skipped
+    directories aren't entered. Spark's own lister isn't used: it hides every
+    name that begins with ``_`` or ``.``, and with them each package's
+    ``__init__.py``."""
+    ship(spark)
     scheme, _, rest = root.partition(":")
     if "/" in scheme or not rest or scheme == "file":
-        base = Path(re.sub(r"^file:/*", "/", root)).absolute()
-        found = []
-        for folder, folders, names in os.walk(base):
-            folders[:] = sorted(f for f in folders if f not in SKIPPED)
-            paths = (Path(folder, name) for name in sorted(names) if _wanted(name))
-            found += [(path.relative_to(base).as_posix(), str(path)) for path in paths if path.is_file()]
-        return found
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, todo = [], [("", top)]
-    while todo:
-        inside, folder = todo.pop()
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if status.isDirectory():
-                if name not in SKIPPED:
-                    todo.append((f"{inside}{name}/", status.getPath()))
-            elif _wanted(name):
-                found.append((inside + name, status.getPath().toString()))
-    return sorted(found)
+        root = str(Path(re.sub(r"^file:/*", "/", root)).absolute())
+    frontier, left, found = spark.createDataFrame([("", root)], "file string, uri string"), 1, []
+    while left:
+        dealt = frontier.repartition(left // folders + 1)
+        listed = settled(dealt.mapInArrow(_listing(folders), "file string, uri string, folder boolean"))
+        found.append(listed.where("NOT folder").select("file", "uri"))
+        frontier = listed.where("folder").select("file", "uri")
+        left = frontier.count()
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def listed_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """``file_names`` in order, for trees whose names the driver can hold."""
+    return [(r.file, r.uri) for r in file_names(spark, root).orderBy("file").collect()]
 
 
 def read_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """``repo_id, file, file_hash, content`` of every source and document file
-    under ``root``, read in tasks. Full and incremental runs share this one
-    listing."""
-    return file_rows(spark, listed_files(spark, root), repo_id)
+    under ``root``, listed and read in tasks. Full and incremental runs share
+    this one listing."""
+    return file_rows(file_names(spark, root), repo_id)
 
 
-def file_rows(spark: SparkSession, found: list[tuple[str, str]], repo_id: str) -> DataFrame:
-    """``repo_id, file, file_hash, content`` of listed files."""
-    parts = max(1, min(len(found) // 50 + 1, 4 * spark.sparkContext.defaultParallelism))
+def file_rows(names: DataFrame, repo_id: str) -> DataFrame:
+    """``repo_id, file, file_hash, content`` of the files ``names(file, uri)``."""
+    parts = names.count() // 50 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +152,7 @@ def file_rows(spark: SparkSession, found: list[tuple[str, str]], repo_id: str) -
                 with fs.open_input_stream(path) as stream:
                     yield pa.RecordBatch.from_pydict({"file": [file], "content": pa.array([stream.read()], pa.binary())})
 
-    names = spark.createDataFrame(found, "file string, uri string").repartition(parts)
-    raw = names.mapInArrow(run, "file string, content binary")
+    raw = names.select("file", "uri").repartition(parts).mapInArrow(run, "file string, content binary")
     return raw.select(F.lit(repo_id).alias("repo_id"), "file", F.sha2("content", 256).alias("file_hash"), "content")
 
 
