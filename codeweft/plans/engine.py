@@ -9,10 +9,10 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import Future
 from datetime import datetime
+from typing import TypeVar
 from urllib.parse import quote
 
 from pyspark import InheritableThread
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,25 +22,52 @@ from codeweft.operators.sync import stale_edges
 from codeweft.operators.vector import Embedder, HashingEmbedder
 from codeweft.plans import ingest, sessions, tracker
 from codeweft.plans.agent import Answer, run_agent
+from codeweft.plans.snapshots import Conflict, Manifests, every
 from codeweft.plans.tools import Toolbox
 from codeweft.schema import NODES, RAW_EDGES, Graph, problems
 from codeweft.sources.files import read_files, repo_name, resolve_repo
 
+T = TypeVar("T")
 EVENTS = "repo_id string, seq bigint, op string, stage string, percent int, detail string, error string, at timestamp"
 RESYNCS = "repo_id string, run string, batch bigint, counts map<string,bigint>, at timestamp"
+VERSIONS = "repo_id string, number bigint, version string"
 _LOGS = {"repos": (sessions.REPOS, "repo_id"), "chats": (sessions.CHATS, "chat_id"), "messages": (sessions.MESSAGES, "msg_id")}
+_RECORDS = {"events": EVENTS, "resyncs": RESYNCS}
 _GRAPH = {"nodes": NODES, "raw_edges": RAW_EDGES}
+#: New files of a log that are put together with what was before them.
+COMPACT_AT = 32
+#: Bytes of a file of a log that is put together.
+FILE_BYTES = 128 << 20
+#: Times that a change is worked out again when another one came first.
+TRIES = 3
+#: Milliseconds after which files of a version that was never named may go.
+ABANDONED = 24 * 3600 * 1000
 #: Stale edges that an update lists; more are told by a flag.
 LISTED = 200
 
 
+def _retried(work: Callable[[], T]) -> T:
+    """``work`` anew while other changes come first."""
+    for _ in range(TRIES - 1):
+        try:
+            return work()
+        except Conflict:
+            pass
+    return work()
+
+
 class Engine:
     """Repositories, chats, messages and events are logs that are only ever
     added to: of each key the last record counts, and one that says ``gone``
     takes it away, so writers at the same time lose nothing of each other's.
-    A repository's nodes and edges are one version of files each; a change
-    writes the next version, names it current in a log and lets go of all but
-    the one before it. Other repositories' files are not touched."""
+    ``compact`` puts many small files of a log together.
+
+    A repository's nodes and raw edges are files of one version. A change
+    writes the next version of both and names it in one manifest, so nobody
+    sees the nodes of one and the edges of another. A change that was worked
+    out from a version which isn't the last any more is worked out anew. The
+    version before the last stays for those who read it. Other repositories'
+    files are not touched."""
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or HashingEmbedder()
@@ -48,59 +75,138 @@ class Engine:
 
     # -- storage
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
-        except AnalysisException:  # nothing was written yet
-            return self.spark.createDataFrame([], schema)
+    def _log_files(self, name: str) -> tuple[int, dict, dict[str, int]]:
+        """The last manifest of a log, and its files that are not put together
+        yet, or were by that manifest, with their sizes."""
+        number, told = Manifests(self.spark, f"{self.root}/manifests/logs/{name}").last()
+        fs, top = self._folder(f"logs/{name}")
+        there = [s for s in fs.listStatus(top) if s.isFile()] if fs.exists(top) else []
+        return number, told, {s.getPath().getName(): s.getLen() for s in there if s.getPath().getName().endswith(".parquet")}
+
+    def _folder(self, path: str):
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return top.getFileSystem(self.spark._jsc.hadoopConfiguration()), top
+
+    def _delete(self, *paths: str) -> None:
+        for path in paths:
+            fs, target = self._folder(path)
+            fs.delete(target, True)
+
+    def _records(self, name: str, told: dict, files: dict[str, int]) -> DataFrame:
+        """What the last manifest put together, and the files after it."""
+        schema = _RECORDS.get(name) or f"{_LOGS[name][0]}, rank bigint, gone boolean"
+        paths = [f"{self.root}/logs/{name}/{part}" for part in ([told["base"]] if told else []) + sorted(set(files) - set(told.get("covers", ())))]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _log(self, name: str) -> DataFrame:
+        _, told, files = self._log_files(name)
+        return self._records(name, told, files)
 
     def _append(self, name: str, rows: DataFrame, gone: bool = False) -> None:
         stamped = rows.withColumns({"rank": F.lit(time.time_ns()), "gone": F.lit(gone)})
-        stamped.coalesce(1).write.mode("append").parquet(f"{self.root}/logs/{name}")
+        (stamped if gone else stamped.coalesce(1)).write.mode("append").parquet(f"{self.root}/logs/{name}")
+
+    def compact(self, at_least: int = COMPACT_AT) -> list[str]:
+        """Put logs together that have ``at_least`` new files; their names. A
+        manifest tells at once which files that were; they go when the log is
+        put together the next time, as somebody may read them now. Of what is
+        gone only the key stays, for records that arrive late."""
+        done = []
+        for name in (*_LOGS, *_RECORDS):
+            number, told, files = self._log_files(name)
+            fresh = set(files) - set(told.get("covers", ()))
+            if len(fresh) < at_least or not fresh:
+                continue
+            rows = self._records(name, told, files)
+            if name in _LOGS:
+                key, columns = _LOGS[name][1], rows.columns
+                last = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), "rank").alias("last"))
+                rows = last.select(*[F.when(F.lit(c in (key, "rank", "gone")) | ~F.col("last.gone"), F.col(f"last.{c}")).alias(c) for c in columns])
+            base = f"base-{uuid.uuid4().hex}"
+            size = told.get("bytes", 0) + sum(files[f] for f in fresh)
+            rows.coalesce(size // FILE_BYTES + 1).write.parquet(f"{self.root}/logs/{name}/{base}")
+            fs, top = self._folder(f"logs/{name}/{base}")
+            made = {"base": base, "before": told.get("base"), "covers": sorted(files), "bytes": fs.getContentSummary(top).getLength()}
+            try:
+                Manifests(self.spark, f"{self.root}/manifests/logs/{name}").add(number, made)
+            except Conflict:  # somebody else has just put it together
+                self._delete(f"logs/{name}/{base}")
+                continue
+            self._delete(*[f"logs/{name}/{f}" for f in (*told.get("covers", ()), told.get("before")) if f])
+            done.append(name)
+        return done
+
+    def _manifests(self, repo_id: str) -> Manifests:
+        return Manifests(self.spark, f"{self.root}/manifests/graph/{repo_id}")
+
+    def _versions(self) -> DataFrame:
+        """``repo_id, version`` of each repository that has any."""
+        named = every(self.spark, f"{self.root}/manifests/graph", VERSIONS)
+        return named.groupBy("repo_id").agg(F.max_by("version", "number").alias("version")).where("version IS NOT NULL")
+
+    def _graph_rows(self, name: str, held: list[tuple[str, str]]) -> DataFrame:
+        paths = [f"{self.root}/{name}/{repo_id}/{version}" for repo_id, version in held]
+        return self.spark.read.schema(_GRAPH[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _GRAPH[name])
 
-    def _versions(self, name: str) -> DataFrame:
-        """``repo_id, version, before`` of each repository that has any."""
-        log = self._read(f"logs/{name}_versions", "repo_id string, version string, rank bigint, gone boolean")
-        last = log.groupBy("repo_id").agg(F.max_by(F.struct("version", "gone"), "rank").alias("last"))
-        return last.where("NOT last.gone").select("repo_id", "last.version")
+    def _held(self, repo_id: str | None) -> list[tuple[str, str]]:
+        if repo_id is None:
+            return [(r.repo_id, r.version) for r in self._versions().collect()]  # one for each repository
+        version = self._manifests(repo_id).last()[1].get("version")
+        return [(repo_id, version)] if version else []
+
+    def _own(self, repo_id: str) -> tuple[int, DataFrame, DataFrame]:
+        """The number of a repository's last manifest, its nodes and its raw
+        edges, both of that one version."""
+        number, told = self._manifests(repo_id).last()
+        held = [(repo_id, told["version"])] if told.get("version") else []
+        return number, *[self._graph_rows(name, held) for name in _GRAPH]
 
     def table(self, name: str, repo_id: str | None = None) -> DataFrame:
         """The rows of a table as they are now; of nodes and raw edges also
         those of one repository, without reading others."""
-        if name == "events":
-            return self._read("logs/events", EVENTS)
-        if name in _LOGS:
-            schema, key = _LOGS[name]
-            log = self._read(f"logs/{name}", f"{schema}, rank bigint, gone boolean")
-            columns = [c for c in log.columns if c not in ("rank", "gone")]
-            last = log.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns, "gone"), "rank").alias("last"))
-            return last.where("NOT last.gone").select(*[f"last.{c}" for c in columns])
-        held = self._versions(name)
-        held = held if repo_id is None else held.where(F.col("repo_id") == repo_id)
-        paths = [f"{self.root}/{name}/{r.repo_id}/{r.version}" for r in held.collect()]  # one for each repository
-        return self.spark.read.schema(_GRAPH[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _GRAPH[name])
-
-    def _name(self, name: str, repo_id: str, version: str | None) -> None:
-        """Make a version current, or none; older files go, but for the one
-        before, which may be in use."""
-        before = [r.version for r in self._versions(name).where(F.col("repo_id") == repo_id).collect()]
-        self._append(f"{name}_versions", self.spark.createDataFrame([(repo_id, version)], "repo_id string, version string"), version is None)
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{repo_id}")
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in fs.listStatus(top) if fs.exists(top) else []:
-            if version is None or status.getPath().getName() not in (version, *before):
-                fs.delete(status.getPath(), True)
-
-    def _store(self, repo_id: str, nodes: DataFrame, raw: DataFrame) -> None:
-        """Write both, check the nodes' keys, and only then make them current."""
-        version = uuid.uuid4().hex
-        for name, rows in (("nodes", nodes), ("raw_edges", raw)):
-            rows.write.parquet(f"{self.root}/{name}/{repo_id}/{version}")
-        found = problems(self.spark.read.schema(NODES).parquet(f"{self.root}/nodes/{repo_id}/{version}")).limit(5).collect()
-        if found:
-            raise ValueError(f"nodes break the schema: {[(r.label, r.id, r.n) for r in found]}")
+        if name in _GRAPH:
+            return self._graph_rows(name, self._held(repo_id))
+        if name in _RECORDS:
+            return self._log(name)
+        key, log = _LOGS[name][1], self._log(name)
+        columns = [c for c in log.columns if c not in ("rank", "gone")]
+        last = log.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns, "gone"), "rank").alias("last"))
+        return last.where("NOT last.gone").select(*[f"last.{c}" for c in columns])
+
+    def _name(self, repo_id: str, version: str | None, after: int) -> None:
+        """Make a version the one after manifest ``after``, or none. The one
+        before the last goes, as do files that were never named and that nobody
+        can still be writing."""
+        manifests = self._manifests(repo_id)
+        was = manifests.told(after) if after else {}
+        manifests.add(after, {"repo_id": repo_id, "version": version, "before": was.get("version")})
+        stay = {version, was.get("version")} if version else set()
+        known = {was.get("version"), was.get("before")}
         for name in _GRAPH:
-            self._name(name, repo_id, version)
+            fs, top = self._folder(f"{name}/{repo_id}")
+            for status in fs.listStatus(top) if fs.exists(top) else []:
+                part, age = status.getPath().getName(), time.time() * 1000 - status.getModificationTime()
+                if part not in stay and (part in known or age > ABANDONED):
+                    fs.delete(status.getPath(), True)
+
+    def _store(self, repo_id: str, nodes: DataFrame, raw: DataFrame, after: int) -> None:
+        """Write both, check the nodes' keys, and only then name them."""
+        version = uuid.uuid4().hex
+        try:
+            for name, rows in (("nodes", nodes), ("raw_edges", raw)):
+                rows.write.parquet(f"{self.root}/{name}/{repo_id}/{version}")
+            found = problems(self._graph_rows("nodes", [(repo_id, version)])).limit(5).collect()
+            if found:
+                raise ValueError(f"nodes break the schema: {[(r.label, r.id, r.n) for r in found]}")
+            self._name(repo_id, version, after)
+        except Exception:
+            if self._manifests(repo_id).last()[1].get("version") != version:
+                self._delete(*[f"{name}/{repo_id}/{version}" for name in _GRAPH])
+            raise
+
+    def _gone(self, repo_id: str) -> None:
+        """No version counts any more, whoever else is at work."""
+        _retried(lambda: self._name(repo_id, None, self._manifests(repo_id).last()[0]))
 
     def _event(self, repo_id: str, op: str, stage: str | None = None, error: str | None = None) -> None:
         now = datetime.now()
@@ -170,16 +276,18 @@ class Engine:
                 raise
             self._event(repo_id, "finish")
             self._status(repo_id, "ready", sessions.utcnow())
+            self.compact()
 
     def index(self, repo_id: str) -> None:
         """Parse everything anew."""
 
         def work() -> None:
+            after = self._manifests(repo_id).last()[0]
             nodes, raw, _ = ingest.ingest(self.spark, self._source(repo_id), repo_id, self.embedder)
             self._event(repo_id, "complete", "parsing")
-            self._store(repo_id, nodes, raw)
+            self._store(repo_id, nodes, raw, after)
 
-        self._tracked(repo_id, work)
+        self._tracked(repo_id, lambda: _retried(work))
 
     rebuild = index
 
@@ -189,14 +297,15 @@ class Engine:
         counts: dict[str, int] = {}
 
         def work() -> None:
-            own = [self.table(name, repo_id) for name in _GRAPH]
+            after, *own = self._own(repo_id)
             nodes, raw, diff = ingest.ingest_changes(self.spark, self._source(repo_id), repo_id, *own, self.embedder)
+            counts.clear()
             counts.update({r.status: r["count"] for r in diff.groupBy("status").count().collect()})
             self._event(repo_id, "complete", "parsing")
             if set(counts) - {"unchanged"}:
-                self._store(repo_id, nodes, raw)
+                self._store(repo_id, nodes, raw, after)
 
-        self._tracked(repo_id, work)
+        self._tracked(repo_id, lambda: _retried(work))
         return counts
 
     def resync_once(self, repo_id: str, run: str, batch: int) -> dict[str, int] | None:
@@ -205,7 +314,7 @@ class Engine:
         gone."""
         mine = (F.col("repo_id") == repo_id) & (F.col("run") == run) & (F.col("batch") == batch)
         with self._turn(repo_id):
-            if not self._read("logs/resyncs", RESYNCS).where(mine).isEmpty() or self.table("repos").where(F.col("repo_id") == repo_id).isEmpty():
+            if not self._log("resyncs").where(mine).isEmpty() or self.table("repos").where(F.col("repo_id") == repo_id).isEmpty():
                 return None
             counts = self.resync(repo_id)
             row = self.spark.createDataFrame([(repo_id, run, batch, counts, datetime.now())], RESYNCS)
@@ -214,18 +323,25 @@ class Engine:
 
     def resyncs(self, repo_id: str | None = None) -> DataFrame:
         """What streams of notices have done: ``repo_id, run, batch, counts, at``."""
-        rows = self._read("logs/resyncs", RESYNCS)
+        rows = self._log("resyncs")
         return rows if repo_id is None else rows.where(F.col("repo_id") == repo_id)
 
     def update_file(self, repo_id: str, file: str) -> dict:
         """One file again: ``status`` is skipped, deleted or updated, with
         counts, and edges of other files that now lead nowhere."""
-        own = [self.table(name, repo_id) for name in _GRAPH]
-        nodes, raw, told = ingest.update_file(self.spark, self._source(repo_id), repo_id, file, *own, self.embedder)
-        if told["status"] != "skipped":
-            self._store(repo_id, nodes, raw)
+
+        def work() -> dict:
+            after, *own = self._own(repo_id)
+            nodes, raw, told = ingest.update_file(self.spark, self._source(repo_id), repo_id, file, *own, self.embedder)
+            if told["status"] != "skipped":
+                self._store(repo_id, nodes, raw, after)
+            return told
+
+        with self._turn(repo_id):
+            told = _retried(work)
         if told["status"] == "updated":
-            stale = stale_edges(self.table("nodes", repo_id), self.table("raw_edges", repo_id), file, repo_id).select("source", "target", "type").limit(LISTED + 1).collect()
+            _, nodes, raw = self._own(repo_id)
+            stale = stale_edges(nodes, raw, file, repo_id).select("source", "target", "type").limit(LISTED + 1).collect()
             told |= {"stale_edges": [r.asDict() for r in stale[:LISTED]], "truncated": len(stale) > LISTED}
         return told
 
@@ -233,16 +349,14 @@ class Engine:
         chats = self.table("chats").where(F.col("repo_id") == repo_id)
         self._append("messages", self.table("messages").join(chats.select("chat_id"), "chat_id", "left_semi").select(*self.table("messages").columns), gone=True)
         self._append("chats", chats, gone=True)
-        for name in _GRAPH:
-            self._name(name, repo_id, None)
+        self._gone(repo_id)
         self._append("repos", self.table("repos").where(F.col("repo_id") == repo_id), gone=True)
 
     def clear(self) -> None:
         """All nodes and edges of all repositories go; repositories, chats and
         messages stay."""
-        for name in _GRAPH:
-            for row in self._versions(name).collect():  # one for each repository
-                self._name(name, row.repo_id, None)
+        for row in self._versions().collect():  # one for each repository
+            self._gone(row.repo_id)
 
     def list_repos(self) -> DataFrame:
         rows = tracker.with_live_status(self.table("repos"), tracker.fold(self.table("events")))
@@ -257,8 +371,9 @@ class Engine:
     # -- graph
 
     def graph(self, repo_id: str | None = None) -> Graph:
-        nodes = self.table("nodes", repo_id)
-        return Graph(nodes, resolve_edges(nodes, self.table("raw_edges", repo_id)))
+        held = self._held(repo_id)
+        nodes = self._graph_rows("nodes", held)
+        return Graph(nodes, resolve_edges(nodes, self._graph_rows("raw_edges", held)))
 
     def stats(self, repo_id: str) -> dict:
         return inspect.repo_stats(self.graph(repo_id), repo_id).first().asDict()
