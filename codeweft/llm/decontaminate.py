@@ -12,6 +12,12 @@ The test items are a stated query set. They are sent to the tasks in blocks of
 at most ``BLOCK_BYTES`` bytes of text, as many blocks as it takes, and the hits
 of all blocks are put together.
 
+With ``slop`` the same pass over the postings finds proximity matches too: an
+item is near a document if all terms of one of its windows occur in any order
+within ``slop`` words of an occurrence of the window's rarest term (of equally
+frequent ones the first in the window). A term that a window has twice may be
+met by one occurrence. So reworded, reordered and interrupted copies are told.
+
 Defined results: words are those of ``_words.ALNUM_LOWER``; null and empty
 texts have none and are never hit; items without words match nothing; an item
 shorter than the window is one window; several items with one id count once;
@@ -37,6 +43,8 @@ from codeweft.runtime import ship
 
 #: Consecutive words of an item that make a match.
 WINDOW = 10
+#: Words to either side of a window's rarest term that proximity looks at.
+SLOP = 15
 #: Bytes of item text that go to the tasks at once.
 BLOCK_BYTES = 8 << 20
 
@@ -203,9 +211,10 @@ def frequencies(index: DataFrame, terms: pa.Array) -> np.ndarray:
 HITS = "segment string, ordinal int, doc_id bigint, n_words bigint, spans array<struct<first:int,last:int>>, items array<string>"
 
 
-def _matches(index: DataFrame, items: Items) -> DataFrame:
+def _matches(index: DataFrame, items: Items, slop: int | None = None) -> DataFrame:
     """A row for each document of the index: spans of words inside any exact
-    occurrence (both ends inclusive, disjoint, in order) and the items hit."""
+    occurrence (both ends inclusive, disjoint, in order), the items hit, and
+    with ``slop`` the items near."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "segment", 1):
@@ -224,6 +233,12 @@ def _matches(index: DataFrame, items: Items) -> DataFrame:
                 else:
                     own.append([a, b])
                 found.setdefault(d, set()).update(items.items[w])
+            around: dict[int, set[str]] = {}
+            if slop is not None and len(segment.keys):
+                window, place = segment.near(items, slop)
+                doc = np.searchsorted(segment.begin, place, side="right") - 1
+                for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist():
+                    around.setdefault(d, set()).update(items.items[w])
             n = len(segment.n_words)
             pair = pa.struct([("first", pa.int32()), ("last", pa.int32())])
             yield pa.RecordBatch.from_arrays(
@@ -233,26 +248,27 @@ def _matches(index: DataFrame, items: Items) -> DataFrame:
                     segment.doc_ids,
                     pa.array(segment.n_words),
                     pa.array([[{"first": a, "last": b} for a, b in spans.get(d, ())] for d in range(n)], pa.list_(pair)),
-                    pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                    *[pa.array([sorted(told.get(d, ())) for d in range(n)], pa.list_(pa.string())) for told in (found, around)],
                 ],
-                names=["segment", "ordinal", "doc_id", "n_words", "spans", "items"],
+                names=["segment", "ordinal", "doc_id", "n_words", "spans", "items", "near"],
             )
 
-    return index.mapInArrow(match, HITS)
+    return index.mapInArrow(match, f"{HITS}, near array<string>")
 
 
-def phrase_match(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` for each document of the index. The
+def phrase_match(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int | None = None) -> DataFrame:
+    """``doc_id, n_words, spans, items`` for each document of the index, and
+    with ``slop`` the items ``near`` it. The
     hits of each block but a single one are written, so the driver holds one
     block at a time."""
     blocks = item_blocks(items, window, block_bytes)
     block, more = next(blocks), next(blocks, None)
-    all_hits = None
+    all_hits, lists = None, ["items"] if slop is None else ["items", "near"]
     while block is not None:
         block.rank(frequencies(index, block.terms))
-        part = _matches(index, block)
+        part = _matches(index, block, slop)
         if all_hits is None and more is None:
-            return part.select("doc_id", "n_words", "spans", "items")
+            return part.select("doc_id", "n_words", "spans", *lists)
         part = materialise(part, "hits")
         all_hits = part if all_hits is None else all_hits.unionByName(part)
         block, more = more, next(blocks, None)
@@ -262,7 +278,7 @@ def phrase_match(index: DataFrame, items: DataFrame, window: int = WINDOW, block
                        THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, s.last))))
                        ELSE concat(acc, array(s)) END)"""
     )
-    return all_hits.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged.alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("segment", "ordinal")
+    return all_hits.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged.alias("spans"), *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]).drop("segment", "ordinal")
 
 
 def proximity_match(index: DataFrame, items: DataFrame, slop: int, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -285,6 +301,7 @@ def proximity_match(index: DataFrame, items: DataFrame, slop: int, window: int =
     return out.distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` for each row of ``docs``."""
-    return phrase_match(materialise(build_index(docs), "postings"), items, window, block_bytes)
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int | None = None) -> DataFrame:
+    """``doc_id, n_words, spans, items`` for each row of ``docs``, and with
+    ``slop`` the items ``near`` it."""
+    return phrase_match(materialise(build_index(docs), "postings"), items, window, block_bytes, slop)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm.bpe import decode, encode
-from codeweft.llm.decontaminate import decontaminate
+from codeweft.llm.decontaminate import SLOP, decontaminate
 from codeweft.llm.exact_dedup import exact_dedup
 from codeweft.llm.jaccard_join import jaccard_components
 from codeweft.llm.license_scan import SIMILAR, TEMPLATES, license_scan, template_bigrams
@@ -35,7 +35,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hits = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=SLOP)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["last"] - s["first"] + 1)
     return hits.select(
         "doc_id",
@@ -44,6 +44,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
+        F.size("near").cast("bigint").alias("n_near"),
+        F.sha2(F.array_join("near", ","), 256).alias("near_sha256"),
     )
 
 
@@ -239,7 +241,7 @@ ORACLE_SQL = {
         SELECT doc_id, coalesce(n, 0) AS n_hits, coalesce(names, '') AS licenses, round(coalesce(best, 0), 6) AS best_dice
         FROM documents LEFT JOIN h USING (doc_id)
     """,
-    "op1_decontaminate": r"""
+    "op1_decontaminate": rf"""
         WITH dw AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
             FROM documents
@@ -262,10 +264,26 @@ ORACLE_SQL = {
         ), found AS (
             SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
             FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+        ), terms AS MATERIALIZED (
+            SELECT k, o, string_split(k, ' ')[o] AS t FROM (SELECT k, unnest(range(1, n + 1)) AS o FROM (SELECT DISTINCT k, n FROM windows))
+        ), words AS MATERIALIZED (
+            SELECT doc_id, w[p] AS t, p FROM places WHERE w[p] IN (SELECT t FROM terms)
+        ), rarest AS (
+            SELECT k, arg_min(t, (coalesce(f, 0), o)) AS t, count(DISTINCT t) AS n_terms
+            FROM terms LEFT JOIN (SELECT t, count(*) AS f FROM words GROUP BY t) USING (t) GROUP BY k
+        ), near AS (
+            SELECT r.k, a.doc_id
+            FROM rarest r JOIN words a USING (t) JOIN (SELECT DISTINCT k, t FROM terms) u ON u.k = r.k
+            JOIN words x ON x.doc_id = a.doc_id AND x.t = u.t AND x.p BETWEEN a.p - {SLOP} AND a.p + {SLOP}
+            GROUP BY r.k, a.doc_id, a.p, r.n_terms HAVING count(DISTINCT u.t) = r.n_terms
+        ), around AS (
+            SELECT doc_id, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM near JOIN windows USING (k)) GROUP BY doc_id
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+               coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+        FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN around USING (doc_id)
     """,
     "op5_jaccard_join": r"""
         WITH RECURSIVE w AS (
