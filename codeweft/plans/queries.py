@@ -24,9 +24,14 @@ def _busiest(g: Graph, end: str = "src") -> DataFrame:
 _BUSY = "busy AS (SELECT {0} AS id FROM calls GROUP BY {0} ORDER BY count(*) DESC, {0} LIMIT 1)"
 
 
+#: Up to this depth all chains of the whole graph are listed; beyond it those of
+#: the thinned one, as each further call has some 15 times as many.
+LISTED_DEPTH = 2
+
+
 def call_chain(depth: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graph(spark, sf_dir, thinned=True)
+        g = graph(spark, sf_dir, thinned=depth > LISTED_DEPTH)
         starts = g.edges.where("rel_type = 'CALLS'").select(F.col("src_label").alias("label"), F.col("src_id").alias("id"))
         paths = traverse.call_chains(g, starts, depth)
         return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
@@ -38,7 +43,7 @@ def _chain_sql(depth: int, upstream: bool = False) -> str:
     near, far = ("dst_id", "src_id") if upstream else ("src_id", "dst_id")
     grow = (lambda a, x: f"list_prepend({x}, {a})") if upstream else (lambda a, x: f"list_append({a}, {x})")
     start = "SELECT id FROM busy" if upstream else "SELECT DISTINCT src_id FROM calls"
-    return f"""WITH RECURSIVE {THIN_SQL}{", " + _BUSY.format("dst_id") if upstream else ""},
+    return f"""WITH RECURSIVE {SQL if upstream or depth <= LISTED_DEPTH else THIN_SQL}{", " + _BUSY.format("dst_id") if upstream else ""},
         paths AS (
             SELECT id AS node, [id] AS node_ids, CAST([] AS VARCHAR[]) AS used, 0 AS depth FROM ({start}) s(id)
             UNION ALL
@@ -49,21 +54,13 @@ def _chain_sql(depth: int, upstream: bool = False) -> str:
         FROM paths WHERE depth > 0"""
 
 
-def call_chain_all_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chains of one and two calls of the whole graph."""
-    g = graph(spark, sf_dir)
-    starts = g.edges.where("rel_type = 'CALLS'").select(F.col("src_label").alias("label"), F.col("src_id").alias("id"))
-    paths = traverse.call_chains(g, starts, 2)
-    return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
-
-
 def call_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chains of one to three calls begin at each function."""
     return traverse.chain_counts(graph(spark, sf_dir)).drop("label")
 
 
 def upstream_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir, thinned=True)
+    g = graph(spark, sf_dir)
     paths = traverse.call_chains(g, _busiest(g, "dst"), 4, upstream=True)
     return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
 
@@ -492,7 +489,7 @@ QUERIES = {
     "find_node": find_node,
     **generated.QUERIES,
     **tracked.QUERIES,
-    "call_chain_all_d2": call_chain_all_d2,
+    "call_chain_all_d2": call_chain(2),
     "call_chain_counts": call_chain_counts,
     "batch_seeds": batch_seeds,
     "batch_retrieve_edges": batch_retrieve_edges,
@@ -556,7 +553,7 @@ ORACLE_SQL = {
     "find_node": _FIND_SQL,
     **generated.ORACLE_SQL,
     **tracked.ORACLE_SQL,
-    "call_chain_all_d2": _chain_sql(2).replace(THIN_SQL, SQL),
+    "call_chain_all_d2": _chain_sql(2),
     "call_chain_counts": f"""WITH {SQL}, two AS (
             SELECT a.src_id AS id, a.src_id AS x, a.dst_id AS y, b.dst_id AS z FROM calls a JOIN calls b ON b.src_id = a.dst_id WHERE NOT (a.src_id = b.src_id AND a.dst_id = b.dst_id)
         ), three AS (
