@@ -49,8 +49,14 @@ def _filled(template: str) -> Column:
     return out
 
 
+#: Parts whose files one task makes and parses: a table of few row groups would
+#: be read, and so parsed, by as few tasks.
+PARTS = 5000
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
+    part = part.select("p_partkey", "p_size", "p_type").repartition(part.count() // PARTS + 1)
     key = (F.col("p_partkey") + 1).cast("string")
     kinds = F.array(F.struct(F.concat(F.lit("pkg/m"), key, F.lit(".py")).alias("file"), _filled(_PYTHON).alias("text")), F.struct(F.concat(F.lit("web/v"), key, F.lit(".tsx")).alias("file"), _filled(_SCRIPT).alias("text")))
     rows = part.select(F.explode(kinds).alias("f")).select(F.lit(REPO).alias("repo_id"), "f.file", F.col("f.text").cast("binary").alias("content"))
@@ -58,13 +64,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(scan_files(files(spark, sf_dir))))
+    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(settled(scan_files(files(spark, sf_dir)))))
     shared = F.col("label").isin("Exception", "Config")
     return nodes.select("label", "id", "name", F.when(~shared, F.col("file")).alias("file"), "line", "docstring", (F.col("file_hash").isNotNull()).alias("hashed"))
 
 
 def ingest_raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_edges(scan_files(files(spark, sf_dir))).select("source", "target", F.col("type").alias("rel_type"), "file")
+    return raw_edges(settled(scan_files(files(spark, sf_dir)))).select("source", "target", F.col("type").alias("rel_type"), "file")
 
 
 def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +81,7 @@ def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is embedded of the classes and functions of the Python files."""
-    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(scan_files(files(spark, sf_dir).where("file LIKE '%.py'"))))
+    nodes = upsert_nodes(empty_nodes(spark), emitted_nodes(settled(scan_files(files(spark, sf_dir).where("file LIKE '%.py'")))))
     return nodes.where(F.col("label").isin(*EMBEDDABLE)).select("id", embedding_text().alias("text"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,14 @@ from codeweft.sources.files import DOCUMENTS, PYTHON, SCRIPT, file_names, file_r
 _NODE = "struct<label:string,id:string,name:string,line:int,docstring:string,source_code:string,file_hash:string>"
 _CHOICE = "struct<lookup:int,before:string,behind:string>"
 _EDGE = f"struct<source:string,target:string,type:string,props:map<string,string>,choices:array<{_CHOICE}>,unless:array<int>>"
-_KEYS = ("label", "id", "name", "line", "docstring", "source_code", "file_hash")
+#: The same as Arrow has them.
+_TEXT = pa.string()
+_MADE = {
+    "nodes": pa.list_(pa.struct([(c, pa.int32() if c == "line" else _TEXT) for c in ("label", "id", "name", "line", "docstring", "source_code", "file_hash")])),
+    "edges": pa.list_(pa.struct([*[(c, _TEXT) for c in ("source", "target", "type")], ("props", pa.map_(_TEXT, _TEXT)), ("choices", pa.list_(pa.struct([("lookup", pa.int32()), ("before", _TEXT), ("behind", _TEXT)]))), ("unless", pa.list_(pa.int32()))])),
+    "lookups": pa.list_(pa.list_(_TEXT)),
+    "error": _TEXT,
+}
 
 
 def parse_file(file: str, content: bytes, file_hash: str | None = None, extended: bool = False) -> Parsed:
@@ -48,16 +55,16 @@ def scan_files(files: DataFrame, extended: bool = False, todo: DataFrame | None
     ship(files.sparkSession)
     some = files if todo is None else files.join(todo, "file", "left_semi")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                got = parse_file(r.file, r.content, r.file_hash, extended)
-                rows.append((r.repo_id, r.file, [{k: n.get(k) for k in _KEYS} for n in got.nodes], got.edges, got.lookups, got.error))
-            yield pd.DataFrame(rows, columns=["repo_id", "file", "nodes", "edges", "lookups", "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents, hashes = (batch.column(c).to_pylist() for c in ("file", "content", "file_hash"))
+            got = [parse_file(*each, extended) for each in zip(names, contents, hashes)]
+            edges = [[{**e, "props": list(e["props"].items())} for e in p.edges] for p in got]  # a map is a list of entries
+            made = {"nodes": [p.nodes for p in got], "edges": edges, "lookups": [p.lookups for p in got], "error": [p.error for p in got]}
+            yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("file"), *[pa.array(made[c], kind) for c, kind in _MADE.items()]], names=["repo_id", "file", *_MADE])
 
     shape = f"repo_id string, file string, nodes array<{_NODE}>, edges array<{_EDGE}>, lookups array<array<string>>, error string"
-    return some.select("repo_id", "file", "content", "file_hash").mapInPandas(run, shape)
+    return some.select("repo_id", "file", "content", "file_hash").mapInArrow(run, shape)
 
 
 def _asked(scanned: DataFrame) -> DataFrame:
