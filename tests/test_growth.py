@@ -1,5 +1,6 @@
 """Work that has to be spread over tasks, or done once, whatever the size."""
 
+from codeweft.operators import incremental, resolve
 from codeweft.plans import generated
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,3 +18,17 @@ def test_generated_files_are_parsed_once_in_many_tasks(spark, monkeypatch):
     assert generated.files(spark, SMALL).rdd.getNumPartitions() == parts // 50 + 1
     for query in generated.QUERIES.values():
         assert "MapIn" not in plan(query(spark, SMALL))
+
+
+def test_links_of_a_shared_name_are_listed_once(spark):
+    """Callers times nodes of a name are listed by a join; no aggregate and no
+    shuffle follows it. Overlapping names give each edge once."""
+    nodes = spark.createDataFrame([("r", "Function", f"f{k}::A::run", "run") for k in range(40)], "repo_id string, label string, id string, name string")
+    raw = [("r", f"f{k}::A::run", target, kind, "f") for k in range(40) for target in ("run", "A::run", f"f{k}::A::run", "ts_call::run") for kind in ("CALLS", None)]
+    raw = spark.createDataFrame(raw, "repo_id string, source string, target string, type string, file string")
+    for most in (None, 10):
+        edges = resolve.resolve_edges(nodes, raw, most=most)
+        assert "Union" in plan(edges).splitlines()[1]
+        assert edges.count() == edges.distinct().count() == 2 * 40 * 40
+    kept = incremental.resolve_all(nodes, raw)
+    assert kept.links.count() == 2 * 40 * 81 and kept.edges.count() == 2 * 40 * 40
