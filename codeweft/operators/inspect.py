@@ -28,8 +28,8 @@ def repo_stats(graph: Graph, repo_id: str, fall_back: bool = False) -> DataFrame
     ends = own.nodes.select("label", "id")
     inside = own.edges
     for end in ("src", "dst"):
-        inside = inside.join(ends.select(F.col("label").alias(f"{end}_label"), F.col("id").alias(f"{end}_id")), [f"{end}_label", f"{end}_id"], "left_semi")
-    edges = inside.distinct().agg(F.count("*").alias("edge_count"))
+        inside = own.dealt(inside, f"{end}_label", f"{end}_id").join(ends.select(F.col("label").alias(f"{end}_label"), F.col("id").alias(f"{end}_id")), [f"{end}_label", f"{end}_id"], "left_semi")
+    edges = own.dealt(inside, *inside.columns).distinct().agg(F.count("*").alias("edge_count"))
     return nodes.join(F.broadcast(edges)).select("node_count", "edge_count", "file_count")  # one row each
 
 
@@ -109,7 +109,8 @@ def edge_scan(graph: Graph, rel_type: str, src_label: str | None = None, limit:
     names = graph.nodes.select("label", "id", "name")
     source = names.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"), F.col("name").alias("source_name"))
     target = names.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"), F.col("name").alias("target_name"))
-    rows = edges.join(source, ["src_label", "src_id"]).join(target, ["dst_label", "dst_id"])
+    rows = graph.dealt(edges, "src_label", "src_id").join(source, ["src_label", "src_id"])
+    rows = graph.dealt(rows, "dst_label", "dst_id").join(target, ["dst_label", "dst_id"])
     return rows.select(F.col("src_id").alias("source"), "source_name", F.col("dst_id").alias("target"), "target_name").orderBy("source", "target").limit(limit)
 
 
@@ -122,4 +123,6 @@ def whole_graph(graph: Graph, limit: int = 200) -> DataFrame:
     """Nodes with each edge at them (null for a node without), both ways."""
     out = graph.edges.select(F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type", F.col("dst_id").alias("other"))
     into = graph.edges.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id"), "rel_type", F.col("src_id").alias("other"))
-    return graph.nodes.select("label", "id").join(out.unionByName(into).distinct(), ["label", "id"], "left").orderBy("id", "label", "rel_type", "other").limit(limit)
+    # one shuffle serves both: rows of a node are together
+    each = graph.dealt(out.unionByName(into), "label", "id").distinct()
+    return graph.nodes.select("label", "id").join(each, ["label", "id"], "left").orderBy("id", "label", "rel_type", "other").limit(limit)

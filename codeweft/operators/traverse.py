@@ -150,7 +150,8 @@ def subgraph(graph: Graph, seeds: DataFrame, hops: int = 2) -> DataFrame:
             frontier = settled(frontier)
         visited = visited.unionByName(frontier)
     at = lambda end: (edges[f"{end}_label"] == visited["label"]) & (edges[f"{end}_id"] == visited["id"])
-    touched = edges.join(visited, at("src"), "left_semi").unionByName(edges.join(visited, at("dst"), "left_semi")).distinct()
+    touched = edges.join(visited, at("src"), "left_semi").unionByName(edges.join(visited, at("dst"), "left_semi"))
+    touched = graph.dealt(touched, "src_label", "src_id").distinct()
     return with_names(graph, touched)
 
 
@@ -159,7 +160,8 @@ def with_names(graph: Graph, edges: DataFrame) -> DataFrame:
     names = graph.nodes.select("label", "id", "name")
     source = names.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"), F.col("name").alias("source_name"))
     target = names.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"), F.col("name").alias("target_name"))
-    return edges.join(source, ["src_label", "src_id"]).join(target, ["dst_label", "dst_id"]).select(F.col("src_id").alias("source_id"), F.col("src_label").alias("source_type"), "source_name", "rel_type", F.col("dst_id").alias("target_id"), F.col("dst_label").alias("target_type"), "target_name")
+    named = graph.dealt(edges.join(source, ["src_label", "src_id"]), "dst_label", "dst_id")
+    return named.join(target, ["dst_label", "dst_id"]).select(F.col("src_id").alias("source_id"), F.col("src_label").alias("source_type"), "source_name", "rel_type", F.col("dst_id").alias("target_id"), F.col("dst_label").alias("target_type"), "target_name")
 
 
 def callers(graph: Graph, target: DataFrame, hops: int = 3) -> DataFrame:

@@ -1,7 +1,7 @@
 """Work that has to be spread over tasks, or done once, whatever the size."""
 
 from codeweft.operators import incremental, resolve
-from codeweft.plans import generated
+from codeweft.plans import generated, projection, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +32,12 @@ def test_links_of_a_shared_name_are_listed_once(spark):
         assert edges.count() == edges.distinct().count() == 2 * 40 * 40
     kept = incremental.resolve_all(nodes, raw)
     assert kept.links.count() == 2 * 40 * 81 and kept.edges.count() == 2 * 40 * 40
+
+
+def test_parts_follow_the_graph(spark, monkeypatch):
+    """What is as large as the edges is put together in parts of bounded size."""
+    monkeypatch.setattr(projection, "TASK_ROWS", 500)
+    parts = spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 500 + 1
+    assert parts > spark.sparkContext.defaultParallelism and projection.parts(spark, SMALL) == parts
+    for name in ("edge_count_by_type", "repo_stats", "ui_whole_graph", "ui_call_graph", "dangling_edges"):
+        assert f", {parts}), REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, SMALL))
