@@ -59,7 +59,8 @@ def chain_counts(graph: Graph, starts: DataFrame | None = None, depth: int = COU
     depth, and in all, by sums over edges; no chain is made. Walks are counted
     step by step; those that use an edge twice are taken off: a loop taken
     twice at the first or the last step, and an edge, its reverse and the edge
-    again. Beyond ``COUNTED`` there are too many ways to use an edge twice:
+    again. No join sends a table through the driver: written tables of long
+    ids are small on disk and many times that in memory. Beyond ``COUNTED`` there are too many ways to use an edge twice:
     depths from there on count walks, which are at least as many."""
     check_depth(depth)
     near, far = ("dst", "src") if upstream else ("src", "dst")
@@ -77,22 +78,22 @@ def chain_counts(graph: Graph, starts: DataFrame | None = None, depth: int = COU
     walks, columns = first.select("label", "id", "w"), {1: first.select("label", "id", F.col("w").alias("depth_1"))}
     back = each.select(F.col("to_label").alias("label"), F.col("to_id").alias("id"), F.col("label").alias("to_label"), F.col("id").alias("to_id"), F.lit(1).alias("back"))
     for d in range(2, depth + 1):
-        onward = each.join(named(walks, ahead="w"), there, "left").groupBy("label", "id").agg(F.sum(F.coalesce("ahead", F.lit(0))).alias("w"))
+        onward = each.join(named(walks, ahead="w").hint("merge"), there, "left").groupBy("label", "id").agg(F.sum(F.coalesce("ahead", F.lit(0))).alias("w"))
         walks = settled(onward)
         counted = walks
         if d == 2:
             own = (F.col("label") == "Function").cast("bigint") * F.col("loop")
-            counted = walks.join(first.select("label", "id", "loop"), ["label", "id"]).withColumn("w", F.col("w") - own)
+            counted = walks.join(first.select("label", "id", "loop").hint("merge"), ["label", "id"]).withColumn("w", F.col("w") - own)
         elif d == 3:
-            around = each.join(named(first, at_loop="loop"), there, "left").join(back, ["label", "id", "to_label", "to_id"], "left")
+            around = each.join(named(first, at_loop="loop").hint("merge"), there, "left").join(back.hint("merge"), ["label", "id", "to_label", "to_id"], "left")
             twice = around.groupBy("label", "id").agg(F.sum(is_function * (F.coalesce("at_loop", F.lit(0)) + F.coalesce("back", F.lit(0)))).alias("twice"))
             own = (F.col("label") == "Function").cast("bigint") * F.col("loop")
-            counted = walks.join(twice, ["label", "id"]).join(first.withColumnRenamed("w", "out"), ["label", "id"]).withColumn("w", F.col("w") - F.col("twice") - F.col("loop") * F.col("out") + 2 * own)
+            counted = walks.join(twice.hint("merge"), ["label", "id"]).join(first.withColumnRenamed("w", "out").hint("merge"), ["label", "id"]).withColumn("w", F.col("w") - F.col("twice") - F.col("loop") * F.col("out") + 2 * own)
         columns[d] = counted.select("label", "id", F.col("w").alias(f"depth_{d}"))
     out = begin.select("label", "id").distinct()
     out = out if starts is None else out.join(starts.select("label", "id").distinct(), ["label", "id"])
     for column in columns.values():
-        out = out.join(column, ["label", "id"])
+        out = out.join(column.hint("merge"), ["label", "id"])
     return out.withColumn("within", functools.reduce(lambda a, b: a + b, [F.col(f"depth_{d}") for d in columns]))
 
 

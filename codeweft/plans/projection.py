@@ -87,7 +87,7 @@ def edges(spark: SparkSession, sf_dir: str, thinned: bool = False) -> DataFrame:
     """Each kind is made distinct by the numbers of its ends, before they are
     spelled out: no two kinds have an edge in common."""
     read = lambda name: table(spark, sf_dir, name)
-    names = read("part").select("p_partkey", function_id(F.col("p_partkey")).alias("fid")).distinct()
+    names = read("part").select("p_partkey", function_id(F.col("p_partkey")).alias("fid")).distinct().hint("merge")  # not through the driver
     lines = read("lineitem")
     items = lines.where("l_quantity >= 49") if thinned else lines
     calls = call_pairs(spark, sf_dir, thinned)

@@ -1,7 +1,9 @@
 """Work that has to be spread over tasks, or done once, whatever the size."""
 
-from codeweft.operators import incremental, resolve
+from codeweft.operators import incremental, resolve, traverse
 from codeweft.plans import generated, projection, queries
+from codeweft.runtime import settled
+from codeweft.schema import Graph
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,3 +43,8 @@ def test_parts_follow_the_graph(spark, monkeypatch):
     assert parts > spark.sparkContext.defaultParallelism and projection.parts(spark, SMALL) == parts
     for name in ("edge_count_by_type", "repo_stats", "ui_whole_graph", "ui_call_graph", "dangling_edges"):
         assert f", {parts}), REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, SMALL))
+
+
+def test_chain_counts_send_no_table_through_the_driver(spark):
+    g = projection.graph(spark, SMALL)
+    assert "BroadcastHashJoin" not in plan(traverse.chain_counts(Graph(g.nodes, settled(g.edges))))
