@@ -1,9 +1,12 @@
 """Work that has to be spread over tasks, or done once, whatever the size."""
 
+import pandas as pd
+
 from codeweft.operators import incremental, resolve, traverse
 from codeweft.plans import generated, projection, queries
 from codeweft.runtime import settled
 from codeweft.schema import Graph
+from codeweft.streaming import tracker as stream
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -48,3 +51,28 @@ def test_parts_follow_the_graph(spark, monkeypatch):
 def test_chain_counts_send_no_table_through_the_driver(spark):
     g = projection.graph(spark, SMALL)
     assert "BroadcastHashJoin" not in plan(traverse.chain_counts(Graph(g.nodes, settled(g.edges))))
+
+
+def test_a_batch_asks_the_state_store_once_for_each_repository():
+    class Store:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def getValueState(self, *_):  # noqa: N802  the handle's own name
+            return self
+
+    store, tracker = Store(), stream.Tracker()
+    tracker.init(store)
+    columns = ["repo_id", "slot", "seq", "op", "percent", "detail", "error", "at"]
+    batch = lambda *seqs: iter([pd.DataFrame([("r", slot, s, "start", 0, None, None, None) for s in seqs for slot in ("began", "start", "stage:ready")], columns=columns)])
+    seen = lambda out: {r.slot: r.seq for part in out for r in part.itertuples()}
+    assert seen(tracker.handleInputRows(("r",), batch(5, 7), None)) == {"began": 5, "start": 7, "stage:ready": 7}
+    assert seen(tracker.handleInputRows(("r",), batch(3, 6), None)) == {"began": 3, "start": 7, "stage:ready": 7}
+    assert seen(tracker.handleInputRows(("r",), batch(6), None)) == {}
+    assert store.calls == 5
