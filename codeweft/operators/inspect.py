@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.runtime import settled
 from codeweft.schema import Graph
 
 PRESET_LIMIT = 10
@@ -33,26 +34,34 @@ def repo_stats(graph: Graph, repo_id: str, fall_back: bool = False) -> DataFrame
     return nodes.join(F.broadcast(edges)).select("node_count", "edge_count", "file_count")  # one row each
 
 
+def _end(end: str) -> Column:
+    return F.struct(F.col(f"{end}_label").alias("label"), F.col(f"{end}_id").alias("id"))
+
+
 def both_ends(edges: DataFrame) -> DataFrame:
-    """``label, id``, a row for each end of each edge."""
-    return edges.select(F.col("src_label").alias("label"), F.col("src_id").alias("id")).unionByName(edges.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id")))
+    """``label, id``, a row for each end of each edge; edges are made once for
+    both."""
+    return edges.select(F.explode(F.array(_end("src"), _end("dst"))).alias("at")).select("at.*")
 
 
 def degrees(edges: DataFrame, loops_once: bool = False) -> DataFrame:
     same = (F.col("src_label") == F.col("dst_label")) & (F.col("src_id") == F.col("dst_id"))
     ends = both_ends(edges)
     if loops_once:
-        ends = both_ends(edges.where(~same)).unionByName(edges.where(same).select(F.col("src_label").alias("label"), F.col("src_id").alias("id")))
+        once = F.when(same, F.array(_end("src"))).otherwise(F.array(_end("src"), _end("dst")))
+        ends = edges.where(same.isNotNull()).select(F.explode(once).alias("at")).select("at.*")
     return ends.groupBy("label", "id").agg(F.count("*").alias("degree"))
 
 
 def preview_nodes(graph: Graph, limit: int = 60, highlighted: list[str] = ()) -> DataFrame:
     """The first nodes by id with their true degree and whether they are
     highlighted by id or name."""
-    first = graph.nodes.select("label", "id", "name").orderBy("id", "label").limit(limit)
+    first = settled(graph.nodes.select("label", "id", "name").orderBy("id", "label").limit(limit))
     marks = F.array(*map(F.lit, highlighted)).cast("array<string>")
     flagged = F.array_contains(marks, F.col("id")) | F.array_contains(marks, F.coalesce("name", F.lit("")))
-    return first.join(degrees(graph.edges), ["label", "id"], "left").select("id", "name", "label", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"), flagged.alias("highlighted"))
+    ends = both_ends(graph.edges).join(F.broadcast(first), ["label", "id"], "left_semi")  # ``limit`` rows
+    degree = ends.groupBy("label", "id").agg(F.count("*").alias("degree"))
+    return first.join(degree, ["label", "id"], "left").select("id", "name", "label", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"), flagged.alias("highlighted"))
 
 
 def preview_edges(graph: Graph, limit: int = 60) -> DataFrame:
@@ -120,9 +129,10 @@ def hubs(graph: Graph, limit: int = 15) -> DataFrame:
 
 
 def whole_graph(graph: Graph, limit: int = 200) -> DataFrame:
-    """Nodes with each edge at them (null for a node without), both ways."""
-    out = graph.edges.select(F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type", F.col("dst_id").alias("other"))
-    into = graph.edges.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id"), "rel_type", F.col("src_id").alias("other"))
-    # one shuffle serves both: rows of a node are together
-    each = graph.dealt(out.unionByName(into), "label", "id").distinct()
-    return graph.nodes.select("label", "id").join(each, ["label", "id"], "left").orderBy("id", "label", "rel_type", "other").limit(limit)
+    """Nodes with each edge at them (null for a node without), both ways. Every
+    node has a row, so the first rows are those of as many first nodes."""
+    first = settled(graph.nodes.select("label", "id").orderBy("id", "label").limit(limit))
+    way = lambda a, b: F.struct(F.col(f"{a}_label").alias("label"), F.col(f"{a}_id").alias("id"), "rel_type", F.col(f"{b}_id").alias("other"))
+    each = graph.edges.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("at")).select("at.*")
+    each = each.join(F.broadcast(first), ["label", "id"], "left_semi").distinct()  # ``limit`` rows
+    return first.join(each, ["label", "id"], "left").orderBy("id", "label", "rel_type", "other").limit(limit)

@@ -125,7 +125,7 @@ def call_chains(graph: Graph, starts: DataFrame, depth: int = 4, upstream: bool
         grown = paths.join(hop, ["label", "id"]).withColumn("edge", edge).where(~F.array_contains("edge_ids", F.col("edge")))
         add = (lambda a, c: F.concat(F.array(c), a)) if upstream else (lambda a, c: F.concat(a, F.array(c)))
         paths = grown.select(F.col("at_label").alias("label"), F.col("at_id").alias("id"), add(F.col("call_chain"), F.col("at_name")).alias("call_chain"), add(F.col("node_ids"), F.col("at_id")).alias("node_ids"), F.concat("edge_ids", F.array("edge")).alias("edge_ids"))
-        if max_paths is not None or 1 < d < depth:  # else each depth would walk all those before it again
+        if max_paths is not None or d < depth:  # else each depth would walk all those before it again
             paths = settled(paths)
         if max_paths is not None and depth > COUNTED and paths.limit(max_paths + 1).count() > max_paths:
             raise ValueError(f"more than {max_paths} paths of {d} calls; ask for a smaller depth")
@@ -140,15 +140,14 @@ def subgraph(graph: Graph, seeds: DataFrame, hops: int = 2) -> DataFrame:
     ``hops`` away, found by a breadth-first frontier."""
     check_depth(hops)
     edges = graph.edges
-    either = edges.select(F.col("src_label").alias("label"), F.col("src_id").alias("id"), F.col("dst_label").alias("to_label"), F.col("dst_id").alias("to_id"))
-    either = either.unionByName(edges.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id"), F.col("src_label").alias("to_label"), F.col("src_id").alias("to_id")))
+    way = lambda a, b: F.struct(F.col(f"{a}_label").alias("label"), F.col(f"{a}_id").alias("id"), F.col(f"{b}_label").alias("to_label"), F.col(f"{b}_id").alias("to_id"))
+    either = edges.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("at")).select("at.*")
     visited = seeds.select("label", "id").distinct()
     frontier = visited
     for _ in range(hops - 1):
         reached = either.join(frontier, ["label", "id"]).select(F.col("to_label").alias("label"), F.col("to_id").alias("id")).distinct()
-        frontier = reached.join(visited, ["label", "id"], "left_anti")
-        if hops > 2:  # both are read in every later hop
-            frontier = settled(frontier)
+        # read in every later hop; its size tells whether the edges have to be shuffled
+        frontier = settled(reached.join(visited, ["label", "id"], "left_anti"))
         visited = visited.unionByName(frontier)
     at = lambda end: (edges[f"{end}_label"] == visited["label"]) & (edges[f"{end}_id"] == visited["id"])
     touched = edges.join(visited, at("src"), "left_semi").unionByName(edges.join(visited, at("dst"), "left_semi"))

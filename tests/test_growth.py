@@ -48,6 +48,18 @@ def test_parts_follow_the_graph(spark, monkeypatch):
         assert f", {parts}), REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, SMALL))
 
 
+def test_edges_are_made_once_and_in_few_shuffles(spark):
+    """Both ends of an edge come from one pass over the edges, the first nodes are
+    taken before edges are put together, and what is made distinct isn't shuffled
+    again to be spelled out."""
+    scans = lambda name: plan(queries.QUERIES[name](spark, SMALL)).count("lineitem.parquet")
+    assert {scans(name) for name in ("edge_count_by_type", "ui_hubs", "preset_high_coupling", "graph_preview_nodes", "ui_whole_graph")} == {3}
+    for name in ("graph_preview_nodes", "ui_whole_graph"):
+        assert "LeftSemi, BuildRight" in plan(queries.QUERIES[name](spark, SMALL))
+    lines = plan(projection.edges(spark, SMALL))
+    assert lines.count("Exchange hashpartitioning") <= 16 and "ShuffledHashJoin" in lines
+
+
 def test_chain_counts_send_no_table_through_the_driver(spark):
     g = projection.graph(spark, SMALL)
     assert "BroadcastHashJoin" not in plan(traverse.chain_counts(Graph(g.nodes, settled(g.edges))))
