@@ -24,6 +24,12 @@ def _busiest(g: Graph, end: str = "src") -> DataFrame:
 _BUSY = "busy AS (SELECT {0} AS id FROM calls GROUP BY {0} ORDER BY count(*) DESC, {0} LIMIT 1)"
 
 
+def _calls(spark: SparkSession, sf_dir: str, thinned: bool = False) -> Graph:
+    """The projected graph with its calls alone, written once: each depth of a
+    chain reads them."""
+    return Graph(nodes(spark, sf_dir), settled(edges(spark, sf_dir, thinned).where("rel_type = 'CALLS'")), parts(spark, sf_dir))
+
+
 #: Up to this depth all chains of the whole graph are listed; beyond it those of
 #: the thinned one, as each further call has some 15 times as many.
 LISTED_DEPTH = 2
@@ -31,7 +37,7 @@ LISTED_DEPTH = 2
 
 def call_chain(depth: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graph(spark, sf_dir, thinned=depth > LISTED_DEPTH)
+        g = _calls(spark, sf_dir, thinned=depth > LISTED_DEPTH)
         starts = g.edges.where("rel_type = 'CALLS'").select(F.col("src_label").alias("label"), F.col("src_id").alias("id"))
         paths = traverse.call_chains(g, starts, depth)
         return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
@@ -60,8 +66,8 @@ def call_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upstream_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
-    paths = traverse.call_chains(g, _busiest(g, "dst"), 4, upstream=True)
+    g = _calls(spark, sf_dir)
+    paths = traverse.call_chains(g, settled(_busiest(g, "dst")), 4, upstream=True)
     return paths.select(joined(F.col("node_ids")).alias("node_ids"), joined(F.col("call_chain")).alias("call_chain"), "depth")
 
 

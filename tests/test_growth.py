@@ -60,6 +60,11 @@ def test_edges_are_made_once_and_in_few_shuffles(spark):
     assert lines.count("Exchange hashpartitioning") <= 16 and "ShuffledHashJoin" in lines
 
 
+def test_chains_read_calls_that_are_written_once(spark):
+    for name in ("call_chain_d2", "call_chain_all_d2", "upstream_callers"):
+        assert "lineitem.parquet" not in plan(queries.QUERIES[name](spark, SMALL))
+
+
 def test_chain_counts_send_no_table_through_the_driver(spark):
     g = projection.graph(spark, SMALL)
     assert "BroadcastHashJoin" not in plan(traverse.chain_counts(Graph(g.nodes, settled(g.edges))))
