@@ -27,10 +27,11 @@ def repo_stats(graph: Graph, repo_id: str, fall_back: bool = False) -> DataFrame
         own = graph
     nodes = own.nodes.agg(F.count("*").alias("node_count"), F.count_distinct("file").alias("file_count"))
     ends = own.nodes.select("label", "id")
-    inside = own.edges
-    for end in ("src", "dst"):
-        inside = own.dealt(inside, f"{end}_label", f"{end}_id").join(ends.select(F.col("label").alias(f"{end}_label"), F.col("id").alias(f"{end}_id")), [f"{end}_label", f"{end}_id"], "left_semi")
-    edges = own.dealt(inside, *inside.columns).distinct().agg(F.count("*").alias("edge_count"))
+    end = lambda e: ends.select(F.col("label").alias(f"{e}_label"), F.col("id").alias(f"{e}_id"))
+    inside = own.dealt(own.edges, "src_label", "src_id").join(end("src"), ["src_label", "src_id"], "left_semi").distinct()
+    # counted before they are shuffled by their target: many edges lead to some
+    at = inside.groupBy("dst_label", "dst_id").agg(F.count("*").alias("n"))
+    edges = at.join(end("dst"), ["dst_label", "dst_id"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edge_count"))
     return nodes.join(F.broadcast(edges)).select("node_count", "edge_count", "file_count")  # one row each
 
 

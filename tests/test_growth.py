@@ -1,8 +1,9 @@
 """Work that has to be spread over tasks, or done once, whatever the size."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from codeweft.operators import incremental, resolve, traverse
+from codeweft.operators import incremental, inspect, resolve, traverse
 from codeweft.plans import generated, projection, queries
 from codeweft.runtime import settled
 from codeweft.schema import Graph
@@ -60,6 +61,17 @@ def test_edges_are_made_once_and_in_few_shuffles(spark):
     assert lines.count("Exchange hashpartitioning") <= 16 and "ShuffledHashJoin" in lines
 
 
+def test_a_target_of_many_edges_makes_no_long_task(spark):
+    """Edges are counted before they are dealt by target."""
+    ends = [*[(f"f{k}", "E0") for k in range(50)], ("f0", "E0"), ("f0", "E1"), ("lost", "E0"), ("f0", "Elost")]
+    edges = spark.createDataFrame(ends, "src_id string, dst_id string").select(F.lit("r").alias("repo_id"), F.lit("Function").alias("src_label"), "src_id", F.lit("RAISES").alias("rel_type"), F.lit("Exception").alias("dst_label"), "dst_id")
+    nodes = [("r", "Function", f"f{k}", f"f{k}", "a") for k in range(50)] + [("r", "Exception", f"E{k}", f"E{k}", None) for k in range(2)]
+    g = Graph(spark.createDataFrame(nodes, "repo_id string, label string, id string, name string, file string"), settled(edges), 7)
+    stats = inspect.repo_stats(g, "r")
+    assert "hashpartitioning(dst_label" not in "".join(x for x in plan(stats).splitlines() if "REPARTITION_BY_NUM" in x)
+    assert stats.collect() == [(52, 51, 1)] and inspect.repo_stats(g, "none").collect() == [(0, 0, 0)]
+
+
 def test_chains_read_calls_that_are_written_once(spark):
     for name in ("call_chain_d2", "call_chain_all_d2", "upstream_callers"):
         assert "lineitem.parquet" not in plan(queries.QUERIES[name](spark, SMALL))
