@@ -136,4 +136,6 @@ def whole_graph(graph: Graph, limit: int = 200) -> DataFrame:
     way = lambda a, b: F.struct(F.col(f"{a}_label").alias("label"), F.col(f"{a}_id").alias("id"), "rel_type", F.col(f"{b}_id").alias("other"))
     each = graph.edges.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("at")).select("at.*")
     each = each.join(F.broadcast(first), ["label", "id"], "left_semi").distinct()  # ``limit`` rows
+    # what comes later can't be among the first rows, and a node may have most edges
+    each = each.orderBy("id", "label", "rel_type", "other").limit(limit)
     return first.join(each, ["label", "id"], "left").orderBy("id", "label", "rel_type", "other").limit(limit)
