@@ -155,13 +155,23 @@ def subgraph(graph: Graph, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return with_names(graph, touched)
 
 
+#: Edges of a target that are too many for one task.
+HUB = 50_000
+
+
 def with_names(graph: Graph, edges: DataFrame) -> DataFrame:
-    """Subgraph rows: both ends with label, id and name."""
+    """Subgraph rows: both ends with label, id and name. Edges are dealt by their
+    targets, but for those of a hub, which stay where they are and meet its name:
+    there are fewer hubs than edges by a factor of ``HUB``."""
     names = graph.nodes.select("label", "id", "name")
     source = names.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"), F.col("name").alias("source_name"))
     target = names.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"), F.col("name").alias("target_name"))
-    named = graph.dealt(edges.join(source, ["src_label", "src_id"]), "dst_label", "dst_id")
-    return named.join(target, ["dst_label", "dst_id"]).select(F.col("src_id").alias("source_id"), F.col("src_label").alias("source_type"), "source_name", "rel_type", F.col("dst_id").alias("target_id"), F.col("dst_label").alias("target_type"), "target_name")
+    to = ["dst_label", "dst_id"]
+    named = settled(edges.join(source, ["src_label", "src_id"]))
+    hubs = settled(named.groupBy(*to).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(*to))
+    often = settled(target.join(F.broadcast(hubs), to))
+    rest = graph.dealt(named.join(F.broadcast(hubs), to, "left_anti"), *to).join(target, to)
+    return rest.unionByName(named.join(F.broadcast(often), to)).select(F.col("src_id").alias("source_id"), F.col("src_label").alias("source_type"), "source_name", "rel_type", F.col("dst_id").alias("target_id"), F.col("dst_label").alias("target_type"), "target_name")
 
 
 def callers(graph: Graph, target: DataFrame, hops: int = 3) -> DataFrame:
