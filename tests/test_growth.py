@@ -40,6 +40,27 @@ def test_links_of_a_shared_name_are_listed_once(spark):
     assert kept.links.count() == 2 * 40 * 81 and kept.edges.count() == 2 * 40 * 40
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """What was shuffled for a step is gone before the next one begins."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    numbers = spark.range(1000).select((F.col("id") % 10).alias("k"))
+    before = files()
+    assert settled(numbers.groupBy("k").count()).count() == 10
+    kept = files() - before
+    assert numbers.groupBy("k").count().collect() and files() - before > kept  # a result's own are let go later
+    assert kept <= 2  # of the last count
+
+
+def listed(spark, name):
+    """The plan of what is left to do: one join, of written tables."""
+    text = plan(queries.QUERIES[name](spark, SMALL))
+    return "lineitem.parquet" not in text and text.count("Join ") == 1 and "Aggregate" not in text
+
+
+def test_only_links_are_left_to_list_by_fuzzy_resolve_edges(spark):
+    assert listed(spark, "fuzzy_resolve_edges")
+
+
 def test_parts_follow_the_graph(spark, monkeypatch):
     """What is as large as the edges is put together in parts of bounded size."""
     monkeypatch.setattr(projection, "TASK_ROWS", 500)
