@@ -61,6 +61,10 @@ def test_only_links_are_left_to_list_by_fuzzy_resolve_edges(spark):
     assert listed(spark, "fuzzy_resolve_edges")
 
 
+def test_only_links_are_left_to_list_by_repo_isolation_resolve(spark):
+    assert listed(spark, "repo_isolation_resolve")
+
+
 def test_parts_follow_the_graph(spark, monkeypatch):
     """What is as large as the edges is put together in parts of bounded size."""
     monkeypatch.setattr(projection, "TASK_ROWS", 500)
