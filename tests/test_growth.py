@@ -65,6 +65,10 @@ def test_only_links_are_left_to_list_by_repo_isolation_resolve(spark):
     assert listed(spark, "repo_isolation_resolve")
 
 
+def test_only_links_are_left_to_list_by_resolve_after_change(spark):
+    assert listed(spark, "resolve_after_change")
+
+
 def test_parts_follow_the_graph(spark, monkeypatch):
     """What is as large as the edges is put together in parts of bounded size."""
     monkeypatch.setattr(projection, "TASK_ROWS", 500)
