@@ -1,5 +1,7 @@
 """Work that has to be spread over tasks, or done once, whatever the size."""
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -42,13 +44,15 @@ def test_links_of_a_shared_name_are_listed_once(spark):
 
 def test_a_written_table_leaves_no_shuffle_files(spark):
     """What was shuffled for a step is gone before the next one begins."""
-    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
-    numbers = spark.range(1000).select((F.col("id") % 10).alias("k"))
-    before = files()
-    assert settled(numbers.groupBy("k").count()).count() == 10
-    kept = files() - before
-    assert numbers.groupBy("k").count().collect() and files() - before > kept  # a result's own are let go later
-    assert kept <= 2  # of the last count
+    shuffled = lambda: {x for x in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks().getAllFiles())) if x.startswith("shuffle_")}
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    numbers = spark.range(1000).select((F.col("id") % 10).alias("k")).groupBy("k").count()
+    before = shuffled()
+    assert len(numbers.collect()) == 10 and shuffled() - before  # a result's own are let go later
+    before = shuffled()
+    settled(numbers.select("k"))
+    time.sleep(0.2)  # and no garbage collection was needed for it
+    assert shuffled() <= before
 
 
 def listed(spark, name):
