@@ -5,6 +5,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
+from codeweft import runtime
 from codeweft.operators import incremental, inspect, resolve, traverse
 from codeweft.plans import generated, projection, queries
 from codeweft.runtime import settled
@@ -55,6 +56,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert shuffled() <= before
 
 
+def test_writes_beside_each_other_put_the_setting_back(spark):
+    before = spark.conf.get(runtime._CLEANUP)
+    one, two = runtime._passing_shuffles(spark), runtime._passing_shuffles(spark)
+    one.__enter__(), two.__enter__(), one.__exit__(None, None, None)
+    assert spark.conf.get(runtime._CLEANUP) == "true"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(runtime._CLEANUP) == before
+
+
 def listed(spark, name):
     """The plan of what is left to do: one join, of written tables."""
     text = plan(queries.QUERIES[name](spark, SMALL))
